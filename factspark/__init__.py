@@ -1 +1,8 @@
 """Spark jobs for building and analysing a graph of sourced claims."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocab
 
@@ -21,7 +22,7 @@ def literal_map(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*flat), key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(names: pd.Series) -> pd.Series:
     """Case-fold and strip marks from the names that are not plain ASCII."""
 

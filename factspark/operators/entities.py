@@ -88,13 +88,13 @@ def unique_slugs(named: DataFrame, existing: DataFrame | None) -> DataFrame:
     )
 
 
-def block_rank(df: DataFrame, keys: list[str], order: str, width: int = 4) -> DataFrame:
+def block_rank(df: DataFrame, keys: list[str], order: str, block: Column | None = None) -> DataFrame:
     """``rank`` of ``order`` (unique per row) inside ``keys`` without one task per key.
 
-    Rows are cut into blocks by the leading characters of the order column; block sizes
-    are added up first, then rows are ranked inside their own block only.
+    Rows are cut into blocks that follow the order (for text: its leading characters).
+    Block sizes are added up first, then rows are ranked inside their own block only.
     """
-    blocked = df.withColumn("_block", F.substring(F.col(order).cast("string"), 1, width))
+    blocked = df.withColumn("_block", F.substring(F.col(order), 1, 4) if block is None else block)
     sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")

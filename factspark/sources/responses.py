@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECTIONS = ["claims", "events", "fragments", "relations"]
 
@@ -54,7 +55,10 @@ def recover_objects(text: str | None) -> list[dict] | None:
     return out
 
 
-@F.pandas_udf("array<struct<section:string,obj:string>>")
+_RECORDS = T.ArrayType(T.StructType([T.StructField("section", T.StringType()), T.StructField("obj", T.StringType())]))
+
+
+@F.pandas_udf(_RECORDS)
 def _recover(texts: pd.Series) -> pd.Series:
     return texts.map(recover_objects)
 
@@ -70,13 +74,12 @@ def salvage_responses(responses: DataFrame) -> DataFrame:
     parsed = responses.select("response_id", text.alias("body")).withColumn(
         "doc", F.try_parse_json("body")
     )
-    section_rows = [
-        F.transform(
-            F.coalesce(F.try_variant_get("doc", f"$.{s}", "array<variant>"), F.array().cast("array<variant>")),
-            lambda v, s=s: F.struct(F.lit(s).alias("section"), F.to_json(v).alias("obj")),
-        )
-        for s in SECTIONS
-    ]
+    def section(name):
+        items = F.try_variant_get("doc", f"$.{name}", "array<variant>")
+        rows = F.transform(items, lambda v: F.struct(F.lit(name).alias("section"), F.to_json(v).alias("obj")))
+        return F.coalesce(rows, F.array().cast(_RECORDS))
+
+    section_rows = [section(name) for name in SECTIONS]
     broken = F.col("doc").isNull()
     both = parsed.withColumn("recovered", _recover(F.when(broken, F.col("body"))))
     records = F.when(broken, F.col("recovered")).otherwise(F.concat(*section_rows))

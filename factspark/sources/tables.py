@@ -247,7 +247,7 @@ FROM {d.t('customer')} WHERE c_custkey % 2 = 0"""
 @derived("part")
 def x_node(d):
     return f"""SELECT DISTINCT facet, path, path AS label, concat('Definition of ', path) AS definition,
-  CASE WHEN length(path) % 11 = 0 THEN 'proposed' WHEN length(path) % 13 = 0 THEN 'deprecated' ELSE 'active' END AS status,
+  CASE WHEN length(path) % 5 = 0 THEN 'proposed' WHEN length(path) % 13 = 0 THEN 'deprecated' ELSE 'active' END AS status,
   CASE facet WHEN 'orbit_regime' THEN 'deprecated' ELSE 'active' END AS facet_status
 FROM (SELECT CASE WHEN p_size % 5 = 0 THEN 'orbit_regime' WHEN p_size % 2 = 0 THEN 'value_chain' ELSE 'maturity' END AS facet,
   concat(lower(p_type), '.', lower(replace(p_brand, '#', '_'))) AS path FROM {d.t('part')}) n"""
