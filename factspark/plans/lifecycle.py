@@ -1 +1,571 @@
-"""To be filled."""
+"""Registered queries of the claim lifecycle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factspark.functions import vocab
+from factspark.operators import claims, folds
+from factspark.operators.entities import documents_with_source
+from factspark.sources.tables import AS_OF
+
+from .columns import AT, sql_alnum, sql_conf, sql_domain, sql_domain_trust, sql_list, sql_norm, sql_odds
+from .gaps import FRAME
+from .registry import query
+from .totals import EVIDENCE, LIVE
+
+DOCS = f"""(SELECT d.*, s.name AS source_name, coalesce(nullif({sql_domain('d.url')}, ''), regexp_replace(lower(s.domain), '^www\\.', '')) AS domain, CAST(coalesce(trust_override, base_trust) AS INT) AS trust
+ FROM x_document d LEFT JOIN x_source s USING (source_id))"""
+
+
+def docs(t):
+    return documents_with_source(t.x_document, t.x_source)
+
+
+def extracted(t):
+    """Line items as extracted claims that quote (or misquote) a document."""
+    d = t.x_document.select("document_id", F.split_part("text_content", F.lit("."), F.lit(1)).alias("head"))
+    base = t.x_assertion.select("assertion_id", "document_id", "entity_id", "attribute_key", "confidence").join(d, "document_id")
+    k = F.col("assertion_id")
+    return base.select(
+        k.alias("claim_id"), "document_id", "entity_id",
+        F.when(k % 23 == 0, "bogus_key").otherwise(F.col("attribute_key")).alias("attribute_key"),
+        F.when(k % 5 == 0, "many").otherwise(k.cast("string")).alias("value"), F.lit("units").alias("unit"),
+        F.when(k % 3 == 0, F.lit("2000-05-06").cast("date")).alias("as_of_date"),
+        F.when(k % 7 == 0, F.concat("head", F.lit(" never said"))).otherwise(F.concat(F.lit(" "), F.col("head"))).alias("quote"),
+        F.when(k % 4 == 0, "low").otherwise("high").alias("label"),
+    )
+
+
+EXTRACTED = """(SELECT assertion_id AS claim_id, a.document_id, entity_id, CASE WHEN assertion_id % 23 = 0 THEN 'bogus_key' ELSE attribute_key END AS attribute_key,
+ CASE WHEN assertion_id % 5 = 0 THEN 'many' ELSE CAST(assertion_id AS VARCHAR) END AS value, CASE WHEN assertion_id % 3 = 0 THEN TIMESTAMP '2000-05-06' END AS as_of_date,
+ CASE WHEN assertion_id % 7 = 0 THEN concat(split_part(text_content, '.', 1), ' never said') ELSE concat(' ', split_part(text_content, '.', 1)) END AS quote, CASE WHEN assertion_id % 4 = 0 THEN 'low' ELSE 'high' END AS label
+ FROM x_assertion a JOIN x_document d ON d.document_id = a.document_id)"""
+ACCEPT = f"""(SELECT claim_id, c.document_id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN score < 50 OR label = 'low' THEN 'candidate' ELSE 'accepted' END AS status, reason, score AS confidence, coalesce(as_of_date, TIMESTAMP '{AS_OF}') AS valid_lower,
+ CASE WHEN datatype IS NOT NULL THEN TRY_CAST(value AS DOUBLE) END AS value_num, CASE WHEN datatype IS NULL OR TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS value_text
+ FROM (SELECT e.*, datatype, {sql_conf(sql_odds('trust'))} AS score, CASE WHEN NOT contains(text_content, trim(quote)) THEN 'quote_not_found' WHEN datatype IS NULL THEN 'unknown_attribute' END AS reason
+  FROM {EXTRACTED} e JOIN {DOCS} d ON d.document_id = e.document_id LEFT JOIN x_attribute_def f ON f.attribute_key = e.attribute_key) c)"""
+
+
+@query("accept_extracted", f"SELECT claim_id, document_id, status, reason, confidence, valid_lower, value_num, value_text FROM {ACCEPT} a")
+def _(t):
+    decided = claims.accept_extracted(extracted(t), docs(t), t.x_attribute_def, AT)
+    return decided.select("claim_id", "document_id", "status", "reason", "confidence", "valid_lower", "value_num", "value_text")
+
+
+@query("acceptance_counts", f"SELECT document_id, count(*) FILTER (WHERE status <> 'rejected') AS accepted, count(*) FILTER (WHERE status = 'rejected') AS rejected FROM {ACCEPT} a GROUP BY 1")
+def _(t):
+    return claims.acceptance_counts(claims.accept_extracted(extracted(t), docs(t), t.x_attribute_def, AT))
+
+
+def researched(t):
+    k = F.col("claim_id")
+    return extracted(t).select(
+        "claim_id", F.concat(F.lit("Topic "), F.col("entity_id")).alias("topic"), "attribute_key",
+        F.when(k % 6 > 0, F.concat(F.lit("Subject "), F.col("entity_id"))).alias("mention"), "value", F.lit(None).cast("string").alias("unit"),
+        F.when(k % 4 == 0, "2000-02-30").when(k % 4 == 1, "1999-12-31").alias("as_of_text"),
+        F.when(k % 8 > 0, F.col("quote")).alias("quote"),
+        F.expr("CASE claim_id % 5 WHEN 0 THEN 'https://www.nasa.gov/a  b ' WHEN 1 THEN 'http://lab.edu/x' WHEN 2 THEN 'https://x.com/1' WHEN 3 THEN '' END").alias("source_url"),
+    )
+
+
+RESEARCHED = f"""(SELECT claim_id, concat('Topic ', entity_id) AS topic, attribute_key, CASE WHEN claim_id % 6 > 0 THEN concat('Subject ', entity_id) END AS mention, value, CASE WHEN claim_id % 4 = 1 THEN TIMESTAMP '1999-12-31' END AS as_of, CASE WHEN claim_id % 8 > 0 THEN quote END AS quote,
+ nullif(CASE claim_id % 5 WHEN 0 THEN 'https://www.nasa.gov/a  b ' WHEN 1 THEN 'http://lab.edu/x' WHEN 2 THEN 'https://x.com/1' WHEN 3 THEN '' END, '') AS url FROM {EXTRACTED} e)"""
+
+
+@query(
+    "accept_research",
+    f"""SELECT claim_id, r.attribute_key, coalesce(mention, topic) AS mention, coalesce(quote, mention, topic) AS quote, sha256(trim(regexp_replace(url, '\\s+', ' ', 'g'))) AS document_sha256, {sql_conf(sql_odds(sql_domain_trust('url')))} AS confidence,
+ 'candidate' AS status, coalesce(as_of, TIMESTAMP '{AS_OF}') AS valid_lower, TRY_CAST(value AS DOUBLE) AS value_num, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS value_text FROM {RESEARCHED} r JOIN x_attribute_def d ON d.attribute_key = r.attribute_key""",
+)
+def _(t):
+    stored, _ = claims.accept_research(researched(t), t.x_attribute_def, AT)
+    return stored.select("claim_id", "attribute_key", "mention", "quote", "document_sha256", "confidence", "status", "valid_lower", "value_num", "value_text")
+
+
+@query("accept_research_rejects", f"SELECT claim_id, 'unknown_attribute' AS reason, attribute_key, coalesce(mention, '?') AS subject FROM {RESEARCHED} r WHERE attribute_key NOT IN (SELECT attribute_key FROM x_attribute_def)")
+def _(t):
+    return claims.accept_research(researched(t), t.x_attribute_def, AT)[1]
+
+
+# ── events ────────────────────────────────────────────────────────────────────
+
+
+def incoming_events(t):
+    """Line items retold as event answers, two per stored story on average."""
+    k = F.col("event_id")
+    people = t.x_participant.groupBy("event_id").agg(F.array_sort(F.collect_set("entity_id")).alias("participants"))
+    e = t.x_event.join(people, "event_id", "left")
+    return e.select(
+        k.alias("in_id"), "entity_id", F.when(k % 17 > 0, "subject").otherwise(" ").alias("mention"), "title",
+        F.concat("description", F.lit(" "), F.repeat(F.lit("more "), (k % 4).cast("int"))).alias("description"),
+        F.when(k % 5 == 0, "gossip").otherwise(F.col("event_type")).alias("event_type"),
+        F.when(k % 3 == 0, F.date_format("date", "yyyy-MM")).otherwise(F.col("date").cast("string")).alias("date_text"),
+        F.when(k % 4 == 0, "huge").otherwise("high").alias("significance"),
+        F.when(k % 6 == 0, "n/a").otherwise(F.col("amount_usd").cast("double").cast("string")).alias("amount_text"),
+        "call_url", F.when(k % 9 == 0, "maybe").otherwise(F.col("call_status")).alias("call_status"),
+        F.col("confidence").alias("trust"), F.coalesce("participants", F.array().cast("array<string>")).alias("participants"),
+    )
+
+
+INCOMING = f"""(SELECT event_id AS in_id, entity_id, title, trim(concat(description, ' ', repeat('more ', CAST(event_id % 4 AS INT)))) AS description,
+ CASE WHEN event_id % 5 = 0 THEN 'milestone' ELSE event_type END AS event_type, CASE WHEN event_id % 3 = 0 THEN date_trunc('month', date)::DATE ELSE date END AS date,
+ CASE WHEN date IS NULL THEN 'year' WHEN event_id % 3 = 0 THEN 'month' ELSE 'day' END AS date_precision, CASE WHEN event_id % 4 = 0 THEN 'medium' ELSE 'high' END AS significance,
+ CASE WHEN event_id % 6 > 0 THEN CAST(amount_usd AS DOUBLE) END AS amount_usd, call_url, CASE WHEN event_id % 9 > 0 THEN call_status END AS call_status, confidence FROM x_event WHERE event_id % 17 > 0)"""
+
+
+@query(
+    "store_events",
+    f"""WITH u AS (SELECT CAST(-1 AS BIGINT) AS in_id, event_id, entity_id, event_type, title, date, description, confidence, call_url, call_status, CAST(amount_usd AS DOUBLE) AS amount_usd, CAST(NULL AS VARCHAR) AS date_precision, CAST(NULL AS VARCHAR) AS significance FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, event_type, title, date ORDER BY event_id) AS rn FROM x_event) q WHERE rn = 1
+  UNION ALL SELECT in_id, NULL, entity_id, event_type, title, date, description, confidence, call_url, call_status, amount_usd, date_precision, significance FROM {INCOMING} i)
+SELECT entity_id, event_type, title, date, max(event_id) AS event_id, min(in_id) AS first_in, arg_max(description, {{'l': length(description), 'i': -in_id}}) AS description, max(confidence) AS confidence,
+ arg_max(call_url, in_id) FILTER (WHERE call_url IS NOT NULL) AS call_url, arg_max(call_status, in_id) FILTER (WHERE call_status IS NOT NULL) AS call_status, first(amount_usd ORDER BY in_id) AS amount_usd, first(date_precision ORDER BY in_id) AS date_precision, first(significance ORDER BY in_id) AS significance, max(event_id) IS NULL AS is_new
+FROM u GROUP BY entity_id, event_type, title, date HAVING max(in_id) >= 0""",
+)
+def _(t):
+    from factspark.operators.entities import top_rows
+
+    existing = top_rows(t.x_event, folds.EVENT_KEY, [F.col("event_id")])
+    return folds.store_events(incoming_events(t), existing)
+
+
+@query(
+    "store_event_participants",
+    f"""SELECT DISTINCT entity_id, event_type, title, date, participant_id FROM (SELECT i.entity_id, event_type, title, date, p.entity_id AS participant_id, row_number() OVER (PARTITION BY in_id ORDER BY p.entity_id) AS rn FROM {INCOMING} i JOIN x_participant p ON p.event_id = in_id) q WHERE rn <= 8 AND participant_id <> entity_id""",
+)
+def _(t):
+    return folds.event_participants(incoming_events(t))
+
+
+def day_events(t):
+    """(new, stored) halves of the day's stories."""
+    e = t.x_event.withColumns({"amount_usd": F.floor(F.col("amount_usd") / 3000) + (F.col("event_id") % 4) * 0.25, "entity_id": F.substring("entity_id", 1, 2), "date": F.date_trunc("month", "date").cast("date")})
+    return e.filter("event_id % 2 = 1"), e.filter("event_id % 2 = 0")
+
+
+DAY_EVENTS = """d AS (SELECT event_id, substr(entity_id, 1, 2) AS entity_id, event_type, date_trunc('month', date)::DATE AS date, floor(amount_usd / 3000) + (event_id % 4) * 0.25::DOUBLE AS amount_usd, created_at, list_distinct(string_split_regex(lower(title || ' ' || description), '\\s+')) AS w FROM x_event),
+ p AS (SELECT n.event_id, o.event_id AS old_id, o.created_at, abs(n.amount_usd - o.amount_usd) < 1 AS amount_match, len(list_intersect(n.w, o.w)) / (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w))) AS share FROM d n JOIN d o ON n.entity_id = o.entity_id AND n.event_type = o.event_type AND n.date = o.date WHERE n.event_id % 2 = 1 AND o.event_id % 2 = 0)"""
+
+
+@query(
+    "same_day_merge",
+    f"WITH {DAY_EVENTS} SELECT event_id, old_id AS into_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at DESC, old_id DESC) AS rn FROM p WHERE amount_match OR share > 0.7 OR (share BETWEEN 0.15 AND 0.7 AND (event_id + old_id) % 7 = 0)) q WHERE rn = 1",
+)
+def _(t):
+    new, stored = day_events(t)
+    none = t.x_event.select("event_id", F.col("event_id").alias("old_id")).filter(F.lit(False))
+    asked = folds.same_story_requests(new, stored, none)
+    verdicts = asked.select("event_id", "old_id", ((F.col("event_id") + F.col("old_id")) % 7 == 0).alias("same"))
+    return folds.same_day_merge(new, stored, verdicts)
+
+
+@query("same_story_requests", f"WITH {DAY_EVENTS} SELECT event_id, old_id, round(share, 6) AS share FROM p WHERE share BETWEEN 0.15 AND 0.7 AND (event_id + old_id) % 7 > 0")
+def _(t):
+    new, stored = day_events(t)
+    none = t.x_event.select("event_id", F.col("event_id").alias("old_id")).filter(F.lit(False))
+    asked = folds.same_story_requests(new, stored, none)
+    return folds.same_story_requests(new, stored, asked.filter("(event_id + old_id) % 7 = 0")).withColumn("share", F.round("share", 6))
+
+
+def answers_fragments(t):
+    k = F.col("fragment_id")
+    return t.x_fragment.select(
+        "fragment_id", F.when(k % 11 > 0, F.col("entity_id")).otherwise(" ").alias("mention"), F.when(k % 5 == 0, F.substring("text", 1, 39)).otherwise(F.concat(F.lit("  "), "text")).alias("text"),
+        F.when(k % 3 == 0, "gossip").otherwise(F.col("category")).alias("category"), F.when(k % 2 == 0, F.date_format("date_of_information", "yyyy")).otherwise("later").alias("date_text"),
+    )
+
+
+@query(
+    "store_fragments",
+    f"""SELECT fragment_id, entity_id AS mention, trim(tx) AS text, CASE WHEN fragment_id % 3 = 0 THEN 'strategic' ELSE category END AS category, CASE WHEN fragment_id % 2 = 0 THEN date_trunc('year', date_of_information)::DATE END AS date_of_information, 65 AS confidence
+FROM (SELECT *, CASE WHEN fragment_id % 5 = 0 THEN substr(text, 1, 39) ELSE text END AS tx FROM x_fragment) f WHERE fragment_id % 11 > 0 AND length(trim(tx, ' ')) >= 40""".replace("trim(tx)", "trim(tx, ' ')"),
+)
+def _(t):
+    return claims.store_fragments(answers_fragments(t))
+
+
+# ── relations ─────────────────────────────────────────────────────────────────
+
+
+def incoming_relations(t):
+    """Line items as relation statements over a small set of ends, so triples repeat."""
+    k = F.col("relation_id")
+    return t.x_relation.select(
+        k.alias("in_id"), F.concat(F.lit("S"), (k % 7).cast("string")).alias("subject_id"), "predicate",
+        F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("S"), (k % 11).cast("string"))).alias("object_id"),
+        (k % 40).alias("document_id"), (k % 101).cast("int").alias("trust"), F.lit(None).cast("string").alias("object_type"),
+    )
+
+
+def stored_relations(t):
+    k = F.col("relation_id")
+    first = t.x_relation.filter("relation_id % 50 = 1").groupBy(F.concat(F.lit("S"), (k % 7).cast("string")).alias("subject_id"), "predicate", F.concat(F.lit("S"), (k % 11).cast("string")).alias("object_id"))
+    return first.agg(F.min("relation_id").alias("relation_id")).select("*", (F.col("relation_id") % 40).alias("document_id"), (F.col("relation_id") % 60).cast("int").alias("confidence"), F.lit("candidate").alias("status"))
+
+
+PREDICATES = "('supplies', 'contracted_by', 'customer_of', 'manufactures', 'has_office_in')"
+
+
+@query(
+    "store_relations",
+    f"""WITH i AS (SELECT relation_id AS in_id, concat('S', relation_id % 7) AS subject_id, predicate, concat('S', relation_id % 11) AS object_id, relation_id % 40 AS document_id, CAST(relation_id % 101 AS INT) AS trust FROM x_relation WHERE relation_id % 13 > 0 AND relation_id % 7 <> relation_id % 11 AND predicate IN {PREDICATES}),
+ e AS (SELECT subject_id, predicate, object_id, relation_id, relation_id % 40 AS document_id, CAST(relation_id % 60 AS INT) AS confidence FROM (SELECT concat('S', relation_id % 7) AS subject_id, predicate, concat('S', relation_id % 11) AS object_id, min(relation_id) AS relation_id FROM x_relation WHERE relation_id % 50 = 1 GROUP BY 1, 2, 3) q),
+ g AS (SELECT i.subject_id, i.predicate, i.object_id, any_value(e.relation_id) AS relation_id, any_value(e.document_id) AS edoc, any_value(e.confidence) AS econf, arg_min(i.document_id, in_id) AS odoc, arg_min(trust, in_id) AS otrust, list({{'d': i.document_id, 't': trust}} ORDER BY in_id) AS steps FROM i LEFT JOIN e ON e.subject_id = i.subject_id AND e.predicate = i.predicate AND e.object_id = i.object_id GROUP BY 1, 2, 3),
+ h AS (SELECT *, coalesce(edoc, odoc) AS home, coalesce(econf, otrust) AS base, CASE WHEN relation_id IS NULL THEN steps[2:] ELSE steps END AS later FROM g),
+ r AS (SELECT *, list_transform(later, lambda x: CASE WHEN x.d = home THEN 1000 + x.t ELSE x.t END) AS ops FROM h),
+ f AS (SELECT *, CAST(list_reduce(list_prepend(CAST(base AS BIGINT), list_transform(ops, lambda x: CAST(x AS BIGINT))), lambda acc, x: CASE WHEN x >= 1000 THEN x - 1000 ELSE least(99, acc + greatest(3, CAST(floor((100 - acc) * x / 300.0::DOUBLE) AS BIGINT))) END) AS INT) AS confidence,
+  coalesce(list_max(list_transform(range(1, len(ops) + 1), lambda j: CASE WHEN ops[j] >= 1000 THEN j ELSE 0 END)), 0) AS last_set FROM r)
+SELECT subject_id, predicate, object_id, relation_id, home AS document_id, confidence, CASE WHEN len(ops) > last_set AND confidence >= 65 THEN 'accepted' WHEN last_set > 0 THEN CASE WHEN ops[last_set] - 1000 >= 65 THEN 'accepted' ELSE 'candidate' END WHEN relation_id IS NOT NULL THEN 'candidate' WHEN otrust >= 65 THEN 'accepted' ELSE 'candidate' END AS status, relation_id IS NULL AS is_new FROM f""",
+)
+def _(t):
+    known = t.x_relation.select("predicate").distinct().filter(f"predicate IN {PREDICATES}")
+    return folds.store_relations(folds.clean_relations(incoming_relations(t), known), stored_relations(t))
+
+
+@query(
+    "clean_relations",
+    f"""SELECT relation_id AS in_id, predicate, CASE WHEN predicate = 'has_office_in' THEN 'geography' ELSE 'company' END AS object_type FROM x_relation JOIN x_document d ON d.document_id = relation_id % 40
+ WHERE relation_id % 13 > 0 AND relation_id % 7 <> relation_id % 11 AND predicate IN {PREDICATES} AND relation_id % 3 > 0""",
+)
+def _(t):
+    known = t.x_relation.select("predicate").distinct().filter(f"predicate IN {PREDICATES}")
+    heads = t.x_document.select("document_id", F.concat(F.lit(" "), F.substring("text_content", 1, 5)).alias("head"))
+    quoted = incoming_relations(t).join(heads, "document_id").withColumn("quote", F.when(F.col("in_id") % 3 > 0, F.col("head")).otherwise("@not in text@"))
+    return folds.clean_relations(quoted, known, t.x_document).select("in_id", "predicate", "object_type")
+
+
+# ── adjudication ──────────────────────────────────────────────────────────────
+
+
+def new_claims(t):
+    return t.x_assertion.filter("status = 'candidate' AND superseded_at IS NULL")
+
+
+@query("adjudicate")
+def _(t):
+    return folds.adjudicate(new_claims(t), t.x_assertion, docs(t), t.x_attribute_def)
+
+
+@query("adjudicate_hot")
+def _(t):
+    return folds.adjudicate(new_claims(t), t.x_assertion, docs(t), t.x_attribute_def, fold_rows=8)
+
+
+@query("open_conflicts")
+def _(t):
+    outcomes = folds.adjudicate(new_claims(t), t.x_assertion, docs(t), t.x_attribute_def)
+    none = t.x_assertion.select("entity_id", "attribute_key", F.lit(None).cast("string").alias("resolution")).filter(F.lit(False))
+    return folds.open_conflicts(outcomes, t.x_assertion, t.x_attribute_def, none).withColumn("assertion_ids", F.array_join(F.col("assertion_ids").cast("array<string>"), ","))
+
+
+PAIRS = """(SELECT a.assertion_id AS old_id, b.assertion_id AS new_id, a.entity_id, a.attribute_key, coalesce(a.valid_lower, TIMESTAMP '2002-01-01') AS ol, coalesce(b.valid_lower, TIMESTAMP '2002-01-01') AS nl FROM x_assertion a JOIN x_assertion b ON b.entity_id = a.entity_id AND b.attribute_key = a.attribute_key AND b.confidence = a.confidence + 1)"""
+
+
+def pairs(t):
+    a = t.x_assertion.select(F.col("assertion_id").alias("old_id"), "entity_id", "attribute_key", (F.col("confidence") + 1).alias("confidence"))
+    b = t.x_assertion.select(F.col("assertion_id").alias("new_id"), "entity_id", "attribute_key", "confidence")
+    return a.join(b, ["entity_id", "attribute_key", "confidence"])
+
+
+@query(
+    "supersede",
+    f"""SELECT old_id AS assertion_id, CASE WHEN nl < ol THEN 'inverted' ELSE 'superseded' END AS status, CASE WHEN nl >= ol THEN nl END AS valid_upper, CASE WHEN nl >= ol THEN TIMESTAMP '2002-01-01' END AS superseded_at FROM {PAIRS} p
+UNION ALL SELECT new_id, CASE WHEN nl < ol THEN 'inverted' ELSE 'accepted' END, NULL, NULL FROM {PAIRS} p""",
+)
+def _(t):
+    return claims.supersede(pairs(t), t.x_assertion, AT)
+
+
+@query(
+    "synthesis_requests",
+    f"""WITH s AS (SELECT assertion_id, concat('- Source: ', coalesce(source_name, 'unknown'), ' (trust ', coalesce(trust, 55), '/100) Value: ', CAST(CAST(value_num AS DOUBLE) AS VARCHAR), ' Quote: ', coalesce(quote, '(none)')) AS line FROM x_assertion LEFT JOIN {DOCS} d USING (document_id))
+SELECT p.entity_id, p.attribute_key, old_id, new_id, concat(o.line, chr(10), n.line) AS evidence FROM {PAIRS} p JOIN s o ON o.assertion_id = old_id JOIN s n ON n.assertion_id = new_id""",
+)
+def _(t):
+    return claims.synthesis_requests(pairs(t), t.x_assertion, docs(t))
+
+
+def synthesis_verdicts(t):
+    first = pairs(t).groupBy("entity_id", "attribute_key").agg(F.min("old_id").alias("k"))
+    return first.select(
+        "entity_id", "attribute_key", F.when(F.col("k") % 5 > 0, F.col("k").cast("string")).alias("value"),
+        (F.col("k") % 120).cast("int").alias("confidence"), F.concat(F.lit("because "), F.col("k")).alias("reasoning"),
+    )
+
+
+VERDICTS = f"(SELECT entity_id, attribute_key, min(old_id) AS k FROM {PAIRS} p GROUP BY 1, 2)"
+
+
+@query(
+    "synthesis_apply",
+    f"""SELECT entity_id, attribute_key, 'synthesis' AS method, greatest(30, least(90, CAST(k % 120 AS INT))) AS confidence, CAST(k AS DOUBLE) AS value_num, concat('[Synthesised] because ', k) AS quote FROM {VERDICTS} v WHERE k % 5 > 0""",
+)
+def _(t):
+    none = t.x_assertion.filter(F.lit(False))
+    made = claims.synthesis_apply(synthesis_verdicts(t), t.x_assertion, t.x_attribute_def, none)["created"]
+    return made.select("entity_id", "attribute_key", "method", "confidence", "value_num", "quote")
+
+
+@query("synthesis_lineage", f"SELECT entity_id, attribute_key, assertion_id, 'superseded' AS status FROM x_assertion JOIN {VERDICTS} v USING (entity_id, attribute_key) WHERE k % 5 > 0 AND superseded_at IS NULL")
+def _(t):
+    none = t.x_assertion.filter(F.lit(False))
+    return claims.synthesis_apply(synthesis_verdicts(t), t.x_assertion, t.x_attribute_def, none)["lineage"]
+
+
+@query(
+    "synthesis_conflicts",
+    f"""SELECT v.entity_id, v.attribute_key, string_agg(assertion_id, ',' ORDER BY assertion_id) AS assertion_ids, 'medium' AS severity, 'picked' AS resolution, concat('because ', k) AS notes FROM {VERDICTS} v LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY entity_id, attribute_key ORDER BY assertion_id) AS rn FROM x_assertion WHERE superseded_at IS NULL) a ON a.entity_id = v.entity_id AND a.attribute_key = v.attribute_key AND rn <= 10
+WHERE k % 5 > 0 AND v.entity_id NOT IN (SELECT entity_id FROM x_entity WHERE watchlist) GROUP BY v.entity_id, v.attribute_key, k""",
+)
+def _(t):
+    watched = t.x_entity.filter("watchlist").select("entity_id").join(t.x_assertion.select("entity_id", "attribute_key").distinct(), "entity_id")
+    made = claims.synthesis_apply(synthesis_verdicts(t), t.x_assertion, t.x_attribute_def, watched)["conflicts"]
+    return made.withColumn("assertion_ids", F.array_join(F.col("assertion_ids").cast("array<string>"), ","))
+
+
+# ── verification ──────────────────────────────────────────────────────────────
+
+
+def quoted_claims(t):
+    heads = t.x_document.select("document_id", F.split_part("text_content", F.lit("."), F.lit(1)).alias("head"))
+    k = F.col("assertion_id")
+    q = F.when(k % 6 == 0, F.concat(F.lit("We "), "head")).when(k % 6 == 1, F.substring("head", 1, 12)).when(k % 6 == 2, "a sentence that no page in here has ever contained at all").otherwise(F.concat(F.lit(" "), "head"))
+    return t.x_assertion.drop("quote").join(heads, "document_id").withColumn("quote", F.when(k % 10 > 0, q)).withColumn("quote_verified", F.when(k % 14 == 0, True))
+
+
+VERIFY = f"""(SELECT assertion_id, status, confidence, CASE WHEN coalesce(url, '') = '' OR coalesce(q, '') = '' THEN 'skipped' WHEN length(q) < 20 THEN 'weak' WHEN coalesce(raw_content, '') = '' THEN 'unfetchable'
+ WHEN contains(raw_content, q) OR contains(text_content, q) OR (len(qt) >= 6 AND len(list_intersect(qt, ht)) / len(qt) >= 0.8) THEN 'verified' ELSE 'failed' END AS outcome FROM (
+ SELECT *, {sql_alnum('q')} AS qt, {sql_alnum("coalesce(raw_content, '') || ' ' || text_content")} AS ht FROM (
+ SELECT assertion_id, status, confidence, url, raw_content, text_content, trim(CASE WHEN assertion_id % 10 > 0 THEN CASE assertion_id % 6 WHEN 0 THEN 'We ' || split_part(text_content, '.', 1) WHEN 1 THEN substr(split_part(text_content, '.', 1), 1, 12) WHEN 2 THEN 'a sentence that no page in here has ever contained at all' ELSE split_part(text_content, '.', 1) END END, ' ') AS q
+ FROM x_assertion JOIN x_document USING (document_id) WHERE assertion_id % 14 > 0) a) b)"""
+
+
+@query(
+    "verify_quotes",
+    f"""SELECT assertion_id, outcome, CASE outcome WHEN 'verified' THEN true WHEN 'failed' THEN false WHEN 'weak' THEN false END AS quote_verified,
+ CASE outcome WHEN 'verified' THEN confidence + 5 WHEN 'failed' THEN greatest(20, confidence - 20) ELSE confidence END AS confidence, CASE WHEN outcome = 'failed' AND status = 'accepted' AND greatest(20, confidence - 20) < 50 THEN 'candidate' ELSE status END AS status FROM {VERIFY} v""",
+)
+def _(t):
+    return claims.verify_quotes(quoted_claims(t), t.x_document)
+
+
+@query("verify_quote_counts", f"SELECT outcome, count(*) AS n FROM {VERIFY} v GROUP BY 1")
+def _(t):
+    return claims.outcome_counts(claims.verify_quotes(quoted_claims(t), t.x_document))
+
+
+# ── derived totals ────────────────────────────────────────────────────────────
+
+
+@query("derive_funding_totals")
+def _(t):
+    return folds.derive_funding_totals(t.x_event, t.x_entity, t.x_assertion)["totals"]
+
+
+@query(
+    "funding_rounds",
+    f"""SELECT entity_id, amount, year, event_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, amount, year ORDER BY date NULLS LAST, event_id) AS rn FROM (
+ SELECT entity_id, round(CAST(amount_usd AS DOUBLE), 2) AS amount, CAST(year(date) AS INT) AS year, date, event_id, e.confidence FROM x_event e JOIN x_entity USING (entity_id) WHERE event_type IN ({sql_list(vocab.EQUITY_TYPES)}) AND amount_usd IS NOT NULL AND status <> 'merged' AND entity_type IN ({sql_list(vocab.RAISING_TYPES)})) r) q WHERE rn = 1""",
+)
+def _(t):
+    return folds.funding_rounds(t.x_event, t.x_entity).drop("day")
+
+
+@query("funding_total_superseded")
+def _(t):
+    return folds.derive_funding_totals(t.x_event, t.x_entity, t.x_assertion)["superseded"]
+
+
+# ── supply chain ──────────────────────────────────────────────────────────────
+
+
+def supply_answers(t):
+    return t.part.groupBy(F.concat(F.lit("S"), (F.col("p_partkey") % 90).cast("string")).alias("entity_id")).agg(
+        F.array_sort(F.collect_list(F.concat(F.lit(" "), "p_name"))).alias("outputs"), F.array_sort(F.collect_set(F.when(F.col("p_size") > 45, F.col("p_type")))).alias("inputs")
+    )
+
+
+ANSWERS = "(SELECT concat('S', p_partkey % 90) AS entity_id, 'output' AS attribute_key, p_name AS value_text FROM part UNION SELECT concat('S', p_partkey % 90), 'input', p_type FROM part WHERE p_size > 45)"
+
+
+@query(
+    "supply_chain_apply",
+    f"SELECT entity_id, attribute_key, value_text, 80 AS confidence, 'candidate' AS status FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, attribute_key ORDER BY value_text) AS rn FROM {ANSWERS} a) q WHERE rn <= 10",
+)
+def _(t):
+    return claims.supply_chain_apply(supply_answers(t), t.x_fact)[0].drop("method")
+
+
+@query("supply_chain_replaced", f"SELECT assertion_id, entity_id FROM x_fact WHERE superseded_at IS NULL AND method = 'structured_api' AND attribute_key IN ('output', 'input') AND entity_id IN (SELECT entity_id FROM {ANSWERS} a)")
+def _(t):
+    return claims.supply_chain_apply(supply_answers(t), t.x_fact)[1]
+
+
+def tier_answers(t):
+    raw = F.expr("concat('\"', CASE WHEN p_size % 2 = 0 THEN 'upstream' ELSE p_type END, '.', p_partkey, '\"; midstream.z')")
+    return t.part.select(F.concat(F.lit("S"), (F.col("p_partkey") % 90).cast("string")).alias("entity_id"), F.array(raw).alias("tiers")).filter("element_at(tiers, 1) NOT LIKE '%ECONOMY%'")
+
+
+TIERS = "(SELECT p_partkey, concat('S', p_partkey % 90) AS entity_id, concat('upstream.', p_partkey) AS tier FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, concat('S', p_partkey % 90), 'midstream.z' FROM part WHERE NOT (p_size % 2 = 1 AND p_type = 'ECONOMY'))"
+
+
+@query("tier_apply", f"SELECT entity_id, tier AS value_text, 85 AS confidence FROM {TIERS} t")
+def _(t):
+    return claims.tier_apply(tier_answers(t), t.x_fact)[0].select("entity_id", "value_text", "confidence")
+
+
+# ── classification, relevance, types ──────────────────────────────────────────
+
+
+def class_items(t):
+    k = F.col("p_partkey")
+    path = F.expr("concat(lower(p_type), '.', lower(replace(p_brand, '#', '_')), CASE p_partkey % 6 WHEN 0 THEN '.deep' WHEN 1 THEN '.deep.er' WHEN 2 THEN '.Bad' ELSE '' END)")
+    return t.part.select(
+        F.concat(F.lit("C"), (k % 150).cast("string")).alias("entity_id"), k.alias("pos"),
+        F.when(F.col("p_size") % 5 == 0, "orbit_regime").when(F.col("p_size") % 2 == 0, "value_chain").otherwise("maturity").alias("facet"),
+        path.alias("path"), F.when(k % 4 > 0, F.col("p_size") / 40.0).alias("weight"), F.when(k % 3 > 0, F.col("p_size") % 3 == 0).alias("is_primary"),
+        F.expr("CASE p_partkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'odd' END").alias("label"),
+    )
+
+
+FACETS = " ".join(f"WHEN '{k}' THEN facet IN ({sql_list(v)})" for k, v in vocab.FACETS_FOR_TYPE.items())
+ITEMS = f"""(SELECT concat('C', p_partkey % 150) AS entity_id, p_partkey AS pos, CASE WHEN p_size % 5 = 0 THEN 'orbit_regime' WHEN p_size % 2 = 0 THEN 'value_chain' ELSE 'maturity' END AS facet,
+ concat(lower(p_type), '.', lower(replace(p_brand, '#', '_')), CASE p_partkey % 6 WHEN 0 THEN '.deep' WHEN 1 THEN '.deep.er' WHEN 2 THEN '.Bad' ELSE '' END) AS path, CASE WHEN p_partkey % 4 > 0 THEN p_size / 40.0::DOUBLE END AS weight, CASE WHEN p_partkey % 3 > 0 THEN p_size % 3 = 0 END AS is_primary, CASE p_partkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'odd' END AS label FROM part)"""
+JUDGED = f"""it AS (SELECT i.*, coalesce(CASE entity_type {FACETS} END, false) AS allowed FROM {ITEMS} i JOIN x_entity USING (entity_id)),
+ known AS (SELECT facet, path FROM x_node WHERE status = 'active' AND facet_status = 'active'), prop AS (SELECT DISTINCT facet, path FROM it WHERE allowed AND regexp_full_match(path, '[a-z][a-z0-9_]*(\\.[a-z][a-z0-9_]*)*')),
+ grow AS (SELECT facet, path, 0 AS n FROM known UNION SELECT p.facet, p.path, g.n + 1 FROM grow g JOIN prop p ON p.facet = g.facet AND regexp_replace(p.path, '\\.[^.]*$', '') = g.path AND p.path <> g.path WHERE (p.facet, p.path) NOT IN (SELECT (facet, path) FROM known)),
+ jd AS (SELECT it.*, allowed AND (facet, path) IN (SELECT (facet, path) FROM grow) AS stored, allowed AND (facet, path) IN (SELECT (facet, path) FROM grow) AND (facet, path) NOT IN (SELECT (facet, path) FROM known) AS is_new_node FROM it)"""
+
+
+@query(
+    "classification_apply",
+    f"""WITH {JUDGED} SELECT entity_id, facet, path, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(weight, 0.5::DOUBLE))), 6) AS weight, coalesce(is_primary, false) AS is_primary, CASE label WHEN 'high' THEN 85 WHEN 'low' THEN 45 ELSE 65 END AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, facet, path ORDER BY pos DESC) AS rn FROM jd WHERE stored) q WHERE rn = 1""",
+)
+def _(t):
+    judged = claims.classification_items(class_items(t), t.x_entity, t.x_node)
+    return claims.classification_apply(judged).withColumn("weight", F.round("weight", 6))
+
+
+@query("classification_counts", f"WITH {JUDGED} SELECT entity_id, count(*) FILTER (WHERE stored) AS created, count(*) FILTER (WHERE NOT stored) AS skipped FROM jd GROUP BY 1")
+def _(t):
+    return claims.classification_counts(claims.classification_items(class_items(t), t.x_entity, t.x_node))
+
+
+@query("classification_new_nodes", f"WITH {JUDGED} SELECT DISTINCT facet, path, CASE WHEN ends_with(path, '.er') THEN 'Er' ELSE 'Deep' END AS label, 'active' AS status FROM jd WHERE is_new_node")
+def _(t):
+    return claims.new_nodes(claims.classification_items(class_items(t), t.x_entity, t.x_node))
+
+
+def scores(t):
+    n = F.expr("CAST(substr(entity_id, 2) AS INT)")
+    return t.x_entity.select("entity_id", F.when(n % 3 > 0, n % 160 - 20).alias("score"), (n % 2).alias("created"))
+
+
+@query(
+    "relevance_update",
+    f"""WITH s AS (SELECT entity_id, entity_type, space_relevance AS old, coalesce(CASE WHEN n % 3 > 0 THEN greatest(0, least(100, n % 160 - 20)) END, CASE WHEN n % 2 > 0 THEN 100 END) AS new FROM (SELECT *, CAST(substr(entity_id, 2) AS INT) AS n FROM x_entity WHERE entity_type IN ({sql_list(vocab.SCORED_TYPES)})) e),
+ p AS (SELECT s.*, old IS NULL OR new > old AS promoted, new IS NOT NULL AND (old IS NULL OR new > old OR coalesce(v.n > 0, false)) AS allowed, coalesce(v.n - v.n_claims, 0) = 0 AS no_data FROM s LEFT JOIN ({EVIDENCE}) v USING (entity_id))
+SELECT entity_id, CASE WHEN allowed THEN new ELSE old END AS space_relevance, CASE WHEN allowed THEN new ELSE old END IS DISTINCT FROM old AS changed, coalesce(allowed AND promoted AND new >= 50 AND entity_type = 'person' AND no_data, false) AS request_research FROM p""",
+)
+def _(t):
+    return claims.relevance_update(t.x_entity, scores(t), t.x_assertion, t.x_event, t.x_fragment)
+
+
+@query(
+    "raise_relevance",
+    "SELECT entity_id, CASE WHEN s IS NULL THEN space_relevance WHEN space_relevance IS NULL THEN s ELSE greatest(space_relevance, s) END AS space_relevance FROM (SELECT entity_id, space_relevance, CASE WHEN CAST(substr(entity_id, 2) AS INT) % 3 > 0 THEN greatest(0, least(100, CAST(substr(entity_id, 2) AS INT) % 160 - 20)) END AS s FROM x_entity) e",
+)
+def _(t):
+    return claims.raise_relevance(t.x_entity, scores(t))
+
+
+AUDIT = f"""au AS (SELECT entity_id, entity_type, evidence FROM (SELECT entity_id, substr(string_agg(line, chr(10) ORDER BY part, a, b), 1, 1200) AS evidence FROM (
+ SELECT entity_id, 0 AS part, rn AS a, 0 AS b, substr(text, 1, 220) AS line FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, fragment_id) AS rn FROM x_fragment) f WHERE rn <= 3
+ UNION ALL SELECT entity_id, 1, rn, 0, event_type || ': ' || title FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC NULLS FIRST, event_id DESC) AS rn FROM x_event) f WHERE rn <= 5
+ UNION ALL SELECT entity_id, 2, 0, 0, 'Name: ' || canonical_name FROM x_entity
+ UNION ALL SELECT entity_id, 3, row_number() OVER (PARTITION BY entity_id ORDER BY attribute_key, assertion_id), 0, '  ' || attribute_key || ': ' || CAST(CAST(value_num AS DOUBLE) AS VARCHAR) FROM x_assertion WHERE {LIVE}) x GROUP BY 1) y JOIN x_entity USING (entity_id)
+ WHERE entity_type IN ({sql_list(vocab.CORRECTABLE_TYPES)}) AND NOT (entity_type = 'geography' AND {sql_norm('canonical_name')} IN ({sql_list(vocab.PLACE_NAMES)})) AND length(trim(evidence, ' ')) >= 80)"""
+
+
+@query("type_audit_requests", f"WITH {AUDIT} SELECT * FROM au")
+def _(t):
+    return claims.type_audit_requests(t.x_entity, t.x_assertion, t.x_event, t.x_fragment)
+
+
+def type_verdicts(t):
+    n = F.expr("CAST(substr(entity_id, 2) AS INT)")
+    kind = F.when(n % 4 == 0, "facility").when(n % 4 == 1, "asset").when(n % 4 == 2, "spaceship").otherwise("company")
+    return t.x_entity.select("entity_id", kind.alias("new_type"), F.when(n % 3 > 0, "high").otherwise("low").alias("label"))
+
+
+@query(
+    "type_audit_apply",
+    f"""WITH {AUDIT}, v AS (SELECT entity_id, CASE n % 4 WHEN 0 THEN 'facility' WHEN 1 THEN 'asset' WHEN 3 THEN 'company' END AS new_type FROM (SELECT entity_id, CAST(substr(entity_id, 2) AS INT) AS n FROM x_entity) q WHERE n % 3 > 0 AND n % 4 <> 2 AND entity_id IN (SELECT entity_id FROM au))
+SELECT entity_id, coalesce(new_type, entity_type) AS entity_type, coalesce(new_type <> entity_type, false) AS changed FROM x_entity LEFT JOIN v USING (entity_id)""",
+)
+def _(t):
+    requests = claims.type_audit_requests(t.x_entity, t.x_assertion, t.x_event, t.x_fragment)
+    return claims.type_audit_apply(t.x_entity, requests, type_verdicts(t))
+
+
+# ── summaries and review ──────────────────────────────────────────────────────
+
+INPUTS = """si AS (SELECT entity_id, coalesce(space_relevance < 100, false) AS condensed, CAST(least(coalesce(ne, 0), CASE WHEN coalesce(space_relevance < 100, false) THEN 10 ELSE 25 END) AS INT) AS n_events, CAST(least(coalesce(nf, 0), CASE WHEN coalesce(space_relevance < 100, false) THEN 10 ELSE 30 END) AS INT) AS n_fragments
+ FROM x_entity LEFT JOIN (SELECT entity_id, count(*) AS ne FROM x_event GROUP BY 1) e USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS nf FROM x_fragment GROUP BY 1) f USING (entity_id) WHERE status <> 'merged')"""
+
+
+@query("summary_inputs", f"WITH {INPUTS} SELECT * FROM si")
+def _(t):
+    return claims.summary_inputs(t.x_entity, t.x_event, t.x_fragment)
+
+
+@query(
+    "summary_apply",
+    f"""WITH {INPUTS}, j AS (SELECT si.entity_id, n_events + n_fragments AS s, entity_type, space_relevance AS old, CASE WHEN n % 3 > 0 THEN greatest(0, least(100, n % 160 - 20)) END AS score, n % 9 > 0 AS has_overview, si.entity_id NOT IN (SELECT entity_id FROM x_summary) AS created
+  FROM si JOIN (SELECT *, CAST(substr(entity_id, 2) AS INT) AS n FROM x_entity) e ON e.entity_id = si.entity_id),
+ k AS (SELECT *, CASE WHEN score IS NULL THEN old WHEN old IS NULL THEN score ELSE greatest(old, score) END AS rel FROM j WHERE NOT (s = 0 AND entity_type IN ('person', 'geography', 'document_node')))
+SELECT entity_id, s AS source_count, CASE WHEN s = 0 AND coalesce(score = 0, false) THEN 0 ELSE 1 END AS n_challenges, rel AS space_relevance, CASE WHEN s = 0 AND rel >= 50 THEN CASE WHEN {FRAME} = 'company' AND rel < 100 THEN 'space_angle' ELSE {FRAME} END END AS research_frame,
+ created AND has_overview AND NOT (s > 0 AND entity_type IN ('geography', 'document_node', 'event')) AS request_aliases FROM k""",
+)
+def _(t):
+    n = F.expr("CAST(substr(entity_id, 2) AS INT)")
+    verdicts = scores(t).select("entity_id", F.when(n % 9 > 0, "text").otherwise("").alias("overview"), F.array(F.lit("c")).alias("challenges"), "score")
+    inputs = claims.summary_inputs(t.x_entity, t.x_event, t.x_fragment)
+    out = claims.summary_apply(t.x_entity, t.x_summary, inputs, verdicts)
+    return out.withColumn("n_challenges", F.size("challenges")).drop("challenges", "overview")
+
+
+@query(
+    "review_claims",
+    """SELECT assertion_id, CASE WHEN status = 'candidate' AND k = 0 THEN 'accepted' WHEN status = 'candidate' AND k = 1 THEN 'rejected' ELSE status END AS status, CASE WHEN status = 'candidate' AND k = 0 THEN 'approved' WHEN status = 'candidate' AND k = 1 THEN 'corrected' WHEN k = 2 THEN 'pending' END AS review_state
+FROM (SELECT assertion_id, status, assertion_id % 4 AS k FROM x_assertion) a WHERE k < 3""",
+)
+def _(t):
+    action = F.expr("CASE assertion_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'flag' END")
+    return claims.review_claims(t.x_assertion, t.x_assertion.select("assertion_id", action.alias("action")).filter("action IS NOT NULL"))
+
+
+@query(
+    "review_entities",
+    "SELECT entity_id, CASE WHEN n % 3 = 0 THEN 'asset' ELSE entity_type END AS entity_type, CASE WHEN n % 4 = 0 THEN 'Renamed' ELSE canonical_name END AS canonical_name, CASE WHEN n % 5 = 0 THEN 'disputed' ELSE status END AS status FROM (SELECT *, CAST(substr(entity_id, 2) AS INT) AS n FROM x_entity) e",
+)
+def _(t):
+    n = F.expr("CAST(substr(entity_id, 2) AS INT)")
+    edits = t.x_entity.select("entity_id", F.when(n % 3 == 0, "asset").otherwise("starship").alias("new_type"), F.when(n % 4 == 0, " Renamed ").otherwise("  ").alias("new_name"), F.when(n % 5 == 0, "disputed").otherwise("gone").alias("new_status"))
+    return claims.review_entities(t.x_entity, edits)
+
+
+@query("review_feeds", "SELECT feed_id, CASE WHEN feed_id % 7 = 0 THEN false WHEN feed_id % 7 = 1 THEN true ELSE is_active END AS is_active FROM x_feed")
+def _(t):
+    switches = t.x_feed.select("feed_id", F.expr("CASE feed_id % 7 WHEN 0 THEN false WHEN 1 THEN true END").alias("active")).filter("active IS NOT NULL")
+    return claims.review_feeds(t.x_feed, switches).select("feed_id", "is_active")
+
+
+@query(
+    "ready_for_classification",
+    """SELECT entity_id, run_id FROM (SELECT DISTINCT entity_id, run_id, run_id % 10 AS deferrals FROM x_assertion) t WHERE deferrals >= 8 OR run_id NOT IN (SELECT run_id FROM x_assertion WHERE status = 'candidate')""",
+)
+def _(t):
+    triggers = t.x_assertion.select("entity_id", "run_id").distinct().withColumn("deferrals", F.col("run_id") % 10)
+    return claims.ready_for_classification(triggers, t.x_assertion)
