@@ -414,7 +414,7 @@ def _fold_group(rows: list[dict]) -> list[tuple]:
 # ── adjudication of very large groups ─────────────────────────────────────────
 
 KEY = ["entity_id", "attribute_key"]
-BLOCK_BITS, LEVEL_BITS, LEVELS = 14, 8, 6
+BLOCK_BITS, LEVEL_BITS = 14, 8
 _DOCUMENT = ["document_id", "content_sha256", "domain", "published_at"]
 
 
@@ -423,13 +423,13 @@ def _lift(confidence: Column, other: Column) -> Column:
     return trust.odds_to_confidence(odds)
 
 
-def lift_confidence(steps: DataFrame, start: DataFrame) -> DataFrame:
+def lift_confidence(steps: DataFrame, start: DataFrame, levels: int) -> DataFrame:
     """Confidence of each target after its corroborations were applied in id order.
 
     ``steps``: target_id, assertion_id, trust.  ``start``: target_id, confidence.  A run
     of steps is a table that maps every confidence 0..100 to the one after the run.
-    Tables are built for short id blocks and joined level by level, so one much
-    corroborated claim is worked on by many tasks.
+    Tables are built for short id blocks and joined level by level (``levels`` follows
+    from the largest id), so one much corroborated claim is worked on by many tasks.
     """
     block = F.shiftright("assertion_id", BLOCK_BITS)
     runs = steps.groupBy("target_id", block.alias("block")).agg(
@@ -438,7 +438,7 @@ def lift_confidence(steps: DataFrame, start: DataFrame) -> DataFrame:
     identity = F.sequence(F.lit(0), F.lit(100))
     table = F.aggregate("s", identity, lambda acc, s: F.transform(acc, lambda c: _lift(c, s["trust"])))
     runs = runs.select("target_id", "block", "n", table.alias("after"))
-    for _ in range(LEVELS):
+    for _ in range(levels):
         wider = F.shiftright("block", LEVEL_BITS).alias("block")
         runs = runs.groupBy("target_id", wider).agg(
             F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("block").alias("at"), "after"))).alias("s")
@@ -481,10 +481,13 @@ def adjudicate_hot(claims: DataFrame) -> DataFrame:
     pending = claims.filter("is_new")
     log = None
     rejecting = ["same_document", "corroborates", "echo", "out_of_range"]
+    ordered = [F.negative("confidence").alias("neg"), "assertion_id", *[c for c in static.columns if c != "assertion_id"], "confidence"]
+    bits = int(claims.agg(F.max("assertion_id")).first()[0] or 0).bit_length()
+    levels = max(0, -(-(bits - BLOCK_BITS) // LEVEL_BITS))
     for turn in range(1_000_000):
         ranked = top_rows(force, KEY, [F.desc("confidence"), F.col("assertion_id")], 2)
         best = ranked.join(static, "assertion_id").groupBy(*KEY).agg(
-            F.array_sort(F.collect_list(F.struct(F.negative("confidence").alias("neg"), *[c for c in static.columns], "confidence"))).alias("b")
+            F.array_sort(F.collect_list(F.struct(*ordered))).alias("b")
         )
         open_ = pending.join(best, KEY, "left")
         first, second = F.try_element_at("b", F.lit(1)), F.try_element_at("b", F.lit(2))
@@ -503,7 +506,7 @@ def adjudicate_hot(claims: DataFrame) -> DataFrame:
             F.col("r.assertion_id").alias("target_id"), "assertion_id", F.coalesce("c.trust", F.lit(50)).alias("trust")
         )
         start = force.select(F.col("assertion_id").alias("target_id"), "confidence")
-        lifted = lift_confidence(support, start)
+        lifted = lift_confidence(support, start, levels)
         none = lambda t: F.lit(None).cast(t)
         entry = lambda df, key, outcome, status, review, other, conf, added: df.select(
             F.lit(turn).alias("turn"), key.alias("assertion_id"), outcome.alias("outcome"), status.alias("status"),

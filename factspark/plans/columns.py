@@ -10,7 +10,8 @@ from factspark.sources.tables import AS_OF
 
 from .registry import query
 
-AT = F.lit(AS_OF).cast("timestamp")
+def at():
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def sql_list(items) -> str:
@@ -171,8 +172,8 @@ def _(t):
     anchor = F.coalesce("valid_lower", "observed_at")
     return a.select(
         "assertion_id",
-        trust.days_stale(anchor, F.col("volatility_days"), AT).alias("days_stale"),
-        trust.periods_stale(anchor, F.col("volatility_days"), AT).alias("periods_stale"),
+        trust.days_stale(anchor, F.col("volatility_days"), at()).alias("days_stale"),
+        trust.periods_stale(anchor, F.col("volatility_days"), at()).alias("periods_stale"),
     ).withColumn("stale", F.col("days_stale") > 0)
 
 
@@ -188,7 +189,7 @@ def _(t):
     anchor = F.coalesce("valid_lower", "observed_at")
     return a.select(
         "assertion_id",
-        trust.display_trust(F.col("confidence"), anchor, F.col("volatility_days"), AT).alias("trust"),
+        trust.display_trust(F.col("confidence"), anchor, F.col("volatility_days"), at()).alias("trust"),
     )
 
 
@@ -203,7 +204,7 @@ EFFECTIVE_SQL = """CAST(greatest(a.confidence - CASE WHEN d.volatility_days IS N
 def _(t):
     a = t.x_assertion.join(t.x_attribute_def, "attribute_key", "left")
     score = trust.effective_confidence(
-        F.col("confidence"), F.coalesce("valid_lower", "observed_at"), F.col("volatility_days"), AT
+        F.col("confidence"), F.coalesce("valid_lower", "observed_at"), F.col("volatility_days"), at()
     )
     return a.select("assertion_id", score.alias("effective_confidence"))
 
@@ -299,7 +300,7 @@ FROM x_entity LEFT JOIN (SELECT entity_id, max(observed_at) AS last_obs, count(*
 
 @query("entity_priority", PRIORITY_SQL)
 def _(t):
-    return ent.entity_priority(t.x_entity, t.x_assertion, AT).select(
+    return ent.entity_priority(t.x_entity, t.x_assertion, at()).select(
         "entity_id", F.round("priority", 6).alias("priority")
     )
 

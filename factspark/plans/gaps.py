@@ -11,7 +11,8 @@ from factspark.sources.tables import LEDGER_AS_OF
 from .columns import _sql_any, sql_case_map, sql_list, sql_norm
 from .registry import query
 
-NOW = F.lit(LEDGER_AS_OF).cast("timestamp")
+def now():
+    return F.lit(LEDGER_AS_OF).cast("timestamp")
 FRAME = f"coalesce({sql_case_map('entity_type', vocab.RESEARCH_FRAME)}, 'company')"
 REPORT = f"coalesce({sql_case_map('entity_type', vocab.REPORT_FRAME)}, 'company')"
 ORG = sql_list(gaps.ORG_TYPES)
@@ -25,7 +26,7 @@ WHERE status <> 'merged' AND entity_type <> 'geography' AND space_relevance >= 5
 )
 def _(t):
     queued = t.x_call.select("entity_id", F.col("called_at").alias("queued_at"))
-    return gaps.missing_events(t.x_entity, t.x_event, queued, NOW)
+    return gaps.missing_events(t.x_entity, t.x_event, queued, now())
 
 
 REL = "status <> 'merged' AND space_relevance >= 50"
@@ -131,7 +132,7 @@ RECENT = f"SELECT stats->>'$.topic' FROM x_run WHERE started_at >= TIMESTAMP '{L
 
 @query("recent_topics_anti", f"SELECT entity_id FROM x_entity WHERE canonical_name NOT IN ({RECENT})")
 def _(t):
-    return gaps.recent_topics_anti(t.x_entity, t.x_run, NOW).select("entity_id")
+    return gaps.recent_topics_anti(t.x_entity, t.x_run, now()).select("entity_id")
 
 
 @query(
@@ -152,7 +153,7 @@ def _(t):
 WHERE {REL} AND entity_type <> 'geography' AND entity_id IN (SELECT entity_id FROM x_participant) AND canonical_name NOT IN ({RECENT})""",
 )
 def _(t):
-    return gaps.cascade_candidates(t.x_participant, t.x_entity, t.x_assertion, t.x_run, NOW, depth=0, cap=2, frame="company")
+    return gaps.cascade_candidates(t.x_participant, t.x_entity, t.x_assertion, t.x_run, now(), depth=0, cap=2, frame="company")
 
 
 @query(

@@ -1 +1,373 @@
-"""To be filled."""
+"""Registered queries of entity identity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factspark.functions import names, vocab
+from factspark.operators import gaps, identity as idn, totals
+from factspark.operators.entities import evidence
+
+from .columns import WEBSITE_SQL, at, sql_case_map, sql_jaccard, sql_list, sql_norm, sql_trigrams
+from .gaps import LIVE2
+from .registry import query
+from .totals import EVIDENCE, LIVE
+
+GROUP = f"coalesce({sql_case_map('entity_type', vocab.TYPE_GROUPS)}, 'other')"
+
+
+def norms(t):
+    return t.x_alias.select("entity_id", "alias", names.normalize_name(F.col("alias")).alias("alias_norm"))
+
+
+AL = f"al AS MATERIALIZED (SELECT entity_id, alias, {sql_norm('alias')} AS alias_norm FROM x_alias)"
+HELD = "(SELECT *, count(*) OVER (PARTITION BY k) AS size, min(entity_id) OVER (PARTITION BY k) AS lead FROM (SELECT DISTINCT {k} AS k, entity_id FROM {t}) q)"
+
+
+def _grouped(key, table):
+    h = HELD.format(k=key, t=table)
+    return f"""(SELECT DISTINCT id_a, id_b FROM (SELECT a.entity_id AS id_a, b.entity_id AS id_b FROM {h} a JOIN {h} b ON a.k = b.k AND a.entity_id < b.entity_id WHERE a.size <= 8
+ UNION ALL SELECT least(lead, entity_id), greatest(lead, entity_id) FROM {h} c WHERE size > 8 AND entity_id <> lead) g)"""
+
+
+NAME_PAIRS = f"""nm AS MATERIALIZED (SELECT alias_norm AS n, {sql_trigrams('alias_norm')} AS g FROM (SELECT DISTINCT alias_norm FROM al) q),
+ np AS MATERIALIZED (SELECT * FROM (SELECT a.n AS norm_a, b.n AS norm_b, CAST({sql_jaccard('a.g', 'b.g')} AS FLOAT) AS s, length(a.n) >= 5 AND length(b.n) >= 5 AND (contains(' ' || a.n || ' ', ' ' || b.n || ' ') OR contains(' ' || b.n || ' ', ' ' || a.n || ' ')) AS inside FROM nm a JOIN nm b ON a.n < b.n) q WHERE s > 0.25 OR inside)"""
+AP = f"""{AL}, {NAME_PAIRS}, sp AS (SELECT k, entity_id FROM {HELD.format(k='alias_norm', t='al')} h WHERE size <= 8 OR entity_id = lead),
+ ap AS (SELECT id_a, id_b, max(s) AS similarity FROM (SELECT least(a.entity_id, b.entity_id) AS id_a, greatest(a.entity_id, b.entity_id) AS id_b, CASE WHEN inside THEN greatest(s, 0.75::FLOAT) ELSE s END AS s FROM np JOIN sp a ON a.k = norm_a JOIN sp b ON b.k = norm_b WHERE a.entity_id <> b.entity_id
+  UNION ALL SELECT id_a, id_b, 1.0::FLOAT FROM {_grouped('alias_norm', 'al')} g) u GROUP BY 1, 2)"""
+SIM = "round(CAST(similarity AS DOUBLE), 5) AS similarity"
+ROUND = lambda df: df.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
+
+
+@query("name_pairs", f"WITH {AL}, {NAME_PAIRS} SELECT norm_a, norm_b, round(CAST(CASE WHEN inside THEN greatest(s, 0.75::FLOAT) ELSE s END AS DOUBLE), 5) AS similarity FROM np")
+def _(t):
+    return ROUND(idn.name_pairs(norms(t).select("alias_norm").distinct()))
+
+
+@query("alias_pairs", f"WITH {AP} SELECT id_a, id_b, {SIM} FROM ap")
+def _(t):
+    return ROUND(idn.alias_pairs(norms(t)))
+
+
+@query("alias_pairs_targeted", f"WITH {AP} SELECT id_a, id_b, {SIM} FROM ap WHERE id_a IN (SELECT entity_id FROM x_entity WHERE watchlist) OR id_b IN (SELECT entity_id FROM x_entity WHERE watchlist) ORDER BY ap.similarity DESC, id_a, id_b LIMIT 300")
+def _(t):
+    return ROUND(idn.alias_pairs(norms(t), only=t.x_entity.filter("watchlist"), limit=300))
+
+
+QP = f"SELECT id_a, id_b FROM {_grouped('value', '(SELECT * FROM x_identifier WHERE scheme = $$wikidata$$)')} g".replace("$$", "'")
+
+
+@query("identifier_pairs", f"SELECT id_a, id_b, 1.0::DOUBLE AS similarity FROM ({QP}) q")
+def _(t):
+    return ROUND(idn.identifier_pairs(t.x_identifier))
+
+
+CP = f"cp AS (SELECT id_a, id_b, similarity FROM ap UNION ALL SELECT id_a, id_b, 1.0::FLOAT FROM ({QP}) q WHERE (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM ap))"
+
+
+@query("combine_pairs", f"WITH {AP}, {CP} SELECT id_a, id_b, {SIM} FROM cp")
+def _(t):
+    return ROUND(idn.combine_pairs(idn.alias_pairs(norms(t)), idn.identifier_pairs(t.x_identifier)))
+
+
+def non_merges(t):
+    """Neighbouring customers decided apart earlier, with small evidence counts."""
+    k = F.col("c_custkey")
+    c = lambda x: F.concat(F.lit("C"), x.cast("string"))
+    return t.customer.select(F.least(c(k), c(k * 2)).alias("id_a"), F.greatest(c(k), c(k * 2)).alias("id_b"), F.lit("auto").alias("method"), (k % 4).cast("long").alias("rec_a"), (k % 3).cast("long").alias("rec_b")).filter("id_a <> id_b")
+
+
+NM = "(SELECT least(a, b) AS id_a, greatest(a, b) AS id_b, rec_a, rec_b FROM (SELECT concat('C', c_custkey) AS a, concat('C', c_custkey * 2) AS b, c_custkey % 4 AS rec_a, c_custkey % 3 AS rec_b FROM customer WHERE c_custkey > 0) q)"
+
+
+def pair_verdicts(pairs):
+    n = F.expr("CAST(substr(id_a, 2) AS INT) + CAST(substr(id_b, 2) AS INT)")
+    return pairs.select("id_a", "id_b", (n % 5 == 0).alias("same"), F.when(n % 3 == 0, "low").otherwise("high").alias("label")).filter(n % 4 > 0)
+
+
+DP = f"""{AP}, {CP}, ef AS (SELECT entity_id, status = 'merged' AS merged, CASE WHEN status = 'active' THEN {GROUP} END AS grp, qid, coalesce(n, 0) AS n FROM x_entity LEFT JOIN (SELECT entity_id, min(value) AS qid FROM x_identifier WHERE scheme = 'wikidata' GROUP BY 1) q USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS n FROM x_assertion WHERE {LIVE} GROUP BY 1) c USING (entity_id)),
+ dq AS (SELECT cp.*, a.merged OR b.merged AS mg, a.grp AS ga, b.grp AS gb, a.qid AS qa, b.qid AS qb, a.n AS n_a, b.n AS n_b, rec_a, rec_b, (CAST(substr(cp.id_a, 2) AS INT) + CAST(substr(cp.id_b, 2) AS INT)) AS k FROM cp JOIN ef a ON a.entity_id = cp.id_a JOIN ef b ON b.entity_id = cp.id_b LEFT JOIN {NM} m ON m.id_a = cp.id_a AND m.id_b = cp.id_b),
+ dr AS (SELECT *, CASE WHEN mg THEN 'already_merged' WHEN rec_a IS NOT NULL AND NOT ((n_a >= 3 AND rec_a < 3) OR (n_b >= 3 AND rec_b < 3) OR n_a - rec_a >= 3 OR n_b - rec_b >= 3) THEN 'decided_before' WHEN ga <> gb THEN 'other_kind' WHEN qa <> qb THEN 'numbers_differ' WHEN qa = qb THEN 'same_number'
+  WHEN similarity >= 0.92::FLOAT THEN 'same_name' WHEN similarity < 0.35::FLOAT THEN 'too_far' WHEN k % 4 = 0 THEN 'ask' WHEN k % 5 = 0 AND k % 3 > 0 THEN 'verdict_same' ELSE 'verdict_different' END AS reason FROM dq),
+ dp AS (SELECT *, CASE WHEN reason IN ('already_merged', 'decided_before', 'other_kind') THEN 'skip' WHEN reason IN ('numbers_differ', 'too_far', 'verdict_different') THEN 'non_merge' WHEN reason = 'ask' THEN 'request' ELSE 'merge' END AS decision FROM dr)"""
+
+
+def decided(t):
+    pairs = idn.combine_pairs(idn.alias_pairs(norms(t)), idn.identifier_pairs(t.x_identifier))
+    return idn.decide_pairs(pairs, t.x_entity, t.x_identifier, non_merges(t).drop("method"), t.x_assertion, pair_verdicts(pairs))
+
+
+@query("decide_pairs", f"WITH {DP} SELECT id_a, id_b, {SIM}, reason, n_a, n_b, decision FROM dp")
+def _(t):
+    return ROUND(decided(t))
+
+
+CS = f"""{DP}, ev AS ({EVIDENCE}), w AS (SELECT entity_id, created_at, coalesce(n, 0) AS n FROM x_entity LEFT JOIN ev USING (entity_id)),
+ cs AS (SELECT CASE WHEN ka THEN id_a ELSE id_b END AS kept_id, CASE WHEN ka THEN id_b ELSE id_a END AS merged_id, similarity FROM (SELECT dp.*, CASE WHEN a.n <> b.n THEN a.n > b.n ELSE a.created_at <= b.created_at END AS ka FROM dp JOIN w a ON a.entity_id = id_a JOIN w b ON b.entity_id = id_b WHERE decision = 'merge') q)"""
+
+
+@query("choose_survivor", f"WITH {CS} SELECT kept_id, merged_id, {SIM} FROM cs")
+def _(t):
+    return ROUND(idn.choose_survivor(decided(t), t.x_entity, t.x_assertion, t.x_fragment, t.x_event))
+
+
+@query("non_merge_upsert", f"WITH {DP} SELECT id_a, id_b, CASE WHEN reason = 'numbers_differ' THEN 'sweep:wikidata_diff' ELSE 'sweep' END AS method, n_a AS rec_a, n_b AS rec_b FROM dp WHERE decision = 'non_merge' UNION ALL SELECT id_a, id_b, 'auto', rec_a, rec_b FROM {NM} m WHERE (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM dp WHERE decision = 'non_merge')")
+def _(t):
+    return idn.non_merge_upsert(non_merges(t), decided(t), "sweep")
+
+
+def merges(t):
+    """Settled merges of entities that share a registry number."""
+    pairs = idn.identifier_pairs(t.x_identifier).withColumn("decision", F.lit("merge"))
+    return idn.sequence_merges(idn.choose_survivor(pairs, t.x_entity, t.x_assertion, t.x_fragment, t.x_event))
+
+
+@query("sequence_merges")
+def _(t):
+    chosen = idn.choose_survivor(decided(t), t.x_entity, t.x_assertion, t.x_fragment, t.x_event)
+    return ROUND(idn.sequence_merges(chosen))
+
+
+@query("redirect_closure", """SELECT entity_id, survivor_id FROM (WITH RECURSIVE r AS (SELECT entity_id, redirects_to AS survivor_id, 1 AS d FROM x_entity WHERE redirects_to IS NOT NULL UNION ALL SELECT r.entity_id, e.redirects_to, d + 1 FROM r JOIN x_entity e ON e.entity_id = r.survivor_id WHERE e.redirects_to IS NOT NULL)
+SELECT entity_id, arg_max(survivor_id, d) AS survivor_id FROM r GROUP BY 1) q""")
+def _(t):
+    return idn.redirect_closure(t.x_entity)
+
+
+# a plain merge map for checking the table rewrites: merged customers and their redirect
+MG = "mg AS (SELECT concat('C', c_custkey) AS merged_id, concat('C', c_custkey - 1) AS kept_id FROM customer WHERE c_custkey % 40 IN (1, 2)), mm AS (SELECT merged_id AS entity_id, CASE WHEN CAST(substr(merged_id, 2) AS BIGINT) % 40 = 2 THEN concat('C', CAST(substr(merged_id, 2) AS BIGINT) - 2) ELSE kept_id END AS survivor_id FROM mg)"
+
+
+def merger(t):
+    k = F.col("c_custkey")
+    pairs = t.customer.filter((k % 40).isin(1, 2)).select(F.concat(F.lit("C"), (k - 1).cast("string")).alias("kept_id"), F.concat(F.lit("C"), k.cast("string")).alias("merged_id"), F.lit(1.0).alias("similarity"))
+    return idn.Merger(pairs)
+
+
+@query("merge_entities", f"WITH {MG} SELECT entity_id, CASE WHEN kept_id IS NOT NULL THEN 'merged' ELSE status END AS status, coalesce(kept_id, redirects_to) AS redirects_to FROM x_entity LEFT JOIN mg ON merged_id = entity_id")
+def _(t):
+    return merger(t).entities(t.x_entity).select("entity_id", "status", "redirects_to")
+
+
+@query("merge_aliases", f"WITH {MG} SELECT DISTINCT coalesce(survivor_id, entity_id) AS entity_id, alias FROM (SELECT entity_id, alias FROM x_alias UNION ALL SELECT entity_id, canonical_name FROM x_entity WHERE entity_id IN (SELECT entity_id FROM mm)) a LEFT JOIN mm USING (entity_id)")
+def _(t):
+    return merger(t).aliases(t.x_alias, t.x_entity)
+
+
+@query(
+    "merge_assertions",
+    f"""WITH {MG}, cl AS (SELECT DISTINCT c.assertion_id FROM x_assertion c JOIN mm ON mm.entity_id = c.entity_id JOIN x_assertion k ON k.entity_id = mm.survivor_id AND k.attribute_key = c.attribute_key WHERE c.status = 'accepted' AND c.superseded_at IS NULL AND k.status = 'accepted' AND k.superseded_at IS NULL AND k.entity_id NOT IN (SELECT entity_id FROM mm)
+  AND (c.valid_lower IS NULL OR (k.valid_lower IS NULL AND k.valid_upper IS NULL) OR ((k.valid_upper IS NULL OR c.valid_lower < k.valid_upper) AND (k.valid_lower IS NULL OR c.valid_upper IS NULL OR k.valid_lower < c.valid_upper))))
+SELECT assertion_id, coalesce(survivor_id, entity_id) AS entity_id, CASE WHEN cl.assertion_id IS NOT NULL THEN 'superseded' ELSE status END AS status, CASE WHEN cl.assertion_id IS NOT NULL THEN TIMESTAMP '2002-01-01' ELSE valid_upper END AS valid_upper FROM x_assertion LEFT JOIN mm USING (entity_id) LEFT JOIN cl USING (assertion_id)""",
+)
+def _(t):
+    return merger(t).assertions(t.x_assertion, at()).select("assertion_id", "entity_id", "status", "valid_upper")
+
+
+@query("merge_relations", f"""WITH {MG} SELECT relation_id, subject_id, object_id FROM (SELECT relation_id, coalesce(a.survivor_id, subject_id) AS subject_id, coalesce(b.survivor_id, object_id) AS object_id FROM x_relation LEFT JOIN mm a ON a.entity_id = subject_id LEFT JOIN mm b ON b.entity_id = object_id) r WHERE NOT (subject_id = object_id AND subject_id IN (SELECT survivor_id FROM mm))""")
+def _(t):
+    return merger(t).relations(t.x_relation).select("relation_id", "subject_id", "object_id")
+
+
+@query("merge_events", f"WITH {MG} SELECT event_id, coalesce(survivor_id, entity_id) AS entity_id FROM x_event LEFT JOIN mm USING (entity_id)")
+def _(t):
+    return merger(t).moved(t.x_event.select("event_id", "entity_id"))
+
+
+@query("merge_participants", f"""WITH {MG} SELECT DISTINCT p.event_id, coalesce(m.survivor_id, p.entity_id) AS entity_id FROM x_participant p LEFT JOIN mm m ON m.entity_id = p.entity_id JOIN (SELECT event_id, coalesce(survivor_id, entity_id) AS owner FROM x_event LEFT JOIN mm USING (entity_id)) e ON e.event_id = p.event_id WHERE m.entity_id IS NULL OR m.survivor_id <> owner""")
+def _(t):
+    return merger(t).participants(t.x_participant, t.x_event)
+
+
+@query("merge_identifiers", f"""WITH {MG}, i AS (SELECT x.entity_id AS src, coalesce(survivor_id, x.entity_id) AS entity_id, scheme, value FROM x_identifier x LEFT JOIN mm USING (entity_id))
+SELECT CASE WHEN rn = 1 THEN entity_id ELSE src END AS entity_id, scheme, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, scheme, value ORDER BY src <> entity_id, src) AS rn FROM i) q""")
+def _(t):
+    return merger(t).identifiers(t.x_identifier)
+
+
+@query("merge_classifications", f"""WITH {MG}, c AS (SELECT classification_id, coalesce(survivor_id, entity_id) AS entity_id, facet, path FROM x_classification LEFT JOIN mm USING (entity_id)) SELECT classification_id, entity_id, facet, path FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, facet, path ORDER BY classification_id) AS rn FROM c) q WHERE rn = 1 OR entity_id NOT IN (SELECT survivor_id FROM mm)""")
+def _(t):
+    return merger(t).classifications(t.x_classification).select("classification_id", "entity_id", "facet", "path")
+
+
+@query("merge_summaries", f"WITH {MG} SELECT entity_id FROM x_summary WHERE entity_id NOT IN (SELECT entity_id FROM mm)")
+def _(t):
+    return merger(t).summaries(t.x_summary).select("entity_id")
+
+
+@query("merge_audit", f"WITH {MG} SELECT kept_id, merged_id, 'auto' AS performed_by FROM mg")
+def _(t):
+    return merger(t).audit("auto", at()).select("kept_id", "merged_id", "performed_by")
+
+
+@query(
+    "fragment_heal",
+    f"""WITH {AL}, cn AS (SELECT entity_id, count(*) AS n FROM x_assertion WHERE {LIVE} GROUP BY 1), op AS (SELECT *, {GROUP} AS grp FROM x_entity WHERE status = 'active' AND entity_type NOT IN ('geography', 'document_node', 'event')),
+ em AS (SELECT * FROM op WHERE entity_id NOT IN (SELECT entity_id FROM cn) AND entity_id NOT IN (SELECT entity_id FROM x_fragment)),
+ sh AS (SELECT entity_id, grp, alias_norm AS s FROM em JOIN al USING (entity_id) UNION SELECT entity_id, grp, lower(canonical_name) FROM em WHERE entity_id NOT IN (SELECT entity_id FROM al)),
+ f AS (SELECT sh.entity_id, sh.grp, op.entity_id AS into_id, op.grp AS ig, n FROM sh JOIN al c ON starts_with(c.alias_norm, s || ' ') JOIN op ON op.entity_id = c.entity_id JOIN cn ON cn.entity_id = c.entity_id WHERE length(s) >= 3 AND n >= 3 AND sh.entity_id <> op.entity_id)
+SELECT entity_id, into_id, n AS n_claims FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, into_id) AS rn FROM f) q WHERE rn = 1 AND grp = ig ORDER BY n DESC, entity_id LIMIT 100""",
+)
+def _(t):
+    none = t.x_event.filter(F.lit(False))
+    return idn.fragment_heal(t.x_entity, norms(t), t.x_assertion, none, t.x_fragment)
+
+
+def places(t):
+    """Customers as map places on a dense grid of points."""
+    k = F.col("c_custkey")
+    return t.x_entity.join(t.customer.withColumn("entity_id", F.concat(F.lit("C"), k.cast("string"))).select("entity_id", "c_custkey"), "entity_id").withColumns({
+        "entity_type": F.lit("geography"), "status": F.lit("active"), "latitude": (k * 37 % 1009) / 500.0, "longitude": (k * 61 % 53) / 400.0})
+
+
+@query("geo_duplicates")
+def _(t):
+    return idn.geo_duplicates(places(t))
+
+
+@query("merge_event_duplicates", "SELECT entity_id, event_type, title, date, min(event_id) AS event_id, count(*) AS n, arg_max(description, {'l': length(description), 'i': -event_id}) AS description FROM x_event GROUP BY entity_id, event_type, title, date HAVING count(*) > 1")
+def _(t):
+    return idn.merge_event_duplicates(t.x_event, t.x_participant)[0]
+
+
+@query("merge_event_participants", "WITH g AS (SELECT entity_id, event_type, title, date, min(event_id) AS kept FROM x_event GROUP BY ALL HAVING count(*) > 1) SELECT DISTINCT kept AS event_id, p.entity_id FROM x_event e JOIN g ON g.entity_id = e.entity_id AND g.event_type = e.event_type AND g.title = e.title AND g.date IS NOT DISTINCT FROM e.date JOIN x_participant p ON p.event_id = e.event_id")
+def _(t):
+    return idn.merge_event_duplicates(t.x_event, t.x_participant)[1]
+
+
+@query("retype_geographies", "SELECT entity_id, CASE WHEN sk THEN entity_type ELSE 'geography' END AS entity_type, sk AS skipped FROM (SELECT *, status = 'active' AND (entity_id IN (SELECT entity_id FROM x_assertion WHERE status IN ('accepted', 'candidate')) OR entity_id IN (SELECT entity_id FROM x_event)) AS sk FROM x_entity WHERE entity_type <> 'geography' AND entity_id IN (SELECT object_id FROM x_relation WHERE predicate = 'has_office_in')) q")
+def _(t):
+    return idn.retype_geographies(t.x_entity, t.x_relation, t.x_assertion, t.x_event)
+
+
+@query(
+    "anchor_domains",
+    f"""WITH s AS (SELECT entity_id, assertion_id, {WEBSITE_SQL.format('value_text')} AS v FROM x_fact WHERE attribute_key = 'website' AND {LIVE}), d AS (SELECT * FROM x_identifier WHERE scheme = 'domain'),
+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY assertion_id) AS rn FROM s WHERE contains(v, '.') AND entity_id NOT IN (SELECT entity_id FROM d) AND v NOT IN (SELECT value FROM d)) q WHERE rn = 1)
+SELECT entity_id, 'domain' AS scheme, v AS value, 85 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY assertion_id) AS r2 FROM o) q WHERE r2 = 1""",
+)
+def _(t):
+    return idn.anchor_domains(t.x_fact, t.x_identifier)
+
+
+def registry(t):
+    """Parts as registry entries that carry alias-like labels."""
+    k = F.col("p_partkey")
+    return t.part.select(F.concat(F.lit("Q"), (k % 900).cast("string")).alias("number"), F.concat("p_name", F.lit(" "), (k % 9).cast("string")).alias("label"), F.array(F.concat(F.lit("The "), "p_name")).alias("aliases"), F.when(k % 2 == 0, "satellite maker").otherwise("bakery").alias("description"))
+
+
+@query(
+    "anchor_external",
+    f"""WITH {AL}, h AS (SELECT * FROM x_entity WHERE status = 'active' AND space_relevance >= 50 AND entity_type IN ('company', 'investor', 'entity', 'university', 'facility', 'program') AND entity_id NOT IN (SELECT entity_id FROM x_identifier WHERE scheme = 'wikidata') ORDER BY space_relevance DESC, entity_id LIMIT 300),
+ v AS (SELECT DISTINCT entity_id, {sql_norm('raw')} AS n FROM (SELECT entity_id, canonical_name AS raw FROM h UNION ALL SELECT entity_id, alias FROM al) q), l AS (SELECT DISTINCT concat('Q', p_partkey % 900) AS number, p_partkey % 2 = 0 AS hint, {sql_norm('f')} AS n FROM (SELECT p_partkey, concat(p_name, ' ', p_partkey % 9) AS f FROM part UNION ALL SELECT p_partkey, concat('The ', p_name) FROM part) q),
+ s AS (SELECT entity_id, min(number) AS number FROM h JOIN v USING (entity_id) JOIN l USING (n) WHERE space_relevance = 100 OR hint GROUP BY 1 HAVING count(DISTINCT number) = 1),
+ k AS (SELECT s.*, coalesce(o.entity_id, min(CASE WHEN o.entity_id IS NULL THEN s.entity_id END) OVER (PARTITION BY s.number)) AS holder FROM s LEFT JOIN (SELECT value AS number, min(entity_id) AS entity_id FROM x_identifier WHERE scheme = 'wikidata' GROUP BY 1) o ON o.number = s.number)
+SELECT 'new' AS outcome, entity_id AS id_a, '' AS id_b, number FROM k WHERE entity_id = holder UNION ALL SELECT 'clash', least(entity_id, holder), greatest(entity_id, holder), number FROM k WHERE entity_id <> holder""",
+)
+def _(t):
+    new, clash = idn.anchor_external(t.x_entity, norms(t), registry(t), t.x_identifier)
+    return new.select(F.lit("new").alias("outcome"), F.col("entity_id").alias("id_a"), F.lit("").alias("id_b"), F.col("value").alias("number")).unionByName(clash.select(F.lit("clash").alias("outcome"), "id_a", "id_b", "number"))
+
+
+@query(
+    "ownership_edges",
+    """WITH k AS (SELECT value AS q, min(entity_id) AS entity_id FROM x_identifier WHERE scheme = 'wikidata' GROUP BY 1), e AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN concat('Q', p_partkey % 800) ELSE concat('Q', p_partkey % 37) END AS child_q, CASE WHEN p_size % 2 = 0 THEN concat('Q', p_partkey % 37) ELSE concat('Q', p_partkey % 800) END AS parent_q FROM part WHERE p_size % 7 > 0)
+SELECT child_q, parent_q, c.entity_id AS subject_id, p.entity_id AS object_id, CASE WHEN c.entity_id IS NULL OR p.entity_id IS NULL OR c.entity_id = p.entity_id THEN 'missing' ELSE 'linked' END AS outcome FROM e LEFT JOIN k c ON c.q = child_q LEFT JOIN k p ON p.q = parent_q""",
+)
+def _(t):
+    statements = t.part.select(F.concat(F.lit(" q"), (F.col("p_partkey") % 800).cast("string")).alias("number"), F.when(F.col("p_size") % 7 == 0, "P31").when(F.col("p_size") % 2 == 0, "P127").otherwise("P355").alias("property"), F.concat(F.lit("http://reg.example.org/Q"), (F.col("p_partkey") % 37).cast("string")).alias("value"))
+    return idn.ownership_edges(t.x_identifier, statements, t.x_relation).select("child_q", "parent_q", "subject_id", "object_id", "outcome")
+
+
+def mentions(t):
+    """Part names, customer names and places as mentions."""
+    k = F.col("p_partkey")
+    text = F.expr("CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' ', p_partkey % 9, ' Ltd') WHEN 2 THEN concat('Customer#', lpad(CAST(p_partkey AS STRING), 9, '0')) WHEN 3 THEN CASE WHEN p_size < 10 THEN 'Paris' ELSE concat('new ', p_name) END ELSE p_type END")
+    return t.part.select(k.alias("mention_id"), text.alias("mention"), F.expr("CASE p_partkey % 4 WHEN 0 THEN 'facility' WHEN 1 THEN 'spaceship' WHEN 2 THEN 'university' ELSE 'end_user' END").alias("entity_type"),
+                         F.when(k % 11 == 0, "S1").alias("primary_id"), F.when(k % 11 == 0, "ring").alias("primary_norm"))
+
+
+MENTIONS = """(SELECT p_partkey AS mention_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' ', p_partkey % 9, ' Ltd') WHEN 2 THEN concat('Customer#', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) WHEN 3 THEN CASE WHEN p_size < 10 THEN 'Paris' ELSE concat('new ', p_name) END ELSE p_type END AS mention,
+ CASE p_partkey % 4 WHEN 0 THEN 'facility' WHEN 1 THEN 'company' WHEN 2 THEN 'university' ELSE 'end_user' END AS entity_type, CASE WHEN p_partkey % 11 = 0 THEN 'S1' END AS primary_id FROM part)"""
+
+
+@query(
+    "resolve_candidates",
+    f"""WITH {AL}, m AS (SELECT DISTINCT {sql_norm('mention')} AS norm FROM {MENTIONS} q), mg0 AS MATERIALIZED (SELECT norm, {sql_trigrams('norm')} AS g FROM m), ag AS MATERIALIZED (SELECT alias_norm, {sql_trigrams('alias_norm')} AS g FROM (SELECT DISTINCT alias_norm FROM al) q),
+ c1 AS (SELECT norm, entity_id, alias_norm, 1.0::DOUBLE AS sim, 0 AS kind FROM m JOIN al ON alias_norm <> norm AND (contains(' ' || alias_norm || ' ', ' ' || norm || ' ') OR starts_with(norm, alias_norm || ' ')) WHERE entity_id IN (SELECT entity_id FROM x_entity WHERE status = 'active')),
+ c2 AS (SELECT norm, entity_id, alias_norm, sim, 1 AS kind FROM (SELECT s.norm, al.entity_id, al.alias_norm, s.sim, row_number() OVER (PARTITION BY s.norm ORDER BY s.sim DESC, al.alias_norm, al.entity_id) AS rn FROM (SELECT norm, alias_norm, CAST(CAST({sql_jaccard('mg0.g', 'ag.g')} AS FLOAT) AS DOUBLE) AS sim FROM mg0 JOIN ag ON len(list_intersect(mg0.g, ag.g)) > 0) s JOIN al ON al.alias_norm = s.alias_norm WHERE s.sim > 0.1) q WHERE rn <= 24 AND norm <> alias_norm),
+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm, entity_id ORDER BY kind, sim DESC, alias_norm) AS r1 FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) u) q WHERE r1 = 1)
+SELECT norm, entity_id, alias_norm, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY sim DESC, alias_norm, entity_id) AS r2 FROM o) q WHERE r2 <= 8""",
+)
+def _(t):
+    asked = mentions(t).select(names.normalize_name(F.col("mention")).alias("norm")).distinct()
+    return idn.resolve_candidates(asked, norms(t), t.x_entity).withColumn("sim", F.round("sim", 5))
+
+
+def mention_verdicts(t):
+    k = F.col("p_partkey")
+    return t.part.filter(k % 3 == 0).select(k.alias("mention_id"), F.expr("CASE p_partkey % 2 WHEN 0 THEN 'pick' ELSE 'canonical' END").alias("level"), F.when(k % 5 > 0, F.concat(F.lit("C"), (k % 900).cast("string"))).alias("entity_id"), F.when(k % 7 == 0, "low").otherwise("medium").alias("label"))
+
+
+@query(
+    "resolve_mentions",
+    f"""WITH {AL}, m AS (SELECT *, {sql_norm('mention')} AS norm FROM {MENTIONS} q), ac AS (SELECT * FROM x_entity WHERE status = 'active'), ev AS ({EVIDENCE}),
+ nd AS (SELECT lower(canonical_name) AS nm, count(*) FILTER (WHERE n > 0) AS kp, count(*) AS kn, arg_max(entity_id, {{'c': coalesce(n_claims, 0), 'e': entity_id}}) FILTER (WHERE n > 0) AS pid, arg_max(entity_type, {{'c': coalesce(n_claims, 0), 'e': entity_id}}) FILTER (WHERE n > 0) AS pk, min(entity_id) AS nid FROM ac LEFT JOIN ev USING (entity_id) GROUP BY 1),
+ ow AS (SELECT alias_norm AS norm, count(DISTINCT ac.entity_id) AS ko, min(ac.entity_id) AS oid, arg_min(entity_type, ac.entity_id) AS ok FROM al JOIN ac USING (entity_id) GROUP BY 1),
+ vd AS (SELECT p_partkey AS mention_id, p_partkey % 2 = 0 AS pick, concat('C', p_partkey % 900) AS vid FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0),
+ j AS (SELECT m.*, norm IN ({sql_list(vocab.PLACE_NAMES)}) AS place, coalesce(kp, 0) AS kp, coalesce(kn, 0) AS kn, pid, pk, nid, ko, oid, ok, CASE WHEN pick THEN vid END AS pickid, CASE WHEN NOT pick THEN vid END AS canid,
+  length(regexp_replace(mention, '[ .]', '', 'g')) <= 6 OR lower(regexp_extract(trim(mention), '(\\S+)$', 1)) NOT IN ({sql_list(vocab.LEGAL_SUFFIXES)}) AS ask FROM m LEFT JOIN nd ON nm = lower(mention) LEFT JOIN ow USING (norm) LEFT JOIN vd USING (mention_id)),
+ r AS (SELECT *, CASE WHEN place THEN 'place' WHEN primary_id IS NOT NULL AND contains(norm, 'ring') AND len(string_split(norm, ' ')) <= 7 THEN 'primary' WHEN kp = 1 AND pk = entity_type THEN 'name' WHEN ko = 1 AND ok = entity_type THEN 'alias' WHEN pickid IS NOT NULL THEN 'pick' WHEN kn = 1 AND kp = 0 THEN 'namesake' WHEN ask AND canid IS NOT NULL THEN 'canonical' WHEN kp > 0 OR ko = 1 THEN 'fallback' ELSE 'new' END AS level FROM j)
+SELECT mention_id, norm, level, CASE level WHEN 'primary' THEN primary_id WHEN 'name' THEN pid WHEN 'alias' THEN oid WHEN 'pick' THEN pickid WHEN 'namesake' THEN nid WHEN 'canonical' THEN canid WHEN 'fallback' THEN CASE WHEN kp > 0 THEN pid ELSE oid END ELSE concat('new-', substr(sha256(concat(CASE WHEN place THEN 'geography' ELSE 'entity' END, '|', norm)), 1, 16)) END AS entity_id,
+ level IN ('place', 'new') AS is_new, CASE WHEN place THEN 'geography' ELSE entity_type END AS entity_type FROM r""",
+)
+def _(t):
+    return idn.resolve_mentions(mentions(t), t.x_entity, norms(t), t.x_assertion, t.x_event, t.x_fragment, mention_verdicts(t))
+
+
+def _picks(t):
+    asked = mentions(t).withColumn("norm", names.normalize_name(F.col("mention")))
+    found = idn.resolve_candidates(asked.select("norm").distinct(), norms(t), t.x_entity)
+    context = gaps.entity_context(t.x_entity, t.x_assertion, t.x_event, t.x_fragment, t.x_relation, t.x_summary, k_facts=6, k_events=0, k_relations=3)
+    return idn.pick_requests(asked, found, context)
+
+
+@query("pick_requests")
+def _(t):
+    return _picks(t).withColumn("candidate_ids", F.array_join("candidate_ids", "|"))
+
+
+@query("pick_apply")
+def _(t):
+    k = F.col("mention_id")
+    answers = mentions(t).select("mention_id", (k % 12 - 1).cast("int").alias("match"), F.when(k % 5 == 0, "low").otherwise("high").alias("label"))
+    return idn.pick_apply(_picks(t), answers)
+
+
+@query(
+    "verify_apply",
+    f"""SELECT o_orderkey AS mention_id, entity_id, NOT he OR coalesce(o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 AND o_orderkey % 4 > 0, false) AS confirmed, he AS needs_request FROM (SELECT o_orderkey, entity_id, entity_id IN (SELECT entity_id FROM x_assertion WHERE {LIVE}) OR entity_id IN (SELECT entity_id FROM x_event) OR entity_id IN (SELECT entity_id FROM x_fragment) AS he FROM orders JOIN x_entity ON entity_id = concat('C', o_custkey)) q""",
+)
+def _(t):
+    k = F.col("o_orderkey")
+    checks = t.orders.select(k.alias("mention_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("entity_id"))
+    answers = t.orders.filter(k % 4 > 0).select(k.alias("mention_id"), (k % 2 == 0).alias("match"), F.when(k % 3 == 0, "low").otherwise("high").alias("label"))
+    return idn.verify_apply(checks, totals.evidence_flag(t.x_entity, t.x_assertion, t.x_event, t.x_fragment), answers)
+
+
+@query("alias_arbitration", f"WITH {AL}, w AS (SELECT concat('C', p_partkey % 1400) AS entity_id, concat(p_name, ' ', p_partkey % 20) AS alias FROM part) SELECT w.entity_id, w.alias, {sql_norm('w.alias')} AS alias_norm, owner_id, CASE WHEN owner_id IS NULL THEN 'insert' WHEN owner_id = w.entity_id THEN 'none' ELSE 'collision' END AS action FROM w LEFT JOIN (SELECT alias_norm AS n, min(entity_id) AS owner_id FROM al GROUP BY 1) o ON n = {sql_norm('w.alias')}")
+def _(t):
+    new = t.part.select(F.concat(F.lit("C"), (F.col("p_partkey") % 1400).cast("string")).alias("entity_id"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 20).cast("string")).alias("alias"))
+    return idn.alias_arbitration(new.withColumn("alias_norm", names.normalize_name(F.col("alias"))), norms(t))
+
+
+@query(
+    "alias_enrichment_apply",
+    f"""WITH {AL}, f AS (SELECT concat('C', p_partkey) AS entity_id, 0 AS pos, concat(p_name, ' Group ', p_partkey % 40) AS alias FROM part UNION ALL SELECT concat('C', p_partkey), 1, concat('Customer#', lpad(CAST(p_partkey AS VARCHAR), 9, '0'), ' Inc') FROM part),
+ n AS (SELECT f.*, {sql_norm('f.alias')} AS alias_norm FROM f JOIN x_entity e ON e.entity_id = f.entity_id WHERE {sql_norm('f.alias')} <> {sql_norm('e.canonical_name')})
+SELECT entity_id, alias, alias_norm FROM (SELECT *, row_number() OVER (PARTITION BY alias_norm ORDER BY entity_id, pos) AS rn FROM n WHERE alias_norm <> '' AND alias_norm NOT IN (SELECT alias_norm FROM al)) q WHERE rn = 1""",
+)
+def _(t):
+    k = F.col("p_partkey")
+    proposed = t.part.select(F.concat(F.lit("C"), k.cast("string")).alias("entity_id"), F.array(F.concat("p_name", F.lit(" Group "), (k % 40).cast("string")), F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" Inc"))).alias("aliases"))
+    return idn.alias_enrichment_apply(proposed, t.x_entity, norms(t))

@@ -9,7 +9,7 @@ from factspark.sources import documents as docs
 from factspark.sources import responses, vocabulary
 from factspark.sources.tables import AS_OF
 
-from .columns import AT, PRIORITY_SQL, sql_domain_trust
+from .columns import at, PRIORITY_SQL, sql_domain_trust
 from .registry import query
 
 
@@ -181,7 +181,7 @@ SELECT feed_id, entity_hint, round(priority, 6) AS priority FROM (SELECT feed_id
 ORDER BY d.priority DESC, feed_id LIMIT 200""",
 )
 def _(t):
-    due = docs.due_sources(t.x_feed, t.x_entity, t.x_assertion, AT)
+    due = docs.due_sources(t.x_feed, t.x_entity, t.x_assertion, at())
     return due.withColumn("priority", F.round("priority", 6))
 
 

@@ -9,7 +9,7 @@ from factspark.operators import claims, folds
 from factspark.operators.entities import documents_with_source
 from factspark.sources.tables import AS_OF
 
-from .columns import AT, sql_alnum, sql_conf, sql_domain, sql_domain_trust, sql_list, sql_norm, sql_odds
+from .columns import at, sql_alnum, sql_conf, sql_domain, sql_domain_trust, sql_list, sql_norm, sql_odds
 from .gaps import FRAME
 from .registry import query
 from .totals import EVIDENCE, LIVE
@@ -49,13 +49,13 @@ ACCEPT = f"""(SELECT claim_id, c.document_id, CASE WHEN reason IS NOT NULL THEN
 
 @query("accept_extracted", f"SELECT claim_id, document_id, status, reason, confidence, valid_lower, value_num, value_text FROM {ACCEPT} a")
 def _(t):
-    decided = claims.accept_extracted(extracted(t), docs(t), t.x_attribute_def, AT)
+    decided = claims.accept_extracted(extracted(t), docs(t), t.x_attribute_def, at())
     return decided.select("claim_id", "document_id", "status", "reason", "confidence", "valid_lower", "value_num", "value_text")
 
 
 @query("acceptance_counts", f"SELECT document_id, count(*) FILTER (WHERE status <> 'rejected') AS accepted, count(*) FILTER (WHERE status = 'rejected') AS rejected FROM {ACCEPT} a GROUP BY 1")
 def _(t):
-    return claims.acceptance_counts(claims.accept_extracted(extracted(t), docs(t), t.x_attribute_def, AT))
+    return claims.acceptance_counts(claims.accept_extracted(extracted(t), docs(t), t.x_attribute_def, at()))
 
 
 def researched(t):
@@ -79,13 +79,13 @@ RESEARCHED = f"""(SELECT claim_id, concat('Topic ', entity_id) AS topic, attribu
  'candidate' AS status, coalesce(as_of, TIMESTAMP '{AS_OF}') AS valid_lower, TRY_CAST(value AS DOUBLE) AS value_num, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS value_text FROM {RESEARCHED} r JOIN x_attribute_def d ON d.attribute_key = r.attribute_key""",
 )
 def _(t):
-    stored, _ = claims.accept_research(researched(t), t.x_attribute_def, AT)
+    stored, _ = claims.accept_research(researched(t), t.x_attribute_def, at())
     return stored.select("claim_id", "attribute_key", "mention", "quote", "document_sha256", "confidence", "status", "valid_lower", "value_num", "value_text")
 
 
 @query("accept_research_rejects", f"SELECT claim_id, 'unknown_attribute' AS reason, attribute_key, coalesce(mention, '?') AS subject FROM {RESEARCHED} r WHERE attribute_key NOT IN (SELECT attribute_key FROM x_attribute_def)")
 def _(t):
-    return claims.accept_research(researched(t), t.x_attribute_def, AT)[1]
+    return claims.accept_research(researched(t), t.x_attribute_def, at())[1]
 
 
 # ── events ────────────────────────────────────────────────────────────────────
@@ -273,7 +273,7 @@ def pairs(t):
 UNION ALL SELECT new_id, CASE WHEN nl < ol THEN 'inverted' ELSE 'accepted' END, NULL, NULL FROM {PAIRS} p""",
 )
 def _(t):
-    return claims.supersede(pairs(t), t.x_assertion, AT)
+    return claims.supersede(pairs(t), t.x_assertion, at())
 
 
 @query(

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from factspark.operators import projections as proj
 
-from .columns import AT, CALL_SQL, EFFECTIVE_SQL, STALE_SQL, TRUST_SQL
+from .columns import at, CALL_SQL, EFFECTIVE_SQL, STALE_SQL, TRUST_SQL
 from .gaps import LIVE2
-from .reads import DAY, TODAY
+from .reads import day, TODAY
 from .registry import query
 from .totals import LIVE
 
@@ -31,7 +31,7 @@ SELECT entity_id, canonical_name, entity_type, attribute_key, assertion_id, CAST
  ORDER BY effective_confidence DESC, confidence DESC, valid_from DESC NULLS FIRST, observed_at DESC NULLS FIRST, assertion_id) AS rn FROM r) w JOIN x_entity e USING (entity_id) WHERE rn = 1""",
 )
 def _(t):
-    best = proj.entity_current(t.x_assertion, t.x_entity, t.x_attribute_def, AT)
+    best = proj.entity_current(t.x_assertion, t.x_entity, t.x_attribute_def, at())
     return DBL(best).select("entity_id", "canonical_name", "entity_type", "attribute_key", "assertion_id", "value_num", "confidence", "effective_confidence", "valid_from", "volatility_days")
 
 
@@ -51,7 +51,7 @@ def _(t):
 LEFT JOIN (SELECT entity_id, attribute_key, count(DISTINCT document_id) AS source_count FROM x_assertion WHERE superseded_at IS NULL GROUP BY ALL) c USING (entity_id, attribute_key)""",
 )
 def _(t):
-    return proj.entity_facts(t.x_assertion, t.x_attribute_def, AT).select("entity_id", "attribute_key", "assertion_id", "trust", "days_stale", "source_count")
+    return proj.entity_facts(t.x_assertion, t.x_attribute_def, at()).select("entity_id", "attribute_key", "assertion_id", "trust", "days_stale", "source_count")
 
 
 @query(
@@ -86,7 +86,7 @@ def _(t):
 )
 def _(t):
     timeline = proj.timeline_merge(t.x_event, t.x_participant, t.x_document)
-    return proj.active_calls(timeline, t.x_entity, DAY).select("event_id", "entity_id", "display_status")
+    return proj.active_calls(timeline, t.x_entity, day()).select("event_id", "entity_id", "display_status")
 
 
 @query(

@@ -11,7 +11,8 @@ from .columns import sql_list
 from .registry import query
 
 TODAY = "1999-01-01"
-DAY = F.lit(TODAY).cast("date")
+def day():
+    return F.lit(TODAY).cast("date")
 MONEY = lambda df: df.withColumn("amount_usd", F.col("amount_usd").cast("double"))
 
 
@@ -94,7 +95,7 @@ CALLS_SQL = f"event_type = 'grant_call' AND (call_status IS NULL OR call_status
     f"SELECT event_id, entity_id, date, call_status, call_url FROM x_event WHERE {CALLS_SQL} ORDER BY date DESC NULLS FIRST, created_at DESC NULLS FIRST, event_id DESC LIMIT 30",
 )
 def _(t):
-    return reads.open_calls(t.x_event, DAY)
+    return reads.open_calls(t.x_event, day())
 
 
 @query(
@@ -103,7 +104,7 @@ def _(t):
  UNION ALL SELECT event_id, date, 1, abs(date - DATE '{TODAY}') FROM (SELECT * FROM x_event WHERE date > DATE '{TODAY}' ORDER BY date, event_id LIMIT 20) b) u ORDER BY distance_days, side, event_id LIMIT 14""",
 )
 def _(t):
-    return reads.recent_events(t.x_event, DAY)
+    return reads.recent_events(t.x_event, day())
 
 
 @query(

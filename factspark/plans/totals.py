@@ -8,9 +8,9 @@ from factspark.functions import vocab
 from factspark.operators import totals
 from factspark.sources.tables import LEDGER_AS_OF
 
-from .columns import AT, COST_SQL, LEVEL_SQL, sql_case_map, sql_list
-from .gaps import LIVE2, NOW, REPORT, _first
-from .reads import CALLS_SQL, DAY
+from .columns import at, COST_SQL, LEVEL_SQL, sql_case_map, sql_list
+from .gaps import LIVE2, now, REPORT, _first
+from .reads import CALLS_SQL, day
 from .registry import query
 
 SUPPLY = sql_list(vocab.SUPPLY_PREDICATES)
@@ -47,7 +47,7 @@ def _(t):
 
 @query("cost_last_24h", COST_DAY)
 def _(t):
-    return totals.cost_last_24h(t.x_call, t.x_rate, t.x_entity, NOW).withColumn("cost_usd", F.round("cost_usd", 6))
+    return totals.cost_last_24h(t.x_call, t.x_rate, t.x_entity, now()).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query(
@@ -57,7 +57,7 @@ def _(t):
 WHERE called_at >= TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 30 DAY GROUP BY GROUPING SETS ((), (task), (model))""",
 )
 def _(t):
-    return totals.cost_report(t.x_call, t.x_rate, NOW).withColumn("cost_usd", F.round("cost_usd", 5))
+    return totals.cost_report(t.x_call, t.x_rate, now()).withColumn("cost_usd", F.round("cost_usd", 5))
 
 
 FUND8 = sql_list(totals.REPORT_FUNDING)
@@ -123,7 +123,7 @@ LEFT JOIN (SELECT object_id AS entity_id, arg_min(subject_id, relation_id) AS ad
 LEFT JOIN c USING (entity_id) LEFT JOIN a USING (entity_id) LEFT JOIN (SELECT entity_id, fragment_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, fragment_id) AS rn FROM x_fragment) q WHERE rn = 1) f USING (entity_id)""",
 )
 def _(t):
-    board = totals.program_board(t.x_entity, t.x_relation, t.x_event, t.x_participant, t.x_fragment, DAY)
+    board = totals.program_board(t.x_entity, t.x_relation, t.x_event, t.x_participant, t.x_fragment, day())
     return board.withColumn("open_calls", F.array_join(F.col("open_calls").cast("array<string>"), ","))
 
 
@@ -227,7 +227,7 @@ ORDER BY excess_days DESC, entity_id LIMIT 25""",
 )
 def _(t):
     runs = t.x_run.withColumn("started_at", F.col("started_at") - F.make_dt_interval(F.lit(8065)))
-    return totals.stale_entities(t.x_assertion, t.x_attribute_def, t.x_entity, runs, AT)
+    return totals.stale_entities(t.x_assertion, t.x_attribute_def, t.x_entity, runs, at())
 
 
 @query(
@@ -251,7 +251,7 @@ def _pack(sql, key):
 FROM ({FUNDING_TOTAL}) f, ({COST_DAY}) c""",
 )
 def _(t):
-    row = totals.snapshot(t.x_entity, t.x_assertion, t.x_classification, t.x_node, t.x_call, t.x_rate, NOW)
+    row = totals.snapshot(t.x_entity, t.x_assertion, t.x_classification, t.x_node, t.x_call, t.x_rate, now())
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ";").alias(c)
     no_cost = row.withColumn("cost", F.filter("cost", lambda x: x["key"] != "cost_usd"))
     return no_cost.select(*[text(c) for c in ("entities", "assertions", "nodes", "funding", "cost")])
