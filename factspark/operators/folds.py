@@ -329,15 +329,18 @@ def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.to_dict("records"):
             key = (row["entity_id"], row["attribute_key"])
             if key != current:
-                out.extend(_fold_group(group))
+                out.extend(_fold_group(group)[0])
                 group, current = [], key
             group.append(row)
         yield frame(out)
-    yield frame(_fold_group(group))
+    yield frame(_fold_group(group)[0])
 
 
-def _fold_group(rows: list[dict]) -> list[tuple]:
-    """Judge the new claims of one entity and attribute in id order."""
+def _fold_group(rows: list[dict]) -> tuple[list[tuple], list[dict]]:
+    """Judge the new claims of one entity and attribute in id order.
+
+    Returns the outcome rows and the claims in force afterwards.
+    """
     missing = lambda v: v is None or v is pd.NaT or v != v
     state = {r["assertion_id"]: dict(status=r["status"], confidence=int(r["confidence"]), review=None, count=0, outcome=None, other=None) for r in rows}
     by_id = {r["assertion_id"]: r for r in rows}
@@ -408,7 +411,8 @@ def _fold_group(rows: list[dict]) -> list[tuple]:
         touched = s["count"] > 0 or s["status"] != row["status"]
         if row["is_new"] or touched:
             out.append((row["assertion_id"], s["outcome"] or "changed", s["status"], s["review"], s["confidence"], s["count"], s["other"]))
-    return out
+    in_force = [{**by_id[i], "status": "accepted", "confidence": state[i]["confidence"], "is_new": False} for i in sorted(force)]
+    return out, in_force
 
 
 # ── adjudication of very large groups ─────────────────────────────────────────

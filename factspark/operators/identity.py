@@ -72,7 +72,7 @@ def name_pairs(norms: DataFrame, min_similarity: float = MIN_SIMILARITY, targets
     else:
         wanted = name_trigrams(targets)
         rest = grams.join(wanted.select("row_id"), "row_id", "left_anti")
-        alike = similar_pairs(rest, [], min_similarity, left=wanted).unionByName(similar_pairs(wanted, [], min_similarity))
+        alike = similar_pairs(rest, [], min_similarity, left=wanted, within_left=True)
     inside = contained_names(norms)
     if targets is not None:
         t = targets.select(F.col("alias_norm").alias("_t")).withColumn("_hit", F.lit(True))
@@ -119,7 +119,9 @@ def identifier_pairs(identifier: DataFrame, only: DataFrame | None = None) -> Da
 
 def combine_pairs(by_name: DataFrame, by_identifier: DataFrame) -> DataFrame:
     """Name pairs plus the identifier pairs not among them."""
-    return by_name.unionByName(by_identifier.join(by_name, ["id_a", "id_b"], "left_anti"))
+    more = by_identifier.withColumnRenamed("similarity", "_more")
+    both = by_name.join(more, ["id_a", "id_b"], "full_outer")
+    return both.select("id_a", "id_b", F.coalesce("similarity", "_more").alias("similarity"))
 
 
 # ── decisions ─────────────────────────────────────────────────────────────────
@@ -211,12 +213,13 @@ def redirect_closure(redirects: DataFrame) -> DataFrame:
     ``redirects``: entity_id, redirects_to.
     """
     path = checkpointed(redirects.filter("redirects_to IS NOT NULL").select("entity_id", F.col("redirects_to").alias("survivor_id")))
-    while True:
+    for _ in range(64):  # doubling passes any real chain; a cycle stops here
         step = path.select(F.col("entity_id").alias("survivor_id"), F.col("survivor_id").alias("next_id"))
         further = checkpointed(path.join(step, "survivor_id", "left").select("entity_id", "survivor_id", "next_id"))
         if further.filter("next_id IS NOT NULL AND next_id <> survivor_id").isEmpty():
             return path
         path = further.select("entity_id", F.coalesce("next_id", "survivor_id").alias("survivor_id"))
+    return path
 
 
 def non_merge_upsert(stored: DataFrame, decisions: DataFrame, method: str) -> DataFrame:

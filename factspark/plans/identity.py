@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions import names, vocab
 from factspark.operators import gaps, identity as idn, totals
-from factspark.operators.entities import evidence
+from factspark.session import checkpointed
 
 from .columns import WEBSITE_SQL, at, sql_case_map, sql_jaccard, sql_list, sql_norm, sql_trigrams
 from .gaps import LIVE2
@@ -93,7 +93,8 @@ DP = f"""{AP}, {CP}, ef AS (SELECT entity_id, status = 'merged' AS merged, CASE
 
 
 def decided(t):
-    pairs = idn.combine_pairs(idn.alias_pairs(norms(t)), idn.identifier_pairs(t.x_identifier))
+    # the pairs feed both the verdicts and the decisions, so they are written once
+    pairs = checkpointed(idn.combine_pairs(idn.alias_pairs(norms(t)), idn.identifier_pairs(t.x_identifier)))
     return idn.decide_pairs(pairs, t.x_entity, t.x_identifier, non_merges(t).drop("method"), t.x_assertion, pair_verdicts(pairs))
 
 

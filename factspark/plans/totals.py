@@ -53,11 +53,11 @@ def _(t):
 @query(
     "cost_report",
     f"""SELECT CASE WHEN grouping(task) = 1 AND grouping(model) = 1 THEN 'total' WHEN grouping(task) = 0 THEN 'task' ELSE 'model' END AS level, coalesce(task, model, '') AS key, count(*) AS calls,
- CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum({COST_SQL}), 5) AS cost_usd FROM x_call LEFT JOIN x_rate USING (model)
+ CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum({COST_SQL}), 6) AS cost_usd FROM x_call LEFT JOIN x_rate USING (model)
 WHERE called_at >= TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 30 DAY GROUP BY GROUPING SETS ((), (task), (model))""",
 )
 def _(t):
-    return totals.cost_report(t.x_call, t.x_rate, now()).withColumn("cost_usd", F.round("cost_usd", 5))
+    return totals.cost_report(t.x_call, t.x_rate, now()).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 FUND8 = sql_list(totals.REPORT_FUNDING)
