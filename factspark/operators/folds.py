@@ -521,7 +521,6 @@ def adjudicate_hot(claims: DataFrame) -> DataFrame:
             F.when(outcome.isin("accepted", "supersedes"), "accepted")
             .when(outcome == "out_of_range", "candidate")
             .when(outcome.isin(rejecting), "rejected")
-            .otherwise(F.col("c.status"))
         )
         review = F.when(outcome == "out_of_range", "pending")
         judged_rows = entry(done, F.col("assertion_id"), outcome, own_status, review, F.col("r.assertion_id"), none("int"), F.lit(0))
@@ -531,7 +530,9 @@ def adjudicate_hot(claims: DataFrame) -> DataFrame:
         rows = checkpointed(judged_rows.unionByName(beaten_rows).unionByName(lifted_rows))
         log = rows if log is None else log.unionByName(rows)
         gone = rows.filter(F.col("status").isin("rejected", "candidate", "superseded")).select("assertion_id").distinct()
-        came = done.filter(outcome.isin("accepted", "supersedes")).select(*KEY, "assertion_id", "c.confidence")
+        lifted_before = log.filter("confidence IS NOT NULL").groupBy("assertion_id").agg(F.max_by("confidence", "turn").alias("_now"))
+        came = done.filter(outcome.isin("accepted", "supersedes")).join(lifted_before, "assertion_id", "left")
+        came = came.select(*KEY, "assertion_id", F.coalesce("_now", "c.confidence").alias("confidence"))
         raised = rows.filter("confidence IS NOT NULL").select("assertion_id", F.col("confidence").alias("_raised"))
         kept = force.join(gone, "assertion_id", "left_anti").join(raised, "assertion_id", "left")
         kept = kept.select(*KEY, "assertion_id", F.coalesce("_raised", "confidence").alias("confidence"))

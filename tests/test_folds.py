@@ -15,10 +15,10 @@ def rows(df):
 def test_hot_adjudication_equals_fold(spark):
     rng = random.Random(7)
     claims = []
-    for i in range(1, 61):
+    for i in range(1, 37):
         stored = i <= 4
         claims.append((i, "E1" if i % 5 else "E2", "size", None, float(rng.choice([1, 2, 3, 20])), None, None, rng.randint(40, 95),
-                       "accepted" if stored or rng.random() < 0.1 else "candidate", "extracted", f"2020-{1 + i // 6:02d}-01", i % 9, not stored))
+                       "accepted" if stored or rng.random() < 0.15 else "candidate", "extracted", f"2020-{1 + i // 4:02d}-01", i % 9, not stored))
     schema = "assertion_id long, entity_id string, attribute_key string, value_text string, value_num double, value_bool boolean, value_date date, confidence int, status string, method string, day string, document_id long, is_new boolean"
     df = spark.createDataFrame(claims, schema).withColumn("observed_at", F.col("day").cast("timestamp")).withColumn("superseded_at", F.lit(None).cast("timestamp"))
     documents = spark.createDataFrame(
