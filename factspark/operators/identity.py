@@ -213,7 +213,7 @@ def redirect_closure(redirects: DataFrame) -> DataFrame:
     ``redirects``: entity_id, redirects_to.
     """
     path = checkpointed(redirects.filter("redirects_to IS NOT NULL").select("entity_id", F.col("redirects_to").alias("survivor_id")))
-    for _ in range(64):  # doubling passes any real chain; a cycle stops here
+    for _ in range(path.count().bit_length() + 1):  # enough for any chain; a cycle stops here
         step = path.select(F.col("entity_id").alias("survivor_id"), F.col("survivor_id").alias("next_id"))
         further = checkpointed(path.join(step, "survivor_id", "left").select("entity_id", "survivor_id", "next_id"))
         if further.filter("next_id IS NOT NULL AND next_id <> survivor_id").isEmpty():

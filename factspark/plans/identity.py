@@ -218,7 +218,7 @@ def places(t):
     """Customers as map places on a dense grid of points."""
     k = F.col("c_custkey")
     return t.x_entity.join(t.customer.withColumn("entity_id", F.concat(F.lit("C"), k.cast("string"))).select("entity_id", "c_custkey"), "entity_id").withColumns({
-        "entity_type": F.lit("geography"), "status": F.lit("active"), "latitude": (k * 37 % 1009) / 500.0, "longitude": (k * 61 % 53) / 400.0})
+        "entity_type": F.lit("geography"), "status": F.lit("active"), "latitude": (k * 37 % 199) / 500.0, "longitude": (k * 61 % 53) / 400.0})
 
 
 @query("geo_duplicates")
