@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factspark.functions import vocab
-from factspark.operators import claims, folds
+from factspark.operators import claims, folds, taxonomy
 from factspark.operators.entities import documents_with_source
 from factspark.sources.tables import AS_OF
 
@@ -569,3 +569,48 @@ def _(t):
 def _(t):
     triggers = t.x_assertion.select("entity_id", "run_id").distinct().withColumn("deferrals", F.col("run_id") % 10)
     return claims.ready_for_classification(triggers, t.x_assertion)
+
+
+# ── taxonomy growth, review tables, stored projections ────────────────────────
+
+
+def node_proposals(t):
+    """Distinct part kinds as proposed nodes, some altering, some incomplete."""
+    kinds = t.part.groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("pos"))
+    k = F.col("pos")
+    return kinds.select(
+        "pos", F.when(k % 9 == 0, " Alter ").otherwise("add").alias("op"),
+        F.when(k % 11 == 0, "unknown").when(k % 2 == 0, "value_chain").otherwise("maturity").alias("facet"),
+        F.when(k % 9 == 0, F.concat(F.lower("p_type"), F.lit(".brand_"), (k % 25).cast("string"))).otherwise(F.concat(F.lower("p_type"), F.lit("."), "p_name")).alias("path"),
+        F.when(k % 13 > 0, F.col("p_name")).otherwise("").alias("label"), F.concat(F.lit("Makers of "), "p_type", F.lit(" "), "p_name").alias("definition"),
+    )
+
+
+@query("node_text_similarity")
+def _(t):
+    known = t.x_node.withColumn("definition", F.concat(F.lit("Makers of "), "path"))
+    return taxonomy.node_text_similarity(node_proposals(t), known)
+
+
+@query("evolve_apply")
+def _(t):
+    return taxonomy.evolve_apply(node_proposals(t), t.x_node)
+
+
+@query("evolve_counts")
+def _(t):
+    return taxonomy.evolve_counts(taxonomy.evolve_apply(node_proposals(t), t.x_node))
+
+
+@query("review_merges", "SELECT entity_id AS merged_id, redirects_to AS kept_id, CASE WHEN watchlist THEN TIMESTAMP '2000-01-01' WHEN nation_key % 2 = 0 THEN TIMESTAMP '2002-01-01' END AS reverted_at FROM x_entity WHERE status = 'merged'")
+def _(t):
+    gone = t.x_entity.filter("status = 'merged'")
+    audit = gone.select(F.col("entity_id").alias("merged_id"), F.col("redirects_to").alias("kept_id"), F.when(F.col("watchlist"), F.lit("2000-01-01").cast("timestamp")).alias("reverted_at"))
+    return claims.review_merges(audit, gone.filter("nation_key % 2 = 0").select(F.col("entity_id").alias("merged_id")), at())
+
+
+@query("review_conflicts", "SELECT assertion_id AS conflict_id, CASE WHEN assertion_id % 3 = 0 THEN 'pending' WHEN assertion_id % 2 = 0 THEN 'picked' END AS resolution FROM x_assertion WHERE status = 'rejected'")
+def _(t):
+    k = F.col("assertion_id")
+    conflicts = t.x_assertion.filter("status = 'rejected'").select(k.alias("conflict_id"), F.when(k % 2 == 0, "picked").alias("resolution"))
+    return claims.review_conflicts(conflicts, conflicts.filter("conflict_id % 3 = 0"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factspark.operators import projections as proj
+from factspark.session import scratch_folder
+from factspark.sources.vocabulary import materialize, read_current
 
 from .columns import at, CALL_SQL, EFFECTIVE_SQL, STALE_SQL, TRUST_SQL
 from .gaps import LIVE2
 from .reads import day, TODAY
-from .registry import query
+from .registry import ORACLES, query
 from .totals import LIVE
 
 DBL = lambda df: df.withColumn("value_num", F.col("value_num").cast("double"))
@@ -121,3 +123,11 @@ def _(t):
 )
 def _(t):
     return proj.active_classifications(t.x_classification, t.x_node).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query("materialize", ORACLES["entity_current"])
+def _(t):
+    path = scratch_folder(t.spark, "projection")
+    best = DBL(proj.entity_current(t.x_assertion, t.x_entity, t.x_attribute_def, at())).select("entity_id", "canonical_name", "entity_type", "attribute_key", "assertion_id", "value_num", "confidence", "effective_confidence", "valid_from", "volatility_days")
+    materialize(best, path, ["entity_id", "attribute_key"], 1)
+    return read_current(t.spark, path)
