@@ -241,17 +241,42 @@ def new_claims(t):
     return t.x_assertion.filter("status = 'candidate' AND superseded_at IS NULL")
 
 
-@query("adjudicate")
+def _sql_lift(c, t):
+    return sql_conf(f"{sql_odds(c)} * greatest(1.0::DOUBLE, {sql_odds(t)})")
+
+
+# The ordered rules as one left-to-right reduction over the claims of a group.
+ADJUDICATED = f"""ac AS (SELECT a.*, CAST(a.value_num AS DOUBLE) AS v, d.published_at, d.content_sha256, d.domain, d.trust, f.cardinality, f.volatility_days, a.status = 'candidate' AS nw FROM x_assertion a LEFT JOIN {DOCS} d ON d.document_id = a.document_id JOIN x_attribute_def f ON f.attribute_key = a.attribute_key
+  WHERE a.superseded_at IS NULL AND (a.status = 'candidate' OR (a.status = 'accepted' AND a.method <> 'derived'))),
+ ag AS (SELECT entity_id, attribute_key, list([{{'id': assertion_id, 'v': v, 'c': confidence, 'st': status, 'nw': nw, 'o': observed_at, 'doc': document_id, 'p': published_at, 'h': content_sha256, 'dm': domain, 't': coalesce(trust, 50), 'vol': volatility_days, 'n': 0, 'oc': '', 'ot': CAST(NULL AS BIGINT), 'rv': CAST(NULL AS VARCHAR)}}] ORDER BY nw, assertion_id) AS steps
+  FROM ac WHERE method <> 'derived' AND cardinality <> 'multi' GROUP BY 1, 2 HAVING bool_or(nw)),
+ ar AS (SELECT list_reduce(list_concat([steps[1][2:]], steps), lambda acc, x: CASE WHEN NOT x[1].nw THEN list_concat(acc, x) ELSE
+   list_transform([list_sort(list_transform(list_filter(acc, lambda k: k.st = 'accepted'), lambda k: {{'a': -k.c, 'b': k.id, 'k': k}}))[1].k], lambda b: CASE
+    WHEN b IS NULL THEN list_concat(acc, [struct_update(x[1], st := CASE WHEN x[1].c >= 50 THEN 'accepted' ELSE x[1].st END, oc := CASE WHEN x[1].c >= 50 THEN 'accepted' ELSE 'kept' END)])
+    ELSE list_transform([CASE WHEN x[1].v = b.v THEN CASE WHEN x[1].doc = b.doc THEN 'same_document' WHEN x[1].h <> b.h AND x[1].dm <> '' AND b.dm <> '' AND x[1].dm <> b.dm THEN 'corroborates' ELSE 'echo' END
+      WHEN x[1].vol IS NOT NULL AND coalesce(floor((epoch_us(x[1].p) - epoch_us(b.p)) / 86400000000), floor((epoch_us(x[1].o) - epoch_us(b.o)) / 86400000000)) > 30 THEN 'supersedes'
+      WHEN b.v <> 0 AND (x[1].v / b.v > 5.0 OR x[1].v / b.v < 0.2) THEN 'out_of_range' ELSE 'synthesis' END], lambda oc:
+     list_concat(list_transform(acc, lambda k: CASE WHEN k.id = b.id AND oc = 'corroborates' THEN struct_update(k, c := {_sql_lift('k.c', 'x[1].t')}, n := k.n + 1) WHEN k.id = b.id AND oc = 'supersedes' THEN struct_update(k, st := 'superseded') ELSE k END),
+      [struct_update(x[1], st := CASE WHEN oc IN ('same_document', 'corroborates', 'echo') THEN 'rejected' WHEN oc = 'supersedes' THEN 'accepted' ELSE x[1].st END, oc := oc, ot := b.id, rv := CASE WHEN oc = 'out_of_range' THEN 'pending' END)]))[1] END)[1] END) AS kept FROM ag),
+ au AS (SELECT unnest(kept) AS k FROM ar),
+ ad AS (SELECT k.id AS assertion_id, CASE WHEN k.oc = '' THEN 'changed' ELSE k.oc END AS outcome, k.st AS status, k.rv AS review_state, CAST(k.c AS INT) AS confidence, CAST(k.n AS INT) AS corroboration_count, k.ot AS other_id FROM au WHERE k.nw OR k.n > 0 OR k.st <> 'accepted'
+  UNION ALL SELECT assertion_id, CASE WHEN method = 'derived' THEN 'derived' WHEN confidence >= 50 THEN 'accepted' ELSE 'kept' END, CASE WHEN method <> 'derived' AND confidence >= 50 THEN 'accepted' ELSE status END, NULL, confidence, 0, NULL FROM ac WHERE nw AND (method = 'derived' OR cardinality = 'multi'))"""
+
+
+@query("adjudicate", f"WITH {ADJUDICATED} SELECT * FROM ad")
 def _(t):
     return folds.adjudicate(new_claims(t), t.x_assertion, docs(t), t.x_attribute_def)
 
 
-@query("adjudicate_hot")
+@query("adjudicate_hot", f"WITH {ADJUDICATED} SELECT * FROM ad")
 def _(t):
     return folds.adjudicate(new_claims(t), t.x_assertion, docs(t), t.x_attribute_def, fold_rows=8)
 
 
-@query("open_conflicts")
+@query(
+    "open_conflicts",
+    f"""WITH {ADJUDICATED} SELECT entity_id, attribute_key, concat(arg_min(other_id, assertion_id), ',', min(assertion_id)) AS assertion_ids, CASE WHEN any_value(volatility_days) IS NULL THEN 'high' ELSE 'medium' END AS severity FROM ad JOIN ac USING (assertion_id) WHERE outcome = 'out_of_range' GROUP BY 1, 2""",
+)
 def _(t):
     outcomes = folds.adjudicate(new_claims(t), t.x_assertion, docs(t), t.x_attribute_def)
     none = t.x_assertion.select("entity_id", "attribute_key", F.lit(None).cast("string").alias("resolution")).filter(F.lit(False))
@@ -357,7 +382,13 @@ def _(t):
 # ── derived totals ────────────────────────────────────────────────────────────
 
 
-@query("derive_funding_totals")
+FUNDING_FOLD = f"""ff AS (SELECT entity_id, list([{{'a': amount, 'y': year, 'c': confidence, 'e': event_id}}] ORDER BY date NULLS LAST, event_id) AS steps FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, amount, year ORDER BY date NULLS LAST, event_id) AS rn FROM (
+  SELECT entity_id, round(CAST(amount_usd AS DOUBLE), 2) AS amount, CAST(year(date) AS INT) AS year, date, event_id, e.confidence FROM x_event e JOIN x_entity USING (entity_id) WHERE event_type IN ({sql_list(vocab.EQUITY_TYPES)}) AND amount_usd IS NOT NULL AND status <> 'merged' AND entity_type IN ({sql_list(vocab.RAISING_TYPES)})) r) q WHERE rn = 1 GROUP BY 1),
+ fk AS (SELECT entity_id, list_reduce(steps, lambda acc, x: list_transform([coalesce(list_position(list_transform(acc, lambda k: coalesce(k.y = x[1].y, false) AND abs(abs(k.a) - abs(x[1].a)) <= 0.15::DOUBLE * greatest(abs(k.a), abs(x[1].a))), true), 0)], lambda i:
+   CASE WHEN i = 0 THEN list_concat(acc, x) WHEN x[1].c > acc[i].c THEN list_concat(list_concat(acc[:i - 1], x), acc[i + 1:]) ELSE acc END)[1]) AS kept FROM ff)"""
+
+
+@query("derive_funding_totals", f"WITH {FUNDING_FOLD} SELECT entity_id, round(list_sum(list_transform(kept, lambda k: k.a)), 2) AS total_usd, list_min(list_transform(kept, lambda k: k.c)) AS confidence, len(kept) AS n_rounds FROM fk")
 def _(t):
     return folds.derive_funding_totals(t.x_event, t.x_entity, t.x_assertion)["totals"]
 
@@ -371,7 +402,7 @@ def _(t):
     return folds.funding_rounds(t.x_event, t.x_entity).drop("day")
 
 
-@query("funding_total_superseded")
+@query("funding_total_superseded", f"WITH {FUNDING_FOLD} SELECT assertion_id, entity_id FROM x_assertion WHERE attribute_key = 'total_funding_usd' AND superseded_at IS NULL AND (method = 'derived' OR entity_id IN (SELECT entity_id FROM fk))")
 def _(t):
     return folds.derive_funding_totals(t.x_event, t.x_entity, t.x_assertion)["superseded"]
 

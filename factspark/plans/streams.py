@@ -11,7 +11,7 @@ from factspark.sources.tables import SparkDialect, derived_sql
 from factspark.streaming import streams
 
 from .columns import COST_SQL, at
-from .lifecycle import docs
+from .lifecycle import ADJUDICATED, docs
 from .projections import DBL
 from .registry import ORACLES, query
 
@@ -53,7 +53,7 @@ def _(t):
     return written(t, f"{base}/table")
 
 
-@query("stream_adjudicate")
+@query("stream_adjudicate", f"WITH {ADJUDICATED} SELECT * FROM ad")
 def _(t):
     base = scratch_folder(t.spark, "adjudicate")
     reads = {"orders": source(t, "orders"), "documents": t.documents, "x_attribute_def": t.x_attribute_def}
