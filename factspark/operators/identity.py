@@ -198,12 +198,15 @@ def sequence_merges(merges: DataFrame) -> DataFrame:
         gone = removal.select(F.col("x").alias("merged_id"), F.col("first").alias("merged_first"))
         seen = open_.join(kept, "kept_id", "left").join(gone, "merged_id")
         ready = (F.col("kept_first").isNull() | (F.col("rank") < F.col("kept_first"))) & (F.col("rank") == F.col("merged_first"))
-        now = checkpointed(seen.filter(ready).select("kept_id", "merged_id", "similarity"))
-        settled = now if settled is None else settled.unionByName(now)
-        dead = now.select("merged_id")
-        open_ = checkpointed(
-            open_.join(dead, "merged_id", "left_anti").join(dead.withColumnRenamed("merged_id", "kept_id"), "kept_id", "left_anti").select(*open_.columns)
-        )
+        now = checkpointed(seen.filter(ready).select("kept_id", "merged_id", "similarity", "rank"))
+        done = now.drop("rank")
+        settled = done if settled is None else settled.unionByName(done)
+        # an end that is gone voids only the merges that come later
+        lost_m = now.select("merged_id", F.col("rank").alias("_m"))
+        lost_k = lost_m.select(F.col("merged_id").alias("kept_id"), F.col("_m").alias("_k"))
+        rest = open_.join(lost_m, "merged_id", "left").join(lost_k, "kept_id", "left")
+        before = lambda c: F.col(c).isNull() | (F.col("rank") < F.col(c))
+        open_ = checkpointed(rest.filter(before("_m") & before("_k")).select(*open_.columns))
     return settled if settled is not None else merges.select("kept_id", "merged_id", "similarity")
 
 

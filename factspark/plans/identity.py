@@ -123,7 +123,12 @@ def merges(t):
     return idn.sequence_merges(idn.choose_survivor(pairs, t.x_entity, t.x_assertion, t.x_fragment, t.x_event))
 
 
-@query("sequence_merges")
+@query(
+    "sequence_merges",
+    f"""WITH {CS}, ms AS (SELECT list([{{'k': kept_id, 'm': merged_id, 's': similarity}}] ORDER BY similarity DESC, least(kept_id, merged_id), greatest(kept_id, merged_id)) AS steps FROM cs),
+ mr AS (SELECT unnest(list_reduce(list_concat([steps[1][2:]], steps), lambda acc, x: CASE WHEN len(list_filter(acc, lambda p: p.m = x[1].k OR p.m = x[1].m)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS p FROM ms)
+SELECT p.k AS kept_id, p.m AS merged_id, round(CAST(p.s AS DOUBLE), 5) AS similarity FROM mr""",
+)
 def _(t):
     chosen = idn.choose_survivor(decided(t), t.x_entity, t.x_assertion, t.x_fragment, t.x_event)
     return ROUND(idn.sequence_merges(chosen))
@@ -221,7 +226,12 @@ def places(t):
         "entity_type": F.lit("geography"), "status": F.lit("active"), "latitude": (k * 37 % 199) / 500.0, "longitude": (k * 61 % 53) / 400.0})
 
 
-@query("geo_duplicates")
+@query(
+    "geo_duplicates",
+    """WITH gp AS (SELECT list([{'id': entity_id, 'x': c_custkey * 37 % 199 / 500.0::DOUBLE, 'y': c_custkey * 61 % 53 / 400.0::DOUBLE, 'to': CAST(NULL AS VARCHAR)}] ORDER BY created_at, entity_id) AS steps FROM x_entity JOIN customer ON entity_id = concat('C', c_custkey)),
+ gr AS (SELECT unnest(list_reduce(list_concat([steps[1][2:]], steps), lambda acc, p: list_concat(acc, [struct_update(p[1], "to" := list_filter(acc, lambda k: k."to" IS NULL AND abs(k.x - p[1].x) < 0.005::DOUBLE AND abs(k.y - p[1].y) < 0.005::DOUBLE)[1].id)]))) AS q FROM gp)
+SELECT q."to" AS kept_id, q.id AS merged_id FROM gr WHERE q."to" IS NOT NULL""",
+)
 def _(t):
     return idn.geo_duplicates(places(t))
 
@@ -292,14 +302,14 @@ MENTIONS = """(SELECT p_partkey AS mention_id, CASE p_partkey % 5 WHEN 0 THEN p_
  CASE p_partkey % 4 WHEN 0 THEN 'facility' WHEN 1 THEN 'company' WHEN 2 THEN 'university' ELSE 'end_user' END AS entity_type, CASE WHEN p_partkey % 11 = 0 THEN 'S1' END AS primary_id FROM part)"""
 
 
-@query(
-    "resolve_candidates",
-    f"""WITH {AL}, m AS (SELECT DISTINCT {sql_norm('mention')} AS norm FROM {MENTIONS} q), mg0 AS MATERIALIZED (SELECT norm, {sql_trigrams('norm')} AS g FROM m), ag AS MATERIALIZED (SELECT alias_norm, {sql_trigrams('alias_norm')} AS g FROM (SELECT DISTINCT alias_norm FROM al) q),
+CANDIDATES = f"""{AL}, m AS (SELECT DISTINCT {sql_norm('mention')} AS norm FROM {MENTIONS} q), mg0 AS MATERIALIZED (SELECT norm, {sql_trigrams('norm')} AS g FROM m), ag AS MATERIALIZED (SELECT alias_norm, {sql_trigrams('alias_norm')} AS g FROM (SELECT DISTINCT alias_norm FROM al) q),
  c1 AS (SELECT norm, entity_id, alias_norm, 1.0::DOUBLE AS sim, 0 AS kind FROM m JOIN al ON alias_norm <> norm AND (contains(' ' || alias_norm || ' ', ' ' || norm || ' ') OR starts_with(norm, alias_norm || ' ')) WHERE entity_id IN (SELECT entity_id FROM x_entity WHERE status = 'active')),
  c2 AS (SELECT norm, entity_id, alias_norm, sim, 1 AS kind FROM (SELECT s.norm, al.entity_id, al.alias_norm, s.sim, row_number() OVER (PARTITION BY s.norm ORDER BY s.sim DESC, al.alias_norm, al.entity_id) AS rn FROM (SELECT norm, alias_norm, CAST(CAST({sql_jaccard('mg0.g', 'ag.g')} AS FLOAT) AS DOUBLE) AS sim FROM mg0 JOIN ag ON len(list_intersect(mg0.g, ag.g)) > 0) s JOIN al ON al.alias_norm = s.alias_norm WHERE s.sim > 0.1) q WHERE rn <= 24 AND norm <> alias_norm),
- o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm, entity_id ORDER BY kind, sim DESC, alias_norm) AS r1 FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) u) q WHERE r1 = 1)
-SELECT norm, entity_id, alias_norm, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY sim DESC, alias_norm, entity_id) AS r2 FROM o) q WHERE r2 <= 8""",
-)
+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm, entity_id ORDER BY kind, sim DESC, alias_norm) AS r1 FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) u) q WHERE r1 = 1),
+ rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY sim DESC, alias_norm, entity_id) AS r2 FROM o) q WHERE r2 <= 8)"""
+
+
+@query("resolve_candidates", f"WITH {CANDIDATES} SELECT norm, entity_id, alias_norm, round(sim, 5) AS sim FROM rc")
 def _(t):
     asked = mentions(t).select(names.normalize_name(F.col("mention")).alias("norm")).distinct()
     return idn.resolve_candidates(asked, norms(t), t.x_entity).withColumn("sim", F.round("sim", 5))
@@ -338,7 +348,11 @@ def _(t):
     return _picks(t).withColumn("candidate_ids", F.array_join("candidate_ids", "|"))
 
 
-@query("pick_apply")
+@query(
+    "pick_apply",
+    f"""WITH {CANDIDATES}, ma AS (SELECT mention_id, {sql_norm('mention')} AS norm, mention_id % 12 - 1 AS hit, mention_id % 5 > 0 AS sure FROM {MENTIONS} q)
+SELECT mention_id, CASE WHEN sure THEN entity_id END AS entity_id FROM ma LEFT JOIN rc ON rc.norm = ma.norm AND r2 = hit WHERE ma.norm IN (SELECT norm FROM rc)""",
+)
 def _(t):
     k = F.col("mention_id")
     answers = mentions(t).select("mention_id", (k % 12 - 1).cast("int").alias("match"), F.when(k % 5 == 0, "low").otherwise("high").alias("label"))
