@@ -619,7 +619,7 @@ def node_proposals(t):
 
 @query("node_text_similarity")
 def _(t):
-    known = t.x_node.withColumn("definition", F.concat(F.lit("Makers of "), "path"))
+    known = node_proposals(t).select("facet", "path", "label", F.concat("definition", F.lit(" today")).alias("definition"), F.lit("active").alias("status"))
     return taxonomy.node_text_similarity(node_proposals(t), known)
 
 
