@@ -7,14 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
-from .common import documents
+from factspark.session import scratch_folder
 
+from . import language, mixing, neighbours, packing, partenum, quality, secrets, sharding, tokenfiles, tokenindex, tokenscan
+from .common import documents, saved
+
+END_ID = 1
+#: The tokenizer's end-of-text id, which no ordinary text is encoded to.
+SEPARATOR_ID = 49407
 SHARDS = [1.0] * 8
 MIX_WEIGHTS = [3, 1, 2]
 POLICY = "web-2"
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(documents(spark, folder), word_tokenizer(), END_ID, longest=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    written = tokenindex.write_store(docs, scratch_folder(spark, "tokens"), word_tokenizer(), END_ID)
+    return tokenindex.lookup(written, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = documents(spark, folder).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -22,6 +44,23 @@ def op3_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_separator_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document (with the separator), counted from flat files of ids alone."""
+    files = scratch_folder(spark, "flat")
+    written = tokenfiles.write_flat(documents(spark, folder), files, word_tokenizer(), SEPARATOR_ID, 2, "doc_id", "text", headers=False, specials_as_text=True)
+    names = saved(written, "names").select("file", "ordinal", "doc_id")
+    counts = tokenscan.token_counts(spark, files, SEPARATOR_ID)
+    return counts.join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
+
+
+def op5_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    out = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
+    profiles = language.fit(docs.where(~out))
+    rows = docs.select("doc_id", out.alias("held_out"), "text")
+    return language.predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mix(documents(spark, folder), MIX_WEIGHTS)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
@@ -43,6 +82,16 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 """
 
 
+def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = secrets.fit(secrets.labelled_samples(docs))
+    found = secrets.scan(docs, model)
+    spans = F.col("spans")
+    counts = [F.size(secrets.of_kinds(spans, [k])).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    base = F.sha2(secrets.joined(secrets.of_kinds(spans, secrets.BASE_KINDS)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
 def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     book = quality.ledger(documents(spark, folder))
     failed = F.col("failures").bitwiseAND(F.lit(quality.policy_mask("base-1")).cast("long")) != 0
@@ -72,9 +121,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op9_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.near_groups(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM w, range(1, greatest(len(words) - 3, 2)) AS r(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a) m ON m.doc_id = d.doc_id
+"""
+
+
+def op10_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_systematic_mix": OP6_SQL, "op8_rule_ledger": OP8_SQL}
+    return {"op6_systematic_mix": OP6_SQL, "op8_rule_ledger": OP8_SQL, "op9_partenum_join": OP9_SQL}
