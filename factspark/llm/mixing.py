@@ -49,10 +49,10 @@ def offset(source: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source") -> DataFrame:
+        text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """How often each document enters the mix (``copies``, 0 included).
 
-    A source's documents stand in order of falling size (ties by id).  Each expects
+    A source's documents stand in order of falling size (ties by id, then by ``row_col``).  Each expects
     r = target / source size copies; with P the prefix sum of r and u the source's random
     offset, a document is emitted once for every integer between P + u before and after it.
     As the order is by size, the words taken miss the target by less than the source's
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     form one source, repeated rows are documents of their own, and sources without words
     have target 0 and are not taken.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
     base = saved(base, "sizes")
     sizes = saved(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     ranked = numbered(base, ["source"], [("size", True)])
