@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,46 +13,38 @@ from pyspark.sql import types as T
 SECTIONS = ["claims", "events", "fragments", "relations"]
 
 
-def _balanced_objects(text: str) -> list[str]:
-    """Every closed ``{...}`` of a broken response, in the order their braces close."""
-    found, open_at, quoted, escaped = [], [], False, False
-    for at, char in enumerate(text):
-        if quoted:
-            quoted = escaped or char != '"'
-            escaped = char == "\\" and not escaped
-        elif char == '"':
-            quoted = True
-        elif char == "{":
-            open_at.append(at)
-        elif char == "}" and open_at:
-            found.append(text[open_at.pop() : at + 1])
-    return found
-
-
-def _section_of(item: dict) -> str | None:
-    if "attribute_key" in item:
-        return "claims"
-    if "event_type" in item:
-        return "events"
-    if "category" in item and "text" in item:
-        return "fragments"
-    if "predicate" in item and "object_mention" in item:
-        return "relations"
-    return None
+#: The keys that mark an object as a record of a section, the first fit counting.
+SIGNATURES = [
+    ("claims", {"attribute_key"}),
+    ("events", {"event_type"}),
+    ("fragments", {"category", "text"}),
+    ("relations", {"predicate", "object_mention"}),
+]
+_STRING_OR_OPENING = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|\{', re.DOTALL)
 
 
 def recover_objects(text: str | None) -> list[dict] | None:
-    """Complete records of a truncated response, each with its section."""
+    """Complete records of a truncated response, each with its section.
+
+    An object is tried wherever a brace opens outside a string; those that decode come in
+    the order in which they end, so inner records precede the object around them.
+    """
     if text is None:
         return None
+    decode = json.JSONDecoder().raw_decode
+    complete = []
+    for token in _STRING_OR_OPENING.finditer(text):
+        if token[0] == "{":
+            try:
+                item, end = decode(text, token.start())
+            except ValueError:
+                continue
+            complete.append((end, token.start(), item))
     out = []
-    for raw in _balanced_objects(text):
-        try:
-            section = _section_of(json.loads(raw))
-        except ValueError:
-            continue
+    for end, start, item in sorted(complete, key=lambda c: c[0]):
+        section = next((name for name, keys in SIGNATURES if keys <= item.keys()), None)
         if section:
-            out.append({"section": section, "obj": raw})
+            out.append({"section": section, "obj": text[start:end]})
     return out
 
 
