@@ -28,6 +28,11 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def head(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
+    """The first ``n`` rows of a listing; all rows, unsorted, without ``n``."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def documents_with_source(document: DataFrame, source: DataFrame) -> DataFrame:
     """Documents with publication domain and effective trust."""
     s = source.select("source_id", F.col("name").alias("source_name"), F.col("domain").alias("source_domain"), "base_trust")

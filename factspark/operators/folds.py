@@ -110,9 +110,15 @@ def same_amount_pairs(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def same_story_requests(new: DataFrame, existing: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Same-day pairs too alike to ignore and too different to merge, not judged yet."""
+    """Same-day pairs too alike to ignore and too different to merge, not judged yet.
+
+    Events that a nearly equal amount or more than 70% common words settle are not asked about.
+    """
     pairs = similar_pairs(story_words(existing), ["entity_id", "event_type", "date"], OTHER_STORY - 1e-9, left=story_words(new))
-    middle = pairs.filter(F.col("share") <= SAME_STORY).select(F.col("a").alias("event_id"), F.col("b").alias("old_id"), "share")
+    pairs = checkpointed(pairs)
+    settled = pairs.filter(F.col("share") > SAME_STORY).select(F.col("a").alias("event_id")).union(same_amount_pairs(new, existing).select("event_id"))
+    open_ = pairs.withColumnRenamed("a", "event_id").join(settled.distinct(), "event_id", "left_anti").withColumnRenamed("event_id", "a")
+    middle = open_.filter(F.col("share") <= SAME_STORY).select(F.col("a").alias("event_id"), F.col("b").alias("old_id"), "share")
     return middle.join(verdicts.select("event_id", "old_id"), ["event_id", "old_id"], "left_anti")
 
 
@@ -152,15 +158,18 @@ def store_relations(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     ``incoming``: in_id, triple, document_id, trust.  ``existing``: relation_id, triple,
     document_id, confidence, status of relations in force.  A statement from another
-    document lifts the first relation; one from the same document resets it.  Only the
-    statements after the last reset matter, and at most 33 of those change anything.
+    document lifts the first relation; one from the same document resets it; a relation
+    without a document is lifted by every statement.  Only the statements after the last
+    reset matter, and at most 33 of those change anything.  The statements are written once,
+    as they are read several times.
     """
+    incoming = checkpointed(incoming.select("in_id", *TRIPLE, "document_id", "trust"))
     held = existing.groupBy(*TRIPLE).agg(F.min(F.struct("relation_id", "document_id", "confidence", "status")).alias("e"))
     opening = incoming.groupBy(*TRIPLE).agg(F.min(F.struct("in_id", "document_id", "trust")).alias("o"))
     start = opening.join(held, TRIPLE, "left").select(
         *TRIPLE,
         F.col("e.relation_id").alias("relation_id"),
-        F.coalesce("e.document_id", "o.document_id").alias("home"),
+        F.when(F.col("e").isNull(), F.col("o.document_id")).otherwise(F.col("e.document_id")).alias("home"),
         F.when(F.col("e").isNull(), F.col("o.in_id")).otherwise(F.lit(-1)).alias("from_id"),
         F.coalesce("e.confidence", "o.trust").alias("base"),
         F.coalesce("e.status", F.when(F.col("o.trust") >= 65, "accepted").otherwise("candidate")).alias("base_status"),
@@ -174,7 +183,7 @@ def store_relations(incoming: DataFrame, existing: DataFrame) -> DataFrame:
         F.when(F.col("r").isNull(), F.col("base_status")).when(F.col("r.trust") >= 65, "accepted").otherwise("candidate").alias("base_status"),
     )
     lifts = incoming.join(start.select(*TRIPLE, "home", "from_id"), TRIPLE).filter(
-        (F.col("in_id") > F.col("from_id")) & (F.col("document_id") != F.col("home"))
+        (F.col("in_id") > F.col("from_id")) & ~F.coalesce(F.col("document_id") == F.col("home"), F.lit(False))
     )
     first = top_rows(lifts.select(*TRIPLE, "in_id", "trust"), TRIPLE, [F.col("in_id")], SATURATION_STEPS)
     steps = first.groupBy(*TRIPLE).agg(F.array_sort(F.collect_list(F.struct("in_id", "trust"))).alias("steps"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factspark.functions import names, trust, values, vocab
 from factspark.session import checkpointed
 
-from .entities import evidence, live, name_variants, top_rows
+from .entities import evidence, head, live, name_variants, top_rows
 from .gaps import ids
 from .pairs import similar_pairs
 
@@ -334,8 +334,8 @@ class Merger:
 # ── healing and geography ─────────────────────────────────────────────────────
 
 
-def fragment_heal(entity, alias, assertion, event, fragment, n: int = 100) -> DataFrame:
-    """Empty entities whose name is the start of an established entity's name."""
+def fragment_heal(entity, alias, assertion, event, fragment, n: int | None = None) -> DataFrame:
+    """Empty entities whose name is the start of an established entity's name (the ``n`` best)."""
     group = F.coalesce(names.literal_map(vocab.TYPE_GROUPS, F.col("entity_type")), F.lit("other"))
     counts = live(assertion).groupBy("entity_id").agg(F.count("*").alias("n"))
     data = ids(counts).union(ids(event)).union(ids(fragment)).distinct()
@@ -350,7 +350,8 @@ def fragment_heal(entity, alias, assertion, event, fragment, n: int = 100) -> Da
     prefix = alias.filter(F.size(parts) > 1).select(F.col("entity_id").alias("into_id"), F.explode(starts).alias("short")).distinct()
     found = short.join(prefix.join(big, "into_id"), "short").filter("entity_id <> into_id")
     best = top_rows(found, ["entity_id"], [F.desc("n"), F.col("into_id")])
-    return best.filter(F.col("group") == F.col("into_group")).orderBy(F.desc("n"), "entity_id").limit(n).select("entity_id", "into_id", F.col("n").alias("n_claims"))
+    fits = best.filter(F.col("group") == F.col("into_group"))
+    return head(fits, [F.desc("n"), F.col("entity_id")], n).select("entity_id", "into_id", F.col("n").alias("n_claims"))
 
 
 def _with_cells(df: DataFrame) -> DataFrame:
@@ -422,25 +423,28 @@ def retype_geographies(entity, relation, assertion, event) -> DataFrame:
 
 
 def anchor_domains(assertion, identifier) -> DataFrame:
-    """New website identifiers: entities without one, first owner per domain."""
-    sites = live(assertion).filter("attribute_key = 'website'").withColumn("value", values.website_domain(F.col("value_text"))).filter("value IS NOT NULL")
+    """New website identifiers: every domain of entities that hold none, first claim per domain.
+
+    All websites not superseded count, whatever their status.
+    """
+    stated = assertion.filter("superseded_at IS NULL AND attribute_key = 'website'")
+    sites = stated.withColumn("value", values.website_domain(F.col("value_text"))).filter("value IS NOT NULL")
     domain = identifier.filter("scheme = 'domain'")
     free = sites.join(ids(domain), "entity_id", "left_anti").join(domain.select("value"), "value", "left_anti")
-    own = top_rows(free.select("entity_id", "value", "assertion_id"), ["entity_id"], [F.col("assertion_id")])
-    first = top_rows(own, ["value"], [F.col("assertion_id")])
+    first = top_rows(free.select("entity_id", "value", "assertion_id"), ["value"], [F.col("assertion_id")])
     return first.select("entity_id", F.lit("domain").alias("scheme"), "value", F.lit(85).alias("confidence"))
 
 
-def anchor_external(entity, alias, registry, identifier, n: int = 300) -> tuple[DataFrame, DataFrame]:
+def anchor_external(entity, alias, registry, identifier, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(new registry numbers, pairs to merge because the number is taken).
 
     ``registry``: number, label, aliases[], description.  Exactly one plausible number
-    must match an entity's names.
+    must match an entity's names.  With ``n`` only the most relevant entities are looked up.
     """
     open_ = entity.filter((F.col("status") == "active") & (F.col("space_relevance") >= 50) & F.col("entity_type").isin("company", "investor", "entity", "university", "facility", "program"))
     numbered = identifier.filter("scheme = 'wikidata'")
-    head = open_.join(ids(numbered), "entity_id", "left_anti").orderBy(F.desc("space_relevance"), "entity_id").limit(n)
-    variants = name_variants(head, alias.join(ids(head), "entity_id", "left_semi")).join(head.select("entity_id", "space_relevance"), "entity_id")
+    asked = head(open_.join(ids(numbered), "entity_id", "left_anti"), [F.desc("space_relevance"), F.col("entity_id")], n)
+    variants = name_variants(asked, alias.join(ids(asked), "entity_id", "left_semi")).join(asked.select("entity_id", "space_relevance"), "entity_id")
     labels = registry.select("number", "description", F.explode(F.array_append("aliases", F.col("label"))).alias("form")).select(
         "number", "description", names.normalize_name(F.col("form")).alias("variant")).filter("variant <> ''").distinct()
     hint = F.lit(False)

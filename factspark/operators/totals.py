@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions import trust, values, vocab
 
-from .entities import evidence, frame_of, live, not_merged, priced_calls, top_rows
+from .entities import evidence, frame_of, head, live, not_merged, priced_calls, top_rows
 from .gaps import MIN_RELEVANCE, first_value, ids, recent_topics_anti
 from .reads import calls_in_force, contains_text, newest_first
 
@@ -123,22 +123,22 @@ def funding_type_counts(event) -> DataFrame:
 
 def top_investors(relation, entity, n: int = 10) -> DataFrame:
     deals = relation.filter("predicate = 'invested_in' AND superseded_at IS NULL").groupBy("subject_id").agg(F.count("*").alias("deals"))
-    head = deals.orderBy(F.desc("deals"), "subject_id").limit(n)
+    first = deals.orderBy(F.desc("deals"), "subject_id").limit(n)
     named = entity.select(F.col("entity_id").alias("subject_id"), "canonical_name")
-    return head.join(named, "subject_id").select(F.col("subject_id").alias("entity_id"), "canonical_name", "deals")
+    return first.join(named, "subject_id").select(F.col("subject_id").alias("entity_id"), "canonical_name", "deals")
 
 
 def program_board(entity, relation, event, participant, fragment, today: Column, n: int = 60) -> DataFrame:
     """Active funding programmes with administrator, open calls, awards and best fragment."""
-    head = entity.filter("entity_type = 'funding_program' AND status = 'active'").orderBy("canonical_name", "entity_id").limit(n).select("entity_id", "canonical_name")
-    within = lambda df, column="entity_id": df.withColumn("entity_id", F.col(column)).join(head.select("entity_id"), "entity_id", "left_semi")
+    first = entity.filter("entity_type = 'funding_program' AND status = 'active'").orderBy("canonical_name", "entity_id").limit(n).select("entity_id", "canonical_name")
+    within = lambda df, column="entity_id": df.withColumn("entity_id", F.col(column)).join(first.select("entity_id"), "entity_id", "left_semi")
     admin = within(relation.filter("predicate = 'administers' AND superseded_at IS NULL"), "object_id").groupBy("entity_id").agg(F.min_by("subject_id", "relation_id").alias("administrator"))
     calls = top_rows(within(calls_in_force(event, today)), ["entity_id"], newest_first("date", "created_at", "event_id"), 3)
     calls = calls.groupBy("entity_id").agg(F.array_sort(F.collect_list("event_id")).alias("open_calls"))
     awarded = event.filter(F.col("event_type").isin(AWARD_TYPES)).select("event_id")
     awards = within(participant).join(awarded, "event_id").groupBy("entity_id").agg(F.count("*").alias("award_count"))
     best = within(fragment).groupBy("entity_id").agg(F.max_by("fragment_id", F.struct("confidence", -F.col("fragment_id"))).alias("fragment_id"))
-    board = head.join(admin, "entity_id", "left").join(calls, "entity_id", "left").join(awards, "entity_id", "left").join(best, "entity_id", "left")
+    board = first.join(admin, "entity_id", "left").join(calls, "entity_id", "left").join(awards, "entity_id", "left").join(best, "entity_id", "left")
     board = board.withColumns({"open_calls": F.coalesce("open_calls", F.array().cast("array<long>")), "award_count": F.coalesce("award_count", F.lit(0))})
     return board.orderBy(F.desc(F.size("open_calls")), F.desc("award_count"), "canonical_name", "entity_id")
 
@@ -170,8 +170,8 @@ def supply_profiles(assertion) -> DataFrame:
     return kept.groupBy("entity_id").agg(of("value_chain_tier", "tiers"), of("output", "outputs"), of("input", "inputs"))
 
 
-def supply_lanes(entity, alias, assertion, relation, q: str = "", level: str = "", cat: str = "", n: int = 300) -> DataFrame:
-    """Entities per supply lane; an entity without a known tier is pending."""
+def supply_lanes(entity, alias, assertion, relation, q: str = "", level: str = "", cat: str = "", n: int | None = None) -> DataFrame:
+    """Entities per supply lane (of the first ``n`` by name); one without a known tier is pending."""
     profiles = supply_profiles(assertion)
     shown = entity.filter((F.col("status") == "active") & F.col("entity_type").isin(SUPPLY_ENTITY_TYPES)).join(profiles, "entity_id")
     if q:
@@ -183,9 +183,9 @@ def supply_lanes(entity, alias, assertion, relation, q: str = "", level: str = "
         shown = shown.filter(F.exists("tiers", lambda p: F.coalesce(values.tier_level(p) == level, F.lit(False))))
     if cat:
         shown = shown.filter(F.exists("tiers", lambda p: contains_text(p, cat)))
-    head = shown.orderBy("canonical_name", "entity_id").limit(n).select("entity_id", "canonical_name", "tiers", "outputs", "inputs")
+    listed = head(shown, [F.col("canonical_name"), F.col("entity_id")], n).select("entity_id", "canonical_name", "tiers", "outputs", "inputs")
     country = first_value(live(assertion, True), "headquarters_country", "country")
-    full = head.join(country, "entity_id", "left").join(supply_degrees(relation), "entity_id", "left")
+    full = listed.join(country, "entity_id", "left").join(supply_degrees(relation), "entity_id", "left")
     levels = F.array_distinct(F.array_compact(F.transform("tiers", lambda p: values.tier_level(p))))
     lanes = F.when(F.size(levels) > 0, levels).otherwise(F.array(F.lit("pending")))
     return full.select(
@@ -216,7 +216,7 @@ def evidence_flag(entity, assertion, event, fragment) -> DataFrame:
     return entity.join(backed, "entity_id", "left").select("entity_id", F.col("_has").isNotNull().alias("has_evidence"))
 
 
-def stale_entities(assertion, attribute_def, entity, run, as_of: Column, n: int = 25, min_relevance: int = MIN_RELEVANCE) -> DataFrame:
+def stale_entities(assertion, attribute_def, entity, run, as_of: Column, n: int | None = None, min_relevance: int = MIN_RELEVANCE) -> DataFrame:
     """Entities whose volatile facts are the longest past their window, with a sample."""
     windows = attribute_def.filter("volatility_days IS NOT NULL").select("attribute_key", F.when(F.col("volatility_days") == 0, trust.NO_WINDOW_DAYS).otherwise(F.col("volatility_days")).alias("window"))
     value = F.coalesce("value_text", F.col("value_num").cast("double").cast("string"), F.col("value_date").cast("string"), F.lit(""))
@@ -230,7 +230,7 @@ def stale_entities(assertion, attribute_def, entity, run, as_of: Column, n: int
     )
     shown = not_merged(entity).filter(~F.col("entity_type").isin("geography", "document_node") & (F.col("space_relevance") >= min_relevance))
     found = recent_topics_anti(shown, run, as_of).join(worst, "entity_id")
-    return found.orderBy(F.desc("excess_days"), "entity_id").limit(n).select(
+    return head(found, [F.desc("excess_days"), F.col("entity_id")], n).select(
         "entity_id", "excess_days", "sample", frame_of(F.col("entity_type"), vocab.REPORT_FRAME).alias("frame")
     )
 

@@ -209,14 +209,13 @@ def _(t):
 @query(
     "fragment_heal",
     f"""WITH {AL}, cn AS (SELECT entity_id, count(*) AS n FROM x_assertion WHERE {LIVE} GROUP BY 1), op AS (SELECT *, {GROUP} AS grp FROM x_entity WHERE status = 'active' AND entity_type NOT IN ('geography', 'document_node', 'event')),
- em AS (SELECT * FROM op WHERE entity_id NOT IN (SELECT entity_id FROM cn) AND entity_id NOT IN (SELECT entity_id FROM x_fragment)),
+ em AS (SELECT * FROM op WHERE entity_id NOT IN (SELECT entity_id FROM cn) AND entity_id NOT IN (SELECT entity_id FROM x_fragment) AND entity_id NOT IN (SELECT entity_id FROM x_event)),
  sh AS (SELECT entity_id, grp, alias_norm AS s FROM em JOIN al USING (entity_id) UNION SELECT entity_id, grp, lower(canonical_name) FROM em WHERE entity_id NOT IN (SELECT entity_id FROM al)),
  f AS (SELECT sh.entity_id, sh.grp, op.entity_id AS into_id, op.grp AS ig, n FROM sh JOIN al c ON starts_with(c.alias_norm, s || ' ') JOIN op ON op.entity_id = c.entity_id JOIN cn ON cn.entity_id = c.entity_id WHERE length(s) >= 3 AND n >= 3 AND sh.entity_id <> op.entity_id)
-SELECT entity_id, into_id, n AS n_claims FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, into_id) AS rn FROM f) q WHERE rn = 1 AND grp = ig ORDER BY n DESC, entity_id LIMIT 100""",
+SELECT entity_id, into_id, n AS n_claims FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, into_id) AS rn FROM f) q WHERE rn = 1 AND grp = ig""",
 )
 def _(t):
-    none = t.x_event.filter(F.lit(False))
-    return idn.fragment_heal(t.x_entity, norms(t), t.x_assertion, none, t.x_fragment)
+    return idn.fragment_heal(t.x_entity, norms(t), t.x_assertion, t.x_event, t.x_fragment)
 
 
 def places(t):
@@ -253,9 +252,10 @@ def _(t):
 
 @query(
     "anchor_domains",
-    f"""WITH s AS (SELECT entity_id, assertion_id, {WEBSITE_SQL.format('value_text')} AS v FROM x_fact WHERE attribute_key = 'website' AND {LIVE}), d AS (SELECT * FROM x_identifier WHERE scheme = 'domain'),
- o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY assertion_id) AS rn FROM s WHERE contains(v, '.') AND entity_id NOT IN (SELECT entity_id FROM d) AND v NOT IN (SELECT value FROM d)) q WHERE rn = 1)
-SELECT entity_id, 'domain' AS scheme, v AS value, 85 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY assertion_id) AS r2 FROM o) q WHERE r2 = 1""",
+    f"""WITH s AS (SELECT entity_id, assertion_id, {WEBSITE_SQL.format('value_text')} AS v FROM x_fact WHERE attribute_key = 'website' AND superseded_at IS NULL),
+ d AS (SELECT * FROM x_identifier WHERE scheme = 'domain'),
+ o AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY assertion_id) AS rn FROM s WHERE contains(v, '.') AND entity_id NOT IN (SELECT entity_id FROM d) AND v NOT IN (SELECT value FROM d))
+SELECT entity_id, 'domain' AS scheme, v AS value, 85 AS confidence FROM o WHERE rn = 1""",
 )
 def _(t):
     return idn.anchor_domains(t.x_fact, t.x_identifier)
@@ -269,7 +269,7 @@ def registry(t):
 
 @query(
     "anchor_external",
-    f"""WITH {AL}, h AS (SELECT * FROM x_entity WHERE status = 'active' AND space_relevance >= 50 AND entity_type IN ('company', 'investor', 'entity', 'university', 'facility', 'program') AND entity_id NOT IN (SELECT entity_id FROM x_identifier WHERE scheme = 'wikidata') ORDER BY space_relevance DESC, entity_id LIMIT 300),
+    f"""WITH {AL}, h AS (SELECT * FROM x_entity WHERE status = 'active' AND space_relevance >= 50 AND entity_type IN ('company', 'investor', 'entity', 'university', 'facility', 'program') AND entity_id NOT IN (SELECT entity_id FROM x_identifier WHERE scheme = 'wikidata')),
  v AS (SELECT DISTINCT entity_id, {sql_norm('raw')} AS n FROM (SELECT entity_id, canonical_name AS raw FROM h UNION ALL SELECT entity_id, alias FROM al) q), l AS (SELECT DISTINCT concat('Q', p_partkey % 900) AS number, p_partkey % 2 = 0 AS hint, {sql_norm('f')} AS n FROM (SELECT p_partkey, concat(p_name, ' ', p_partkey % 9) AS f FROM part UNION ALL SELECT p_partkey, concat('The ', p_name) FROM part) q),
  s AS (SELECT entity_id, min(number) AS number FROM h JOIN v USING (entity_id) JOIN l USING (n) WHERE space_relevance = 100 OR hint GROUP BY 1 HAVING count(DISTINCT number) = 1),
  k AS (SELECT s.*, coalesce(o.entity_id, min(CASE WHEN o.entity_id IS NULL THEN s.entity_id END) OVER (PARTITION BY s.number)) AS holder FROM s LEFT JOIN (SELECT value AS number, min(entity_id) AS entity_id FROM x_identifier WHERE scheme = 'wikidata' GROUP BY 1) o ON o.number = s.number)

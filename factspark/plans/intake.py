@@ -37,7 +37,7 @@ def _entries(t):
 
 
 ENTRY_SQL = """SELECT * FROM (SELECT regexp_extract(url, '//([^/]+)', 1) AS feed_id, page_id AS position, CASE WHEN page_id % 9 > 0 THEN url END AS link,
- row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)', 1) ORDER BY page_id) AS rn FROM pages) e WHERE rn <= 50 AND link IS NOT NULL"""
+ row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]+)', 1) ORDER BY page_id) AS rn FROM pages) e WHERE link IS NOT NULL"""
 KNOWN_SQL = "SELECT url FROM pages WHERE page_id % 4 = 1"
 
 
@@ -178,7 +178,7 @@ def _(t):
     f"""WITH p AS ({PRIORITY_SQL.replace('round(greatest', 'greatest').replace('0.01), 6)', '0.01)')})
 SELECT feed_id, entity_hint, round(priority, 6) AS priority FROM (SELECT feed_id, entity_hint, coalesce(priority, 1.0) AS priority FROM x_feed LEFT JOIN p ON p.entity_id = entity_hint
  WHERE is_active AND (last_checked_at IS NULL OR floor((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(last_checked_at)) / 86400000000) >= CASE cadence WHEN 'daily' THEN 1 WHEN 'weekly' THEN 7 WHEN 'monthly' THEN 30 ELSE 0 END)) d
-ORDER BY d.priority DESC, feed_id LIMIT 200""",
+""",
 )
 def _(t):
     due = docs.due_sources(t.x_feed, t.x_entity, t.x_assertion, at())

@@ -144,12 +144,13 @@ def day_events(t):
 
 
 DAY_EVENTS = """d AS (SELECT event_id, substr(entity_id, 1, 2) AS entity_id, event_type, date_trunc('month', date)::DATE AS date, floor(amount_usd / 3000) + (event_id % 4) * 0.25::DOUBLE AS amount_usd, created_at, list_distinct(string_split_regex(lower(title || ' ' || description), '\\s+')) AS w FROM x_event),
- p AS (SELECT n.event_id, o.event_id AS old_id, o.created_at, abs(n.amount_usd - o.amount_usd) < 1 AS amount_match, len(list_intersect(n.w, o.w)) / (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w))) AS share FROM d n JOIN d o ON n.entity_id = o.entity_id AND n.event_type = o.event_type AND n.date = o.date WHERE n.event_id % 2 = 1 AND o.event_id % 2 = 0)"""
+ p AS (SELECT n.event_id, o.event_id AS old_id, o.created_at, abs(n.amount_usd - o.amount_usd) < 1 AS amount_match, len(list_intersect(n.w, o.w)) / (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w))) AS share FROM d n JOIN d o ON n.entity_id = o.entity_id AND n.event_type = o.event_type AND n.date = o.date WHERE n.event_id % 2 = 1 AND o.event_id % 2 = 0),
+ s AS (SELECT *, bool_or(coalesce(amount_match, false) OR share > 0.7) OVER (PARTITION BY event_id) AS settled FROM p)"""
 
 
 @query(
     "same_day_merge",
-    f"WITH {DAY_EVENTS} SELECT event_id, old_id AS into_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at DESC, old_id DESC) AS rn FROM p WHERE amount_match OR share > 0.7 OR (share BETWEEN 0.15 AND 0.7 AND (event_id + old_id) % 7 = 0)) q WHERE rn = 1",
+    f"WITH {DAY_EVENTS} SELECT event_id, old_id AS into_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at DESC, old_id DESC) AS rn FROM s WHERE amount_match OR share > 0.7 OR (NOT settled AND share BETWEEN 0.15 AND 0.7 AND (event_id + old_id) % 7 = 0)) q WHERE rn = 1",
 )
 def _(t):
     new, stored = day_events(t)
@@ -159,7 +160,7 @@ def _(t):
     return folds.same_day_merge(new, stored, verdicts)
 
 
-@query("same_story_requests", f"WITH {DAY_EVENTS} SELECT event_id, old_id, round(share, 6) AS share FROM p WHERE share BETWEEN 0.15 AND 0.7 AND (event_id + old_id) % 7 > 0")
+@query("same_story_requests", f"WITH {DAY_EVENTS} SELECT event_id, old_id, round(share, 6) AS share FROM s WHERE NOT settled AND share BETWEEN 0.15 AND 0.7 AND (event_id + old_id) % 7 > 0")
 def _(t):
     new, stored = day_events(t)
     none = t.x_event.select("event_id", F.col("event_id").alias("old_id")).filter(F.lit(False))
@@ -200,7 +201,7 @@ def incoming_relations(t):
 def stored_relations(t):
     k = F.col("relation_id")
     first = t.x_relation.filter("relation_id % 50 = 1").groupBy(F.concat(F.lit("S"), (k % 7).cast("string")).alias("subject_id"), "predicate", F.concat(F.lit("S"), (k % 11).cast("string")).alias("object_id"))
-    return first.agg(F.min("relation_id").alias("relation_id")).select("*", (F.col("relation_id") % 40).alias("document_id"), (F.col("relation_id") % 60).cast("int").alias("confidence"), F.lit("candidate").alias("status"))
+    return first.agg(F.min("relation_id").alias("relation_id")).select("*", F.when(F.col("relation_id") % 3 > 0, F.col("relation_id") % 40).alias("document_id"), (F.col("relation_id") % 60).cast("int").alias("confidence"), F.lit("candidate").alias("status"))
 
 
 PREDICATES = "('supplies', 'contracted_by', 'customer_of', 'manufactures', 'has_office_in')"
@@ -209,9 +210,9 @@ PREDICATES = "('supplies', 'contracted_by', 'customer_of', 'manufactures', 'has_
 @query(
     "store_relations",
     f"""WITH i AS (SELECT relation_id AS in_id, concat('S', relation_id % 7) AS subject_id, predicate, concat('S', relation_id % 11) AS object_id, relation_id % 40 AS document_id, CAST(relation_id % 101 AS INT) AS trust FROM x_relation WHERE relation_id % 13 > 0 AND relation_id % 7 <> relation_id % 11 AND predicate IN {PREDICATES}),
- e AS (SELECT subject_id, predicate, object_id, relation_id, relation_id % 40 AS document_id, CAST(relation_id % 60 AS INT) AS confidence FROM (SELECT concat('S', relation_id % 7) AS subject_id, predicate, concat('S', relation_id % 11) AS object_id, min(relation_id) AS relation_id FROM x_relation WHERE relation_id % 50 = 1 GROUP BY 1, 2, 3) q),
+ e AS (SELECT subject_id, predicate, object_id, relation_id, CASE WHEN relation_id % 3 > 0 THEN relation_id % 40 END AS document_id, CAST(relation_id % 60 AS INT) AS confidence FROM (SELECT concat('S', relation_id % 7) AS subject_id, predicate, concat('S', relation_id % 11) AS object_id, min(relation_id) AS relation_id FROM x_relation WHERE relation_id % 50 = 1 GROUP BY 1, 2, 3) q),
  g AS (SELECT i.subject_id, i.predicate, i.object_id, any_value(e.relation_id) AS relation_id, any_value(e.document_id) AS edoc, any_value(e.confidence) AS econf, arg_min(i.document_id, in_id) AS odoc, arg_min(trust, in_id) AS otrust, list({{'d': i.document_id, 't': trust}} ORDER BY in_id) AS steps FROM i LEFT JOIN e ON e.subject_id = i.subject_id AND e.predicate = i.predicate AND e.object_id = i.object_id GROUP BY 1, 2, 3),
- h AS (SELECT *, coalesce(edoc, odoc) AS home, coalesce(econf, otrust) AS base, CASE WHEN relation_id IS NULL THEN steps[2:] ELSE steps END AS later FROM g),
+ h AS (SELECT *, CASE WHEN relation_id IS NULL THEN odoc ELSE edoc END AS home, coalesce(econf, otrust) AS base, CASE WHEN relation_id IS NULL THEN steps[2:] ELSE steps END AS later FROM g),
  r AS (SELECT *, list_transform(later, lambda x: CASE WHEN x.d = home THEN 1000 + x.t ELSE x.t END) AS ops FROM h),
  f AS (SELECT *, CAST(list_reduce(list_prepend(CAST(base AS BIGINT), list_transform(ops, lambda x: CAST(x AS BIGINT))), lambda acc, x: CASE WHEN x >= 1000 THEN x - 1000 ELSE least(99, acc + greatest(3, CAST(floor((100 - acc) * x / 300.0::DOUBLE) AS BIGINT))) END) AS INT) AS confidence,
   coalesce(list_max(list_transform(range(1, len(ops) + 1), lambda j: CASE WHEN ops[j] >= 1000 THEN j ELSE 0 END)), 0) AS last_set FROM r)

@@ -157,7 +157,7 @@ def _prof(key, col):
 PROFILES = f"""(SELECT entity_id, {_prof('value_chain_tier', 'tiers')}, {_prof('output', 'outputs')}, {_prof('input', 'inputs')},
  list_distinct(list_filter(list({LEVEL_SQL}) FILTER (WHERE attribute_key = 'value_chain_tier'), lambda x: x IS NOT NULL)) AS levels
  FROM x_fact WHERE {LIVE2} AND value_text <> '' AND attribute_key IN ('value_chain_tier', 'output', 'input') GROUP BY 1)"""
-LANES = f"""WITH h AS (SELECT e.entity_id, canonical_name, tiers, outputs, inputs, levels FROM x_entity e JOIN {PROFILES} p ON p.entity_id = e.entity_id WHERE status = 'active' AND entity_type IN ({sql_list(totals.SUPPLY_ENTITY_TYPES)}) {{where}} ORDER BY canonical_name, e.entity_id LIMIT 300),
+LANES = f"""WITH h AS (SELECT e.entity_id, canonical_name, tiers, outputs, inputs, levels FROM x_entity e JOIN {PROFILES} p ON p.entity_id = e.entity_id WHERE status = 'active' AND entity_type IN ({sql_list(totals.SUPPLY_ENTITY_TYPES)}) {{where}}),
  l AS (SELECT CASE WHEN len(levels) > 0 THEN unnest(levels) END AS lane, * EXCLUDE levels FROM h WHERE len(levels) > 0 UNION ALL SELECT 'pending', * EXCLUDE levels FROM h WHERE levels IS NULL OR len(levels) = 0)"""
 
 
@@ -223,7 +223,7 @@ AGED = f"""(SELECT entity_id, assertion_id, CAST(floor((epoch_us(TIMESTAMP '2002
     f"""SELECT entity_id, excess_days, sample, {REPORT} AS frame FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY excess_days DESC, assertion_id) AS rn FROM {AGED} a WHERE excess_days > 0) w
 JOIN x_entity USING (entity_id) WHERE rn = 1 AND status <> 'merged' AND entity_type NOT IN ('geography', 'document_node') AND space_relevance >= 50
  AND canonical_name NOT IN (SELECT stats->>'$.topic' FROM x_run WHERE started_at - INTERVAL 8065 DAY >= TIMESTAMP '2002-01-01' - INTERVAL 7 DAY AND stats->>'$.topic' IS NOT NULL)
-ORDER BY excess_days DESC, entity_id LIMIT 25""",
+""",
 )
 def _(t):
     runs = t.x_run.withColumn("started_at", F.col("started_at") - F.make_dt_interval(F.lit(8065)))

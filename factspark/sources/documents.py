@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspark.functions import trust, vocab
-from factspark.operators.entities import entity_priority, top_rows
+from factspark.operators.entities import entity_priority, head, top_rows
 
-FEED_ENTRIES = 50      # entries read per feed and run
 TRIAGE_CHARS = 2000    # characters shown to the triage decision
 TITLE_CHARS = 500
-DUE_SOURCES = 200
 
 
 def ingest_documents(raw: DataFrame, existing: DataFrame) -> DataFrame:
@@ -38,23 +36,22 @@ def ingest_documents(raw: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def feed_entries(entries: DataFrame, documents: DataFrame) -> DataFrame:
-    """The first entries of each feed with ``is_new`` = URL not fetched before."""
-    head = top_rows(entries, ["feed_id"], [F.col("position")], FEED_ENTRIES).filter(
-        F.coalesce(F.col("link"), F.lit("")) != ""
-    )
+def feed_entries(entries: DataFrame, documents: DataFrame, per_feed: int | None = None) -> DataFrame:
+    """The entries of each feed (the first ``per_feed`` if given) with ``is_new`` = URL not fetched before."""
+    read = entries if per_feed is None else top_rows(entries, ["feed_id"], [F.col("position")], per_feed)
+    read = read.filter(F.coalesce(F.col("link"), F.lit("")) != "")
     known = documents.select(F.col("url").alias("link")).distinct().withColumn("known", F.lit(True))
-    return head.join(known, "link", "left").select(
+    return read.join(known, "link", "left").select(
         "feed_id", "position", "link", F.col("known").isNull().alias("is_new")
     )
 
 
-def feed_new_urls(entries: DataFrame, documents: DataFrame) -> DataFrame:
-    return feed_entries(entries, documents).filter("is_new").drop("is_new")
+def feed_new_urls(entries: DataFrame, documents: DataFrame, per_feed: int | None = None) -> DataFrame:
+    return feed_entries(entries, documents, per_feed).filter("is_new").drop("is_new")
 
 
-def feed_counts(entries: DataFrame, documents: DataFrame) -> DataFrame:
-    return feed_entries(entries, documents).groupBy("feed_id").agg(
+def feed_counts(entries: DataFrame, documents: DataFrame, per_feed: int | None = None) -> DataFrame:
+    return feed_entries(entries, documents, per_feed).groupBy("feed_id").agg(
         F.count_if("is_new").alias("queued"), F.count_if(~F.col("is_new")).alias("skipped")
     )
 
@@ -188,8 +185,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def due_sources(scheduled: DataFrame, entity: DataFrame, assertion: DataFrame, as_of: Column, limit: int = DUE_SOURCES) -> DataFrame:
-    """Feeds to check now, the most urgent entities first."""
+def due_sources(scheduled: DataFrame, entity: DataFrame, assertion: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Feeds to check now; with ``limit`` only those of the most urgent entities."""
     cadence = F.lit(7)
     for name, days in vocab.CADENCE_DAYS.items():
         cadence = F.when(F.col("cadence") == name, days).otherwise(cadence)
@@ -199,10 +196,5 @@ def due_sources(scheduled: DataFrame, entity: DataFrame, assertion: DataFrame, a
     ranked = entity_priority(entity, assertion, as_of).select(
         F.col("entity_id").alias("entity_hint"), "priority"
     )
-    return (
-        due.join(ranked, "entity_hint", "left")
-        .withColumn("priority", F.coalesce("priority", F.lit(1.0)))
-        .orderBy(F.desc("priority"), "feed_id")
-        .limit(limit)
-        .select("feed_id", "entity_hint", "priority")
-    )
+    found = due.join(ranked, "entity_hint", "left").withColumn("priority", F.coalesce("priority", F.lit(1.0)))
+    return head(found, [F.desc("priority"), F.col("feed_id")], limit).select("feed_id", "entity_hint", "priority")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,12 +54,22 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
 def materialize(df: DataFrame, path: str, keys: list[str], version: int) -> None:
     """Store one version of a projection; readers keep the version they started with.
 
-    The key check runs first and the rows become visible only when Spark commits them.
+    The rows are computed and written once, into a folder that readers do not see.  Keys are
+    checked on the written rows, then the folder takes the version's name; a version that is
+    stored again replaces the first.
     """
-    duplicates = key_violations(df, keys)
-    if not duplicates.isEmpty():
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
+    staged = f"_staged-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{staged}")
+    if not key_violations(spark.read.schema(df.schema).parquet(f"{path}/{staged}"), keys).isEmpty():
+        files.delete(place(staged), True)
         raise ValueError(f"projection is not unique on {keys}")
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    files.delete(place(f"version={version}"), True)
+    if not files.rename(place(staged), place(f"version={version}")):
+        raise OSError(f"version {version} could not be published in {path}")
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,8 @@ def test_materialize(spark, tmp_path):
     vocabulary.materialize(one, path, ["k"], 1)
     vocabulary.materialize(one.withColumn("v", F.lit(2)), path, ["k"], 2)
     assert [tuple(r) for r in vocabulary.read_current(spark, path).collect()] == [("a", 2)]
+    vocabulary.materialize(one.withColumn("v", F.lit(3)), path, ["k"], 2)
+    assert [tuple(r) for r in vocabulary.read_current(spark, path).collect()] == [("a", 3)]
     try:
         vocabulary.materialize(one.union(one), path, ["k"], 3)
         raise AssertionError("duplicate keys must fail")
@@ -46,5 +48,6 @@ def test_feed_limit(spark):
     rows = [("f", i, f"u{i}") for i in range(60)] + [("g", 1, None), ("g", 2, "seen")]
     entries = spark.createDataFrame(rows, "feed_id string, position int, link string")
     known = spark.createDataFrame([("seen",), ("u3",)], "url string")
-    got = {(r.feed_id): (r.queued, r.skipped) for r in documents.feed_counts(entries, known).collect()}
+    got = {(r.feed_id): (r.queued, r.skipped) for r in documents.feed_counts(entries, known, per_feed=50).collect()}
     assert got == {"f": (49, 1), "g": (0, 1)}
+    assert documents.feed_counts(entries, known).filter("feed_id = 'f'").first().queued == 59
