@@ -260,36 +260,42 @@ def facet_grants() -> Column:
     return F.try_element_at(F.create_map(*flat), F.col("entity_type"))
 
 
-def classification_items(items, entity, node) -> DataFrame:
-    """Answer items with ``stored`` = node known, or expandable one level at a time.
-
-    ``items``: entity_id, pos, facet, path, weight, is_primary, label.  A path may be
-    added when every missing step below its deepest known ancestor is itself proposed.
+def classification_items(items, entity, node, facets: DataFrame | None = None) -> DataFrame:
+    """Answer items with ``stored`` and ``is_new_node``, taken in the order of ``pos`` per entity.
+
+    ``items``: entity_id, pos, facet, path, weight, is_primary, label.  An item is stored on an
+    active node, or on one added one level at a time: its parent is active or stored by an
+    earlier item of the same answer, or it is a root of a known facet.  A path that is
+    stored already, whatever its status, takes the item without a new node.  ``facets`` (facet) adds
+    facets that have no node yet.  One answer's items are folded as an array.
     """
+    key = ["facet", "path"]
     typed = items.join(entity.select("entity_id", "entity_type"), "entity_id").withColumn("allowed", F.coalesce(F.array_contains(facet_grants(), F.col("facet")), F.lit(False)))
-    active = node.filter("status = 'active' AND facet_status = 'active'").select("facet", "path", F.lit(2).alias("mark"))
-    facets = node.filter("facet_status = 'active'").select("facet").distinct().withColumn("facet_known", F.lit(True))
-    proposed = typed.filter(F.col("allowed") & F.col("path").rlike(_PATH)).select("facet", "path").distinct().withColumn("mark", F.lit(1))
-    marks = active.unionByName(proposed).groupBy("facet", "path").agg(F.max("mark").alias("mark"))
-    wanted = typed.filter("allowed").select("facet", "path").distinct()
-    steps = wanted.select(
-        "facet", "path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(F.split("path", r"\."), F.lit(1), i), ".").alias("step")))).alias("s"),
-    ).select("facet", "path", "s.depth", "s.step")
-    flagged = steps.join(marks.withColumnRenamed("path", "step"), ["facet", "step"], "left")
-    verdict = flagged.groupBy("facet", "path").agg(
-        F.coalesce(F.max(F.when(F.col("mark") == 2, F.col("depth"))), F.lit(0)).alias("known_depth"),
-        F.coalesce(F.max(F.when(F.col("mark").isNull(), F.col("depth"))), F.lit(0)).alias("missing_depth"),
-        F.max("depth").alias("depth"),
-    )
-    valid = verdict.join(facets, "facet", "left").select(
-        "facet", "path",
-        (F.col("known_depth") == F.col("depth")).alias("known"),
-        (F.col("facet_known").isNotNull() & F.col("path").rlike(_PATH) & (F.col("missing_depth") <= F.col("known_depth"))).alias("expandable"),
-    )
-    joined = typed.join(valid, ["facet", "path"], "left")
-    stored = F.col("allowed") & (F.coalesce("known", F.lit(False)) | F.coalesce("expandable", F.lit(False)))
-    return joined.withColumn("stored", stored).withColumn("is_new_node", F.col("stored") & ~F.coalesce("known", F.lit(False)))
+    parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
+    state = node.groupBy(*key).agg(F.max((F.col("status") == "active") & (F.col("facet_status") == "active")).alias("active"))
+    above = state.filter("active").select("facet", F.col("path").alias("parent"), F.lit(True).alias("parent_active"))
+    known = node.filter("facet_status = 'active'").select("facet")
+    known = (known if facets is None else known.union(facets.select("facet"))).distinct().withColumn("facet_known", F.lit(True))
+    flagged = typed.withColumn("parent", parent).join(state, key, "left").join(above, ["facet", "parent"], "left").join(known, "facet", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    flagged = flagged.withColumns({
+        "valid": no(F.col("path").rlike(_PATH)) & no(F.col("facet_known")),
+        "rooted": no(F.col("parent_active")) | (F.col("parent") == ""),
+        "on_node": no(F.col("active")),
+    })
+    step = F.struct("pos", "path", "parent", "allowed", "valid", "rooted", "on_node")
+    answers = flagged.groupBy("entity_id", "facet").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+    def fold(paths, s):
+        reached = s["on_node"] | (s["valid"] & (s["rooted"] | F.array_contains(paths, s["parent"])))
+        return F.when(no(s["allowed"] & reached), F.array_append(paths, s["path"])).otherwise(F.array_append(paths, F.lit("")))
+
+    empty = F.array().cast("array<string>")
+    outcome = F.transform(F.col("steps"), lambda s, i: F.struct(s["pos"].alias("pos"), (F.element_at(F.col("paths"), i + 1) != "").alias("stored")))
+    judged = answers.withColumn("paths", F.aggregate("steps", empty, fold)).select("entity_id", "facet", F.explode(F.array_distinct(outcome)).alias("o"))
+    judged = judged.select("entity_id", "facet", F.col("o.pos").alias("pos"), F.col("o.stored").alias("stored"))
+    joined = flagged.join(judged, ["entity_id", "facet", "pos"], "left").withColumn("stored", no(F.col("stored")))
+    return joined.withColumn("is_new_node", F.col("stored") & F.col("active").isNull()).drop("active", "parent", "parent_active", "facet_known", "valid", "rooted", "on_node")
 
 
 def classification_apply(judged: DataFrame) -> DataFrame:

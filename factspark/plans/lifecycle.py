@@ -464,9 +464,12 @@ FACETS = " ".join(f"WHEN '{k}' THEN facet IN ({sql_list(v)})" for k, v in vocab.
 ITEMS = f"""(SELECT concat('C', p_partkey % 150) AS entity_id, p_partkey AS pos, CASE WHEN p_size % 5 = 0 THEN 'orbit_regime' WHEN p_size % 2 = 0 THEN 'value_chain' ELSE 'maturity' END AS facet,
  concat(lower(p_type), '.', lower(replace(p_brand, '#', '_')), CASE p_partkey % 6 WHEN 0 THEN '.deep' WHEN 1 THEN '.deep.er' WHEN 2 THEN '.Bad' ELSE '' END) AS path, CASE WHEN p_partkey % 4 > 0 THEN p_size / 40.0::DOUBLE END AS weight, CASE WHEN p_partkey % 3 > 0 THEN p_size % 3 = 0 END AS is_primary, CASE p_partkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'odd' END AS label FROM part)"""
 JUDGED = f"""it AS (SELECT i.*, coalesce(CASE entity_type {FACETS} END, false) AS allowed FROM {ITEMS} i JOIN x_entity USING (entity_id)),
- known AS (SELECT facet, path FROM x_node WHERE status = 'active' AND facet_status = 'active'), prop AS (SELECT DISTINCT facet, path FROM it WHERE allowed AND regexp_full_match(path, '[a-z][a-z0-9_]*(\\.[a-z][a-z0-9_]*)*')),
- grow AS (SELECT facet, path, 0 AS n FROM known UNION SELECT p.facet, p.path, g.n + 1 FROM grow g JOIN prop p ON p.facet = g.facet AND regexp_replace(p.path, '\\.[^.]*$', '') = g.path AND p.path <> g.path WHERE (p.facet, p.path) NOT IN (SELECT (facet, path) FROM known)),
- jd AS (SELECT it.*, allowed AND (facet, path) IN (SELECT (facet, path) FROM grow) AS stored, allowed AND (facet, path) IN (SELECT (facet, path) FROM grow) AND (facet, path) NOT IN (SELECT (facet, path) FROM known) AS is_new_node FROM it)"""
+ known AS (SELECT facet, path FROM x_node WHERE status = 'active' AND facet_status = 'active'), fk AS (SELECT DISTINCT facet FROM x_node WHERE facet_status = 'active'),
+ ok AS (SELECT *, regexp_replace(path, '\\.[^.]*$', '') AS parent FROM it WHERE allowed AND regexp_full_match(path, '[a-z][a-z0-9_]*(\\.[a-z][a-z0-9_]*)*') AND facet IN (SELECT facet FROM fk)),
+ grow AS (SELECT entity_id, facet, path, pos FROM it WHERE allowed AND (facet, path) IN (SELECT (facet, path) FROM known)
+  UNION SELECT entity_id, facet, path, pos FROM ok WHERE parent = path OR (facet, parent) IN (SELECT (facet, path) FROM known)
+  UNION SELECT p.entity_id, p.facet, p.path, p.pos FROM grow g JOIN ok p ON p.entity_id = g.entity_id AND p.facet = g.facet AND p.parent = g.path AND p.parent <> p.path AND g.pos < p.pos),
+ jd AS (SELECT *, stored AND (facet, path) NOT IN (SELECT (facet, path) FROM x_node) AS is_new_node FROM (SELECT it.*, (entity_id, facet, path, pos) IN (SELECT (entity_id, facet, path, pos) FROM grow) AS stored FROM it) q)"""
 
 
 @query(
