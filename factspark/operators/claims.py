@@ -18,7 +18,6 @@ from .gaps import ids
 ACCEPT_AT = 50
 MIN_QUOTE = 20
 VERIFY_BONUS, FAIL_PENALTY, FAIL_FLOOR = 5, 20, 20
-RAW_CHARS = 2_000_000
 SYNTHESIS_RANGE = (30, 90)
 MIN_FRAGMENT = 40
 
@@ -181,15 +180,14 @@ def synthesis_apply(verdicts, assertion, attribute_def, open_conflicts) -> dict[
 # ── quote verification ────────────────────────────────────────────────────────
 
 
-def verify_quotes(assertion, documents) -> DataFrame:
+def verify_quotes(assertion, documents, as_of: Column | None = None) -> DataFrame:
     """Outcome of checking each claim's quote against its page.
 
     ``documents``: document_id, url, raw_content, text_content (readable prose).  Claims
-    already verified stay out, claims without a document are skipped.
+    already verified stay out, claims without a document are skipped.  With ``as_of`` a checked
+    claim bears ``verified_at``.
     """
-    docs = documents.select(
-        "document_id", "url", F.substring("raw_content", 1, RAW_CHARS).alias("raw_content"), "text_content"
-    )
+    docs = documents.select("document_id", "url", "raw_content", "text_content")
     todo = assertion.filter(~F.coalesce(F.col("quote_verified"), F.lit(False)))
     joined = todo.join(docs, "document_id", "left").withColumn("_quote", F.trim("quote"))
     outcome = (
@@ -208,6 +206,7 @@ def verify_quotes(assertion, documents) -> DataFrame:
         F.when(F.col("outcome") == "verified", True).when(F.col("outcome").isin("failed", "weak"), False).alias("quote_verified"),
         confidence.cast("int").alias("confidence"),
         F.when(demoted, "candidate").otherwise(F.col("status")).alias("status"),
+        *([] if as_of is None else [F.when(F.col("outcome").isin("verified", "failed", "weak"), as_of).alias("verified_at")]),
     )
 
 
@@ -347,7 +346,8 @@ def raise_relevance(entity, scores) -> DataFrame:
 
 def type_audit_requests(entity, assertion, event, fragment) -> DataFrame:
     """Entities whose type can be judged, with up to 1,200 characters of evidence."""
-    value = F.coalesce(F.col("value_text"), F.col("value_num").cast("double").cast("string"))
+    stated = [F.nullif("value_text", F.lit("")), F.col("value_num").cast("double"), F.col("value_date"), F.col("value_bool")]
+    value = F.coalesce(*[v.cast("string") for v in stated])
     zero, blank = F.lit(0).cast("long"), F.lit("")
 
     def lines_of(df, part, a, b, c, line):
@@ -359,7 +359,7 @@ def type_audit_requests(entity, assertion, event, fragment) -> DataFrame:
     stories = lines_of(stories, 1, -F.coalesce(F.unix_micros("created_at"), F.lit(2**62)), -F.col("event_id"), blank, F.concat_ws(": ", "event_type", "title"))
     head = lines_of(entity, 2, zero, zero, blank, F.concat(F.lit("Name: "), "canonical_name"))
     # a fact line has at least six characters, so 400 of them fill the 1,200 that can show
-    facts = top_rows(live(assertion), ["entity_id"], [F.col("attribute_key"), F.col("assertion_id")], 400)
+    facts = top_rows(live(assertion).filter(value.isNotNull()), ["entity_id"], [F.col("attribute_key"), F.col("assertion_id")], 400)
     place = F.concat_ws("|", "attribute_key", F.lpad(F.col("assertion_id").cast("string"), 20, "0"))
     facts = lines_of(facts, 3, zero, zero, place, F.concat(F.lit("  "), "attribute_key", F.lit(": "), value))
     lines = pieces.unionByName(stories).unionByName(head).unionByName(facts)
