@@ -21,10 +21,12 @@ BAND_GROWTH = 16 / 9
 #: Bands up to this size take every single feature as a partition.
 SINGLE_UPTO = 20
 #: Fewest partitions of a band, features per partition at its upper edge, signatures kept.
-LEAST_PARTITIONS, PARTITION_SIZE, SIGNATURES = 64, 4, 96
-#: Partitions on which a linked pair agrees at least; the chance of fewer is below 1e-9.
-SHARED = 3
-#: Signatures held by more rows are taken up by leaders and by rows that need them.
+LEAST_PARTITIONS, PARTITION_SIZE, SIGNATURES = 128, 4, 128
+#: Standard deviations by which the differences of a linked pair may spread over more
+#: partitions than expected; the chance of more is below 1e-9 for a pair at the threshold.
+SPREAD = 6
+#: Rows of a signature group that are paired directly; rows of larger groups are paired with
+#: the group's leaders, and with each other only where they may have no other meeting.
 SMALL_GROUP = 64
 #: Characters hashed at once, signatures combined at once in a task.
 PART_CHARS, PART_SIGNATURES = 2_000_000, 2_000_000
@@ -94,7 +96,7 @@ def shingle_sets(texts: list[str | None], words: int):
     owner = np.searchsorted(limits, starts, side="right")
     per = np.bincount(owner, minlength=len(data))
     first = np.cumsum(per) - per
-    odd = [np.uint64(2 * i + 3) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1) for i in range(words)]
+    odd = [np.uint64((2 * i + 3) * 0xD6E8FEB86659FD93 % (1 << 64) | 1) for i in range(words)]
     at = np.flatnonzero(np.arange(len(word)) - first[owner] + words <= per[owner])
     shingle = np.zeros(len(at), np.uint64)
     for i in range(words):
@@ -160,6 +162,28 @@ def signatures(h, sizes):
     return np.concatenate(sets), np.concatenate(found), np.concatenate(side)
 
 
+def agreements(sizes, counts, near):
+    """On how many of its ``counts`` partitions a set agrees at least with a linked one.
+
+    A linked set differs from a set of n features in n / 3 of them at most (the larger one of
+    two has n / 0.75).  Each difference spoils one partition, and so many of them spoil no
+    more than the mean and SPREAD deviations of that many balls thrown into the partitions.
+    """
+    import numpy as np
+
+    low, high = (np.array(x) for x in zip(*bands()))
+    band = np.searchsorted(low, sizes, side="right") - 1 + near
+    n = np.array([partitions(int(x)) for x in high[band]], float)
+    balls = np.floor(sizes / 3.0)
+    cut = np.maximum(n, 1)
+    kept = np.minimum(cut, SIGNATURES)
+    free = np.exp(-balls / cut)
+    spread = (kept / cut) ** 2 * cut * free * (1 - (1 + balls / cut) * free) + kept * (1 - kept / cut) * free * (1 - free)
+    spoilt = np.minimum(balls, kept * (1 - free) + SPREAD * np.sqrt(np.maximum(spread, 0)))
+    least = np.where(n == 0, np.ceil(0.75 * sizes), np.ceil(counts - spoilt))
+    return np.maximum(least, 1).astype(np.int32)
+
+
 def text_parts(batch, rows: int = 1000):
     """Slices of a batch (row, text) of at most PART_CHARS characters, or of one text."""
     import pyarrow.compute as pc
@@ -176,7 +200,7 @@ def text_parts(batch, rows: int = 1000):
 
 
 def set_table(rows: DataFrame, words: int) -> DataFrame:
-    """(row, n, c1, c2, own, next) of (row, text): set size, its name and its signatures by band."""
+    """(row, n, c1, c2) of (row, text): the size of its shingle set and the set's name."""
 
     def sizes_of(batches):
         import numpy as np
@@ -186,16 +210,16 @@ def set_table(rows: DataFrame, words: int) -> DataFrame:
             for part in text_parts(batch):
                 h, n = shingle_sets(part.column(1).to_pylist(), words)
                 c1, c2 = class_hashes(h, n)
-                sets, _, near = signatures(h, n)
-                counts = [np.bincount(sets[near == s], minlength=len(n)) for s in (0, 1)]
-                arrays = [part.column(0), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), *[pa.array(c.astype(np.int32)) for c in counts]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "n", "c1", "c2", "own", "next"])
+                arrays = [part.column(0), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "n", "c1", "c2"])
 
-    return rows.mapInArrow(sizes_of, "row bigint, n bigint, c1 bigint, c2 bigint, own int, next int")
+    return rows.mapInArrow(sizes_of, "row bigint, n bigint, c1 bigint, c2 bigint")
 
 
 def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
-    """(sig, row, near): every signature held by several rows, with the rows that hold it.
+    """(sig, row, near, least): every signature held by several rows, with the rows that hold it.
+
+    ``least`` is the number of partitions on which the row agrees with a linked one.
 
     Equal sets within a task are represented by the first.  A task combines what it has
     seen: signatures it holds several times are known to be shared, and only one of
@@ -210,9 +234,9 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
         held, size, seen = [], 0, set()
 
         def flush():
-            sig, row, near = (np.concatenate(x) for x in zip(*held))
+            sig, row, near, least = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((row, sig))
-            sig, row, near = sig[order], row[order], near[order]
+            sig, row, near, least = sig[order], row[order], near[order], least[order]
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
             again = ~new | np.append(~new[1:], False)
@@ -220,15 +244,15 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
                 for lo in range(0, int(mask.sum()), 500_000):
                     at = np.flatnonzero(mask)[lo : lo + 500_000]
                     yield pa.RecordBatch.from_pydict({
-                        "sig": pa.array(sig[at].view(np.int64)), "row": pa.array(row[at]), "near": pa.array(near[at]), "local": pa.array(np.full(len(at), local)),
+                        "sig": pa.array(sig[at].view(np.int64)), "row": pa.array(row[at]), "near": pa.array(near[at]), "least": pa.array(least[at]), "local": pa.array(np.full(len(at), local)),
                     })
 
         for batch in batches:
             for part in text_parts(batch):
-                h, n = shingle_sets(part.column(1).to_pylist(), words)
-                c1, c2 = class_hashes(h, n)
+                h, sizes = shingle_sets(part.column(1).to_pylist(), words)
+                c1, c2 = class_hashes(h, sizes)
                 names = list(zip(c1.tolist(), c2.tolist()))
-                fresh = np.zeros(len(n), bool)
+                fresh = np.zeros(len(sizes), bool)
                 for i, name in enumerate(names):
                     if name not in seen:
                         fresh[i] = True
@@ -236,8 +260,10 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()  # later repeats then count as near copies, with the same outcome
                 ids = part.column(0).to_numpy()
-                sets, sig, near = signatures(h[np.repeat(fresh, n)], np.where(fresh, n, 0))
-                held.append((sig, ids[sets], near))
+                n = np.where(fresh, sizes, 0)
+                sets, sig, near = signatures(h[np.repeat(fresh, sizes)], n)
+                least = [agreements(n, np.bincount(sets[near == s], minlength=len(n)), s) for s in (0, 1)]
+                held.append((sig, ids[sets], near, np.where(near == 0, least[0][sets], least[1][sets])))
                 size += len(sig)
                 if size > PART_SIGNATURES:
                     yield from flush()
@@ -245,16 +271,25 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
         if size:
             yield from flush()
 
-    found = rows.mapInArrow(combine, "sig bigint, row bigint, near tinyint, local boolean")
+    found = rows.mapInArrow(combine, "sig bigint, row bigint, near tinyint, least int, local boolean")
     # rows of locally shared signatures need no meeting and are dealt by row
     keyed = found.withColumn("meet", F.when(F.col("local"), F.xxhash64("sig", "row")).otherwise(F.col("sig")))
     at = Window.partitionBy("meet").orderBy("local", "sig", "row")
     met = (F.lag("sig").over(at) == F.col("sig")) | (F.lead("sig").over(at) == F.col("sig"))
-    return keyed.withColumn("met", F.coalesce(met, F.lit(False))).where("local OR met").select("sig", "row", "near").distinct()
+    return keyed.withColumn("met", F.coalesce(met, F.lit(False))).where("local OR met").select("sig", "row", "near", "least").distinct()
 
 
-def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union, computed on whole sets."""
+def able(shared: DataFrame) -> DataFrame:
+    """Without the rows that share too few of their signatures with anyone to be linked."""
+    held = shared.groupBy("row", "near").agg(F.count("*").alias("held"), F.max("least").alias("_least")).where("held >= _least")
+    kept = shared.join(held.select("row", "near", "held"), ["row", "near"])
+    # a group counts in the band of its larger sets, so one of them must be there
+    groups = kept.groupBy("sig").agg(F.count("*").alias("size"), F.min("near").alias("first")).where("size > 1 AND first = 0")
+    return kept.join(groups.select("sig"), "sig", "left_semi")
+
+
+def feature_sets(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(row, items) with the whole shingle sets of the given rows."""
 
     def sets_of(batches):
         import numpy as np
@@ -266,58 +301,109 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["row", "items"])
 
-    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = saved(texts.join(rows, "row", "left_semi").mapInArrow(sets_of, "row bigint, items array<bigint>"), "sets")
+    return texts.join(rows.select("row").distinct(), "row", "left_semi").mapInArrow(sets_of, "row bigint, items array<bigint>")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union, computed on whole sets."""
     left, right = (sets.select(F.col("row").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     size = F.size("items_a") + F.size("items_b")
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (size - both)).select("a", "b")
 
 
-def candidate_counts(pairs: DataFrame) -> DataFrame:
-    """Pairs that agree on at least SHARED partitions, counted before the shuffle."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+def leaders(shared: DataFrame, comps: DataFrame | None, orders: int, salt: int) -> DataFrame:
+    """Pairs of rows with the leaders of their groups in other components: the first row in each of several orders.
+
+    A pair is worth comparing if it meets in an eighth of the groups that a linked pair
+    shares, as other rows may lead the rest.
+    """
+    rows = with_components(shared, comps)
+    firsts = [F.xxhash64("row", F.lit(salt + i)) for i in range(orders)]
+    lead = rows.where("near = 0").groupBy("sig").agg(F.array_distinct(F.array(*[F.min_by(F.struct("row", "component"), o) for o in firsts])).alias("lead"))
+    pairs = rows.select("sig", "row", "least", "component").join(lead, "sig").select("row", "least", "component", F.explode("lead").alias("lead"))
+    pairs = pairs.where("component <> lead.component").select(F.least("row", "lead.row").alias("a"), F.greatest("row", "lead.row").alias("b"), "least")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("8 * n >= least").select("a", "b")
+
+
+def with_components(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return shared.withColumn("component", F.col("row"))
+    return shared.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
 
 
-def leaders(shared: DataFrame, orders: int) -> DataFrame:
-    """Pairs of each row with the leaders of its groups: the first row in each of several orders."""
-    firsts = [F.col("row")] + [F.xxhash64("row", F.lit(i)) for i in range(1, orders)]
-    lead = shared.groupBy("sig").agg(*[F.min_by("row", o).alias(f"l{i}") for i, o in enumerate(firsts)])
-    lead = lead.select("sig", F.array_distinct(F.array(*[f"l{i}" for i in range(orders)])).alias("lead"))
-    pairs = shared.select("sig", "row").join(lead, "sig").select("row", F.explode("lead").alias("lead")).where("row <> lead")
-    return candidate_counts(pairs.select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b")))
+def joined(links: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The components after more links."""
+    if comps is not None:
+        links = links.union(comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return saved(components(links), "components")
 
 
-def rivals(shared: DataFrame, comps: DataFrame, table: DataFrame) -> DataFrame:
+def common_features(rows: DataFrame, sets: DataFrame, rounds: int = 3) -> DataFrame:
+    """(row, n, common) of rows with enough features in other rows of the same table to be linked there.
+
+    A linked pair has three quarters of each set in common, so a row with fewer features that
+    occur again is left out, which may leave fewer to others.
+    """
+    kept = rows.select("row").distinct()
+    for _ in range(rounds):
+        features = sets.join(kept, "row", "left_semi").select("row", F.size("items").alias("n"), F.explode("items").alias("item"))
+        again = features.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+        counts = features.join(again, "item", "left_semi").groupBy("row", "n").agg(F.count("*").alias("common"))
+        kept = saved(counts.where("4 * common >= 3 * n"), "common")
+    return kept
+
+
+def rivals(shared: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of rows of different components that may still be linked.
 
-    Groups of up to SMALL_GROUP rows give their pairs across components (at most that
-    many per row).  In a larger group of several components only rows that could miss their
-    partners elsewhere are compared: a row whose other signatures of the band are so many that
-    the differences of a linked partner (a third of its size at most) hit all but SHARED of
-    them with probability below 1e-9 meets its partners there.
+    A linked pair agrees on ``least`` partitions.  Groups of up to SMALL_GROUP rows give their
+    pairs across components, at most that many per row; a pair must meet there as often as
+    the larger groups of either row leave open.  Only rows with ``least`` larger groups
+    can have all their meetings in those; they are paired by their rarest features.
     """
-    rows = shared.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    rows = with_components(shared, comps)
     groups = rows.groupBy("sig").agg(F.count("*").alias("size"), (F.min("component") != F.max("component")).alias("open"))
-    rows = saved(rows.join(groups.where("open").drop("open"), "sig"), "open")
+    rows = rows.join(groups.where("open").drop("open"), "sig")
+    hot = rows.groupBy("row", "near").agg(F.count_if(F.col("size") > SMALL_GROUP).cast("int").alias("hot"))
+    rows = saved(rows.join(hot, ["row", "near"]), "open")
     small = rows.where(F.col("size") <= SMALL_GROUP)
-    large = rows.where(F.col("size") > SMALL_GROUP)
-    hot = large.groupBy("row", "near").agg(F.count("*").alias("hot"))
-    hot = hot.join(table.select("row", "n", "own", "next"), "row")
-    cold = F.when(F.col("near") == 0, F.col("own")).otherwise(F.col("next")) - F.col("hot")
-    most = F.col("n") / 3.0
-    missed = F.pow(1 - F.exp(-most / F.greatest(cold, F.lit(1))), F.greatest(cold - SHARED, F.lit(0)))
-    needy = hot.where(missed > 1e-9).select("row", "near")
-    large = large.join(needy, ["row", "near"], "left_semi")
-
-    def across(part):
-        a, b = (part.select("sig", F.col("row").alias(c), F.col("component").alias(f"comp_{c}")) for c in ("a", "b"))
-        return a.join(b, "sig").where("a < b AND comp_a <> comp_b").select("a", "b")
+    a, b = (small.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "near", "least", "hot", "component")]) for x in ("a", "b"))
+    met = a.join(b, "sig").where("row_a < row_b AND component_a <> component_b AND near_a + near_b < 2")
+    need = F.max(F.greatest("least_a", "least_b")) - F.max(F.least("hot_a", "hot_b"))
+    met = met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count("*").alias("n"), need.alias("need"))
+    needy = rows.where((F.col("size") > SMALL_GROUP) & (F.col("hot") >= F.col("least"))).select("row", "component").distinct()
+    return met.where("n >= need").select("a", "b").union(rare_meetings(needy, sets)).distinct()
 
-    return candidate_counts(across(small).union(across(large)))
 
+def rare_meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of rows (row, component) of different components that may be linked, by an exact prefix test.
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, orders: int = 4) -> DataFrame:
+    With each row's features ordered from the rarest on, a linked pair must meet in the first
+    quarter of both, and at its first common feature what is left of either must suffice for
+    the overlap.  So texts that share a passage or a base but have enough features apart
+    are never paired.  A feature's most frequent component is not paired with itself.
+    """
+    kept = rows.join(common_features(rows, sets), "row")
+    features = sets.join(kept, "row").select("row", "component", "n", F.explode("items").alias("item"))
+    held = features.groupBy("item").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("row").orderBy("held", "item")
+    first = features.join(held, "item").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 0.75) + 1)
+    first = saved(first, "first")
+    heads = first.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("head"))
+    by_component = first.groupBy("item", "component").agg(F.count("*").alias("k"))
+    main = by_component.groupBy("item").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("components"))
+    first = first.join(main.where("components > 1"), "item").join(heads, "row")
+    a, b = (first.select(*[F.col(c).alias(f"{c}_{x}") for c in ("item", "row", "component", "n", "at", "main", "head")]) for x in ("a", "b"))
+    enough = 7 * F.least(F.col("n_a") - F.col("at_a") + 1, F.col("n_b") - F.col("at_b") + 1) >= 3 * (F.col("n_a") + F.col("n_b"))
+    apart = (F.col("component_a") != F.col("main_a")) & (F.col("component_a") != F.col("component_b"))
+    once = (F.col("component_b") == F.col("main_b")) | (F.col("row_a") < F.col("row_b"))
+    begins = F.element_at(F.array_intersect("head_a", "head_b"), 1) == F.col("item_a")
+    met = a.join(b, [F.col("item_a") == F.col("item_b"), apart, once, enough, begins])
+    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3) -> DataFrame:
     """(row, doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Rows are linked when 100 * intersection >= percent * union of their shingle sets (percent
@@ -327,7 +413,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     larger than all others.
 
     Only signatures, row numbers and the texts of candidates are shuffled.  Leaders of
-    signature groups are compared with their groups first, which joins most copies; then the
+    signature groups are compared with their groups first, in a few rounds, which joins most copies; then the
     pairs across components that share signatures are compared, so a group of copies is not
     expanded into all its pairs.
     """
@@ -337,14 +423,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = saved(set_table(rows, words), "sizes")
     equal = table.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("a"))
     copies = table.where("n > 0").join(equal, ["c1", "c2"]).where("row <> a").select("a", F.col("row").alias("b"))
-    shared = saved(shared_signatures(rows, words), "shared")
-    first = saved(leaders(shared, orders), "leaders")
-    links = saved(linked(first, rows, words, percent), "links").union(copies)
-    known = saved(components(links), "components")
-    rest = saved(rivals(shared, known, table).join(first, ["a", "b"], "left_anti"), "rivals")
-    if not rest.isEmpty():
-        more = saved(linked(rest, rows, words, percent), "links")
-        known = saved(components(known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)), "components")
+    shared = saved(able(saved(shared_signatures(rows, words), "signatures")), "shared")
+    sets = saved(feature_sets(shared, rows, words), "sets")
+    known = joined(copies, None)
+    compared = None
+    for step in range(rounds):
+        pairs = leaders(shared, known, orders, step * orders)
+        pairs = saved(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "leaders")
+        compared = pairs if compared is None else compared.union(pairs)
+        known = joined(saved(linked(pairs, sets, percent), "links"), known)
+    rest = saved(rivals(shared, known, sets).join(compared, ["a", "b"], "left_anti"), "rivals")
+    known = joined(saved(linked(rest, sets, percent), "links"), known)
     ids = with_rows(docs).select("row", F.col(id_col).alias("doc_id"))
     found = table.select("row", F.col("n").alias("n_shingles")).join(ids, "row").join(known.withColumnRenamed("node", "row"), "row", "left")
     names = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
