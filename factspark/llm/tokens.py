@@ -6,19 +6,43 @@ import sys
 from collections.abc import Callable, Iterator
 
 #: Words kept with their ids per Python worker (about 200 bytes each); then it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 #: Characters handed to the tokenizer at once, to bound its memory.
 CHUNK = 1_000_000
 
-PROBES = ["a b", " A  b\tc,d", "it's 'll 12 3\n\n(x) é́ z", "un-do\x0bre.do\f!! ?"]
+#: New words of letters are encoded as lines of so many.
+LINE_WORDS = 100
 
+PROBES = ["a b", " A  b\tc,d", "it's 'll 12 3\n\n(x) é́ z", "un-do\x0bre.do\f!! ?", "QuItE Ünlike ÀB"]
+#: A stop after a word of ASCII letters.
+STOPS = b".,;:!?"
 
-def splits_at_spaces(tokenizer) -> bool:
-    """Whether a text's ids are those of its white-space separated words, one after another."""
+
+def laws(tokenizer) -> tuple[bool, bool, bool]:
+    """What the ids of a text do not depend on, by probes: white space between words, the
+    case of ASCII letters, whether a stop stands apart from the word before it."""
     def ids(text):
         return tokenizer.encode(text, add_special_tokens=False).ids
 
-    return all(ids(p) == [i for w in p.encode().split() for i in ids(w.decode())] for p in PROBES)
+    spaces = all(ids(p) == [i for w in p.encode().split() for i in ids(w.decode())] for p in PROBES)
+    case = all(ids(p) == ids(p.encode().lower().decode()) for p in PROBES)
+    stops = all(ids(f"{w}{c}") == ids(w) + ids(c) for w in ("a", "word", "Thing") for c in STOPS.decode())
+    return spaces, case, stops
+
+
+def word_ends(tokenizer):
+    """For each id whether it ends a word, or None if the model does not mark that."""
+    import json
+
+    import numpy as np
+
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    flags = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        flags[i] = token.endswith(suffix)
+    return flags
 
 
 def encoder(path: str, width: int, specials_as_text: bool = False) -> Callable[[list[str | None]], list[bytes]]:
@@ -27,8 +51,9 @@ def encoder(path: str, width: int, specials_as_text: bool = False) -> Callable[[
     Special tokens are not added; their strings in a text become their ids, or ordinary ids
     with ``specials_as_text``.  Where the tokenizer drops white space and never looks
     across it (tested on probes), each distinct word is encoded once per worker and a text
-    is the concatenation of its words; other tokenizers encode whole texts.  Both give
-    the ids of the whole text.
+    is the concatenation of its words; a word and the stop after it, and words that differ in
+    case only, share their encoding if the tokenizer treats them so.  Other tokenizers encode
+    whole texts.  Both give the ids of the whole text.
     """
     import os
 
@@ -57,24 +82,41 @@ def encoder(path: str, width: int, specials_as_text: bool = False) -> Callable[[
             out += [packed(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
+    spaces, case, stops = laws(tokenizer)
+    last = word_ends(tokenizer)
     cache: dict[bytes, bytes] = {}
 
+    def learn(words: set[bytes]):
+        stopped = {w for w in words if stops and w[-1:] in STOPS and w[:-1].decode().isalpha()}
+        plain = {x for w in stopped for x in (w[:-1], w[-1:]) if x not in cache} | (words - stopped)
+        names = {w: w.decode() for w in plain}
+        letters = [w for w, name in names.items() if last is not None and name.isalpha()]
+        lines = [letters[i : i + LINE_WORDS] for i in range(0, len(letters), LINE_WORDS)]
+        for line, e in zip(lines, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(line):
+                body, cuts = ids.tobytes(), [0, *(ends * width).tolist()]
+                cache.update(zip(line, map(body.__getitem__, map(slice, cuts, cuts[1:]))))
+        rest = [w for w in plain if w not in cache]
+        for part in chunks([names[w] for w in rest], CHUNK):
+            encoded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            cache.update((w.encode(), packed(e.ids)) for w, e in zip(part, encoded))
+        cache.update((w, cache[w[:-1]] + cache[w[-1:]]) for w in stopped)
+
     def by_words(texts):
         out = []
-        for text in texts:
-            words = text.encode().split()
-            missing = list({w for w in words if w not in cache})
-            if missing:
-                if len(cache) + len(missing) > CACHED_WORDS:
-                    cache.clear()
-                    missing = list(set(words))
-                for part in chunks([w.decode() for w in missing], CHUNK):
-                    encoded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                    cache.update((w.encode(), packed(e.ids)) for w, e in zip(part, encoded))
-            out.append(b"".join([cache[w] for w in words]))
+        for part in chunks(texts, CHUNK // 2):
+            parts = [(text.encode().lower() if case else text.encode()).split() for text in part]
+            words = set().union(*parts)
+            if len(cache) + len(words) > CACHED_WORDS:
+                cache.clear()
+            learn(words.difference(cache))
+            local = {w: cache[w] for w in words}  # small enough for the processor's cache
+            out += [b"".join(map(local.__getitem__, found)) for found in parts]
         return out
 
-    step = by_words if splits_at_spaces(tokenizer) else whole
+    step = by_words if spaces else whole
     kept[key] = lambda texts: step([t or "" for t in texts])
     return kept[key]
 
