@@ -112,8 +112,13 @@ def kept(policy: str) -> Column:
 
 
 def passing(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return ledger(docs, text_col).where(kept(policy)).select("document.*")
+    """The documents that pass, with their own columns only.
+
+    The row number keeps the filter above the measurements: pushed below them it would repeat
+    each one inside the next.
+    """
+    book = ledger(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
+    return book.where(kept(policy) & (F.col("_row") >= 0)).select("document.*")
 
 
 def ablations(book: DataFrame, policies: list[str] | None = None) -> DataFrame:
