@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Children of a node, rows of the sample below which a node is a leaf, rounds of k-means.
-BRANCHES, LEAF_ROWS, ROUNDS = 8, 40, 8
+#: Children of a node, rounds of k-means, rows of the sample below which a node is a leaf; a
+#: sample of any size gives about LEAVES leaves, so a query visits as many in every table.
+BRANCHES, ROUNDS, LEAF_ROWS, LEAVES = 8, 8, 32, 64
 #: Vectors and queries that meet in one task group at most, roughly.
 GROUP_VECTORS, GROUP_QUERIES = 20_000, 4_000
 SEED = 7
@@ -71,9 +72,10 @@ def grow(sample) -> Tree:
     x = lifted(sample, norm)
     tree = Tree(norm, [], [], 0, 1)
     waiting = [(None, 0, np.arange(len(x)))]
+    leaf_rows = max(LEAF_ROWS, 2 * len(x) // LEAVES)
     while waiting:
         parent, child, rows = waiting.pop()
-        centres, near = k_means(x[rows], BRANCHES, rng) if len(rows) > LEAF_ROWS or parent is None else (None, None)
+        centres, near = k_means(x[rows], BRANCHES, rng) if len(rows) > leaf_rows or parent is None else (None, None)
         if centres is None or (len(centres) == 1 and parent is not None):
             tree.below[parent][child] = -1 - tree.leaves
             tree.leaves += 1
