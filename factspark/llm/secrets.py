@@ -18,6 +18,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Model states: the characters of RUN, and one for the start.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Letters and digits; the other characters join parts that are read one by one.
+SOLID = len(ALPHABET) - len("+/_=-")
 
 
 @dataclass(frozen=True)
@@ -51,10 +53,20 @@ def mixed(run: str) -> bool:
     return any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run)
 
 
+def pairs_of(run: str):
+    """Places (previous, next) of the letters and digits of a run; one after a joint begins anew."""
+    previous = len(ALPHABET)
+    for place in map(ALPHABET.find, run):
+        if 0 <= place < SOLID:
+            yield previous, place
+            previous = place
+        else:
+            previous = len(ALPHABET)
+
+
 def log_ratio(run: str, ratio) -> float:
-    """Mean log likelihood ratio per character."""
-    places = [ALPHABET.index(c) for c in run]
-    return sum(ratio[p][q] for p, q in zip([len(ALPHABET), *places], places)) / len(run)
+    """Mean log likelihood ratio per character; joints count as neither."""
+    return sum(ratio[p][q] for p, q in pairs_of(run)) / len(run)
 
 
 def all_spans(text: str, model: RandomModel) -> list[tuple[str, int, int]]:
@@ -72,7 +84,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", key_col: str = "do
     """Samples (value, random) for training, from about ``rows`` documents chosen by a hash of their key.
 
     The values of the fixed patterns are the random strings.  Ordinary ones are the other
-    runs of four and more characters of the alphabet: words, names and identifiers.
+    runs of four and more characters of the alphabet that are never reported: words, names,
+    numbers and short identifiers.  Long mixed runs may be secrets and have no label.
     """
     chosen = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.col(text_col).isNotNull())
     n = max(1, docs.count())
@@ -93,6 +106,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", key_col: str = "do
                         values[value, True] = 1
                 plain.append(text[at:])
                 for word in re.findall(r"[A-Za-z0-9+/_=-]{4,}", " ".join(plain)):
+                    if len(word) >= 16 and mixed(word):
+                        continue
                     values[word, False] = values.get((word, False), 0) + 1
             if values:
                 yield pa.RecordBatch.from_pydict({"value": [v for v, _ in values], "random": [r for _, r in values], "n": pa.array(values.values(), pa.int64())})
@@ -100,13 +115,44 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", key_col: str = "do
     return chosen.select("text").mapInArrow(label, "value string, random boolean, n bigint")
 
 
+def drawn(n: int = 1000, length: int = 40) -> list[str]:
+    """Uniform strings of letters and digits, always the same ones."""
+    import random
+
+    dice = random.Random(7)
+    return ["".join(dice.choices(ALPHABET[:SOLID], k=length)) for _ in range(n)]
+
+
+def moments(values: list[str], ratio) -> tuple[float, ...]:
+    """Number, and sums of s, l, s * s, s * l and l * l over strings of l characters and log ratio s in all."""
+    import numpy as np
+
+    length = np.array([len(v) for v in values], float)
+    score = np.array([log_ratio(v, ratio) for v in values], float) * length
+    return len(values), *(float(x.sum()) for x in (score, length, score * score, score * length, length * length))
+
+
+def spread(sums) -> tuple[float, float]:
+    """Mean log ratio per character, and its deviation times the root of a string's length."""
+    n, s, l, ss, sl, ll = sums
+    mean = s / l
+    return mean, max((ss - 2 * mean * sl + mean * mean * ll) / l, 1e-9) ** 0.5
+
+
+def crossing(ordinary, random) -> float:
+    """The ratio as many deviations above the ordinary mean as below the random one, at any length."""
+    (low, a), (high, b) = spread(ordinary), spread(random)
+    return (low * b + high * a) / (a + b)
+
+
 def fit(samples: DataFrame, prior_random: float = 40.0, prior_ordinary: float = 0.5) -> RandomModel:
     """Models from samples (value, random, n): counts of character pairs, added up before the shuffle.
 
     The random model leans to the uniform distribution by ``prior_random`` counts per
     state, so it also covers kinds of keys the samples lack; a repeated random value counts
-    once.  The limit lies above the ratio of all but one in a million of the ordinary runs
-    long and mixed enough to be judged, and never below one nat a character.
+    once.  A fifth of the values is held out; the limit lies where the ratios of held-out
+    ordinary and random values cross, or those of ordinary ones and uniform strings where
+    that is lower, and never below one nat a character.  Unlabelled runs have no say in it.
     """
     states = len(ALPHABET) + 1
 
@@ -117,16 +163,15 @@ def fit(samples: DataFrame, prior_random: float = 40.0, prior_ordinary: float =
         pairs = np.zeros((2, states, states), np.int64)
         for batch in batches:
             for value, random, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                places = [ALPHABET.find(c) for c in value]
-                for p, q in zip([states - 1, *places], places):
-                    if q >= 0 and p >= 0:
-                        pairs[int(random), p, q] += 1 if random else n
+                for p, q in pairs_of(value):
+                    pairs[int(random), p, q] += 1 if random else n
         r, p, q = np.nonzero(pairs)
         yield pa.RecordBatch.from_pydict({"random": r.astype(bool), "p": p.astype(np.int32), "q": q.astype(np.int32), "n": pairs[r, p, q]})
 
     known = samples.where("value IS NOT NULL AND random IS NOT NULL")
     distinct = known.groupBy("value", "random").agg(F.sum("n").alias("n"))
-    cells = distinct.mapInArrow(count, "random boolean, p int, q int, n bigint").groupBy("random", "p", "q").agg(F.sum("n").alias("n")).collect()
+    out = F.pmod(F.xxhash64("value", F.lit("held out")), F.lit(5)) == 0
+    cells = distinct.where(~out).mapInArrow(count, "random boolean, p int, q int, n bigint").groupBy("random", "p", "q").agg(F.sum("n").alias("n")).collect()
 
     import math
 
@@ -135,22 +180,29 @@ def fit(samples: DataFrame, prior_random: float = 40.0, prior_ordinary: float =
         seen[int(c["random"])][c["p"]][c["q"]] = c["n"]
 
     def logs(table, prior):
-        uniform = prior / len(ALPHABET)
+        uniform = prior / SOLID
         return [[math.log((n + uniform) / (sum(row) + prior)) for n in row] for row in table]
 
-    random, ordinary = logs(seen[1], prior_random), logs(seen[0], prior_ordinary * len(ALPHABET))
+    random, ordinary = logs(seen[1], prior_random), logs(seen[0], prior_ordinary * SOLID)
     ratio = [[a - b for a, b in zip(x, y)] for x, y in zip(random, ordinary)]
+    sums = ["count", "s", "l", "ss", "sl", "ll"]
 
     def judge(batches):
         import pyarrow as pa
 
         for batch in batches:
-            runs = [v for v in batch.column(0).to_pylist() if re.fullmatch(RUN, v) and mixed(v)]
-            yield pa.RecordBatch.from_pydict({"score": pa.array([log_ratio(v, ratio) for v in runs], pa.float64())})
-
-    plain = distinct.where("NOT random AND length(value) >= 16").select("value").mapInArrow(judge, "score double")
-    limit = plain.agg(F.percentile_approx("score", 0.999999, 1_000_000)).first()[0]
-    return RandomModel(ratio, max(1.0, (limit or 0.0) + 0.1))
+            values, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            kinds = [[v for v, r in zip(values, labels) if r and mixed(v)], [v for v, r in zip(values, labels) if not r]]
+            lines = [(r, *moments(k, ratio)) for r, k in zip((True, False), kinds) if k]
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines), (pa.bool_(), *[pa.float64()] * 6))], names=["random", *sums])
+
+    lines = distinct.where(out).select("value", "random").mapInArrow(judge, "random boolean, " + ", ".join(f"{c} double" for c in sums))
+    held = {r["random"]: tuple(r)[1:] for r in lines.groupBy("random").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
+    if False not in held:
+        return RandomModel(ratio, 1.0)
+    kinds = [moments(drawn(), ratio), *(x for label, x in held.items() if label and x[0] >= 20)]
+    return RandomModel(ratio, max(1.0, round(min(crossing(held[False], k) for k in kinds), 6)))
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"

@@ -277,6 +277,26 @@ def test_random_strings_are_told_from_words(spark, docs):
     assert rows[0].text == "a [secret] b [secret]\" c" and rows[1].text is None
 
 
+def test_bare_keys_of_the_fitted_documents_are_found(spark, tmp_path):
+    """Keys without a keyword, some in many copies, in the very rows the model is fitted on; identifiers stay."""
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(list(secrets.ALPHABET[: secrets.SOLID]), 40)) for _ in range(60)]
+    keys = [k for k in keys if secrets.mixed(k)]
+    rows = [(r.doc_id, r.text or "") for r in documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()]
+    words = sorted({w for _, t in rows for w in re.findall(r"[a-z]{6,12}", t)})
+    names = ["_".join(rng.choice(words, 3)) + f"_{i}" for i in range(60)]
+    planted = [(10**9 + i, f"{rows[i][1][:500]} \n{keys[i % len(keys)]}\n {names[i % 60]}") for i in range(300)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows + planted, "doc_id long, text string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    text = dict(planted)
+    found = collections.Counter()
+    for r in run(spark, "op7_markov_secrets", folder):
+        for kind, start, end in (s.split(":") for s in r.spans.split(",") if s):
+            if kind == "random":
+                found[r.doc_id, text.get(r.doc_id, "")[int(start) : int(end)]] += 1
+    assert found == collections.Counter((10**9 + i, keys[i % len(keys)]) for i in range(300))
+
+
 def brute_repeats(words):
     seen = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     return len({j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)})
