@@ -25,11 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay.
     """
-    groups = partenum.near_groups(docs).select("row", "doc_id", "component_id", "n_shingles")
+    rows = partenum.stored_rows(docs)
+    groups = partenum.near_groups(rows, row_col="row").select("row", "doc_id", "component_id", "n_shingles")
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
     first = Window.partitionBy(F.when(alone, F.col("row")), F.when(~alone, F.col("component_id"))).orderBy(F.asc_nulls_last("doc_id"), "row")
     kept = groups.withColumn("at", F.row_number().over(first)).where("at = 1").select("row")
-    return partenum.with_rows(docs).join(kept, "row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mixture takes it, repeats as rows of their own."""
-    rows = partenum.with_rows(docs)
+    rows = partenum.stored_rows(docs)
     taken = mixing.mix(rows, MIX_WEIGHTS, row_col="row").where("copies > 0").select("row", F.col("copies").alias("_n"))
     return rows.join(taken, "row").withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
 

@@ -403,12 +403,13 @@ def rare_meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, row_col: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Rows are linked when 100 * intersection >= percent * union of their shingle sets (percent
-    of 75 and more); component_id is the smallest doc_id of the connected rows.  ``row``
-    numbers the rows as ``with_rows`` does.  Texts without words have no shingles and are linked
+    of 75 and more); component_id is the smallest doc_id of the connected rows.  ``row`` is
+    ``row_col`` of a table that is stored with its numbers (``stored_rows``); without it the
+    ids and texts are numbered and stored here.  Texts without words have no shingles and are linked
     with nothing; rows with equal sets are linked always.  Null ids count as
     larger than all others.
 
@@ -419,7 +420,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if percent < 75:
         raise ValueError("bands and partitions are laid out for 75 percent and more")
-    rows = with_rows(docs).select("row", F.col(text_col).cast("string").alias("text"))
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if row_col is None:
+        whole = stored_rows(docs.select(*columns))
+    else:
+        whole = docs.select(F.col(row_col).alias("row"), *columns)
+    rows = whole.select("row", "text")
     table = saved(set_table(rows, words), "sizes")
     equal = table.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("a"))
     copies = table.where("n > 0").join(equal, ["c1", "c2"]).where("row <> a").select("a", F.col("row").alias("b"))
@@ -434,12 +440,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = joined(saved(linked(pairs, sets, percent), "links"), known)
     rest = saved(rivals(shared, known, sets).join(compared, ["a", "b"], "left_anti"), "rivals")
     known = joined(saved(linked(rest, sets, percent), "links"), known)
-    ids = with_rows(docs).select("row", F.col(id_col).alias("doc_id"))
+    ids = whole.select("row", "doc_id")
     found = table.select("row", F.col("n").alias("n_shingles")).join(ids, "row").join(known.withColumnRenamed("node", "row"), "row", "left")
     names = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(names, "component", "left").select("row", "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """Numbers the rows of a stored table, alike on every reading; an older ``row`` column is replaced."""
-    return docs.drop("row").withColumn("row", F.monotonically_increasing_id())
+def stored_rows(docs: DataFrame) -> DataFrame:
+    """Numbers the rows and stores them with their numbers; an older ``row`` column is replaced.
+
+    The numbers depend on how a scan is split, which may differ from job to job, so they
+    are given in one job only and read from there.
+    """
+    return saved(docs.drop("row").withColumn("row", F.monotonically_increasing_id()), "rows")

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factspark.llm import mixing, queries
-from factspark.llm.common import documents
+from factspark.llm import mixing, partenum, queries
+from factspark.llm.common import documents, saved
 
 from ..conftest import SMALL
 from .test_operators import AWKWARD, brute_base, brute_components
@@ -57,6 +57,45 @@ def test_duplicates_stage(inputs):
     assert kept == collections.Counter({d: 1 for d in heads}) + collections.Counter(d for d, n, c in groups.elements() if not n or c is None)
 
 
+@pytest.fixture
+def changing_splits(spark, monkeypatch):
+    """Cuts scans into small splits while the table of sizes is written, and into large ones before and after."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def shake(df, name):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000" if name == "sizes" else before)
+        try:
+            return saved(df, name)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+    for module in (partenum, mixing):
+        monkeypatch.setattr(module, "saved", shake)
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def small_groups(spark, folder):
+    """120 documents in 40 groups of three near copies, in files of many row groups."""
+    rows = [(3 * g + i, " ".join(f"w{g}x{k}" for k in range(60)) + f" end{i}", "en", "abc"[g % 3], 0) for g in range(40) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    docs.write.option("parquet.block.size", 2_000).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def test_duplicates_do_not_depend_on_splits(spark, tmp_path, changing_splits):
+    docs = small_groups(spark, str(tmp_path / "docs"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 3))
+
+
+def test_mixture_does_not_depend_on_splits(spark, tmp_path, changing_splits):
+    docs = small_groups(spark, str(tmp_path / "docs"))
+    wanted = {r.doc_id: r.copies for r in mixing.mix(docs, queries.MIX_WEIGHTS).collect()}
+    taken = corpus_pipeline.source_mixture(spark, docs, SMALL)
+    assert collections.Counter(r.doc_id for r in taken.collect()) == collections.Counter({d: n for d, n in wanted.items() if n})
+
+
 def test_secrets_stage(inputs):
     assert inputs[3].count() == inputs[2].count()
     old = {r.doc_id: r.text for r in inputs[2].collect()}
