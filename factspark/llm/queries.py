@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factspark.session import scratch_folder
 
-from . import language, mixing, neighbours, packing, partenum, quality, secrets, sharding, tokenfiles, tokenindex, tokenscan
+from . import alignment, language, mixing, neighbours, packing, partenum, quality, secrets, sharding, sitetext, tokenfiles, tokenindex, tokenscan, trie
 from .common import documents, saved
 
 END_ID = 1
@@ -20,10 +20,14 @@ MIX_WEIGHTS = [3, 1, 2]
 POLICY = "web-2"
 
 
-def word_tokenizer() -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def word_tokenizer() -> str:
+    return tokenizer_file("word_bpe_49k.json")
 
 
 def op1_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,9 +146,41 @@ def op10_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+s AS (SELECT conv_id, 0 AS i, 4294967295::BIGINT AS crc, conv_id::VARCHAR AS name FROM t UNION ALL
+  SELECT conv_id, i + 1, list_reduce([xor(crc, ascii(name[i + 1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)), name FROM s WHERE i < length(name)),
+h AS (SELECT conv_id, (xor(crc, 4294967295::BIGINT) % 9)::BIGINT AS h FROM s WHERE i = length(name)),
+p AS (SELECT t.conv_id, list_concat(coalesce(b.own[1:h], []), t.own[h + 1:]) AS path FROM t JOIN h USING (conv_id) LEFT JOIN t b ON b.conv_id = t.conv_id - (t.conv_id % 5 + 5) % 5),
+m AS (SELECT conv_id AS c, d, path, path[1:d] AS prefix FROM p, range(0, len(path) + 1) AS r(d)),
+k AS (SELECT c, d, min(c) OVER w AS id, count(*) OVER w AS n, row_number() OVER (PARTITION BY prefix ORDER BY c) AS first, path, len(path) = d AS ends FROM m WINDOW w AS (PARTITION BY prefix)),
+n AS (SELECT id, d, n, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * octet_length(encode(path[d].x)) END AS own FROM k WHERE first = 1),
+e AS (SELECT id, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM k WHERE ends GROUP BY id, d),
+u AS (SELECT n.id, n.d, k.id AS up FROM n JOIN k ON k.c = n.id AND k.d = n.d - 1),
+c AS (SELECT up AS id, d - 1 AS d, count(*) AS children FROM u GROUP BY ALL),
+a AS (SELECT k.id, k.d, sum(n.own) AS saved, count(*) FILTER (WHERE c.id IS NULL) AS leaves
+  FROM n LEFT JOIN c ON c.id = n.id AND c.d = n.d JOIN k ON k.c = n.id AND k.d <= n.d GROUP BY ALL)
+SELECT n.id AS conv_id, n.d::BIGINT AS depth, u.up AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(c.children, 0)::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves,
+  a.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM n JOIN a ON a.id = n.id AND a.d = n.d LEFT JOIN u ON u.id = n.id AND u.d = n.d LEFT JOIN c ON c.id = n.id AND c.d = n.d LEFT JOIN e ON e.id = n.id AND e.d = n.d
+"""
+
+
+def op12_site_text(spark: SparkSession, folder: str) -> DataFrame:
+    return sitetext.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op13_galloping_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_systematic_mix": OP6_SQL, "op8_rule_ledger": OP8_SQL, "op9_partenum_join": OP9_SQL}
+    return {"op6_systematic_mix": OP6_SQL, "op8_rule_ledger": OP8_SQL, "op9_partenum_join": OP9_SQL, "op11_prefix_trie": OP11_SQL}
