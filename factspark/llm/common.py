@@ -12,10 +12,10 @@ SPACES = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here."""
     folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

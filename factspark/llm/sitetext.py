@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from .common import saved
 MIN_PAGES = 3
 #: ... and beside this share of them.
 MIN_SHARE = 0.2
+#: Templates (8 bytes each) that are given to every task; more are joined.
+KNOWN_TEMPLATES = 1_000_000
 
 # Fixed values of HTML: elements without content, without text of the page, within a line, and of prose.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -243,7 +246,39 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     return often.join(sizes, "host").where(F.col("n") >= min_share * F.col("n_articles")).select("host", "hash", "inside", "n", "n_articles")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def with_cuts(parsed: DataFrame, found: DataFrame, known_templates: int = KNOWN_TEMPLATES) -> DataFrame:
+    """The parsed rows with ``cuts``: the block ranges of their template subtrees (null or empty: none).
+
+    Up to ``known_templates`` templates their 64-bit keys are counted, collected and given to
+    every task, so no text is shuffled; beyond it the subtrees are joined with the templates and
+    the ranges with the rows.
+    """
+    spark = parsed.sparkSession
+    key = F.xxhash64("host", "hash", "inside").alias("key")
+    keys = saved(found.select("host", "hash", "inside", key), "templates")
+    if keys.count() <= known_templates:
+        known = spark.sparkContext.broadcast(sorted(r.key for r in keys.select("key").distinct().collect()))
+        named = F.when(F.col("host").isNotNull(), F.transform("subtrees", lambda s: F.xxhash64(F.col("host"), s["hash"], s["inside"])))
+
+        @F.pandas_udf("array<boolean>")
+        def hits(names: pd.Series) -> pd.Series:
+            import numpy as np
+
+            wanted = np.array(known.value, np.int64)
+            return names.map(lambda x: None if x is None or not len(wanted) else wanted[np.searchsorted(wanted, x).clip(max=len(wanted) - 1)] == x)
+
+        met = F.filter(F.arrays_zip(F.col("subtrees").alias("s"), hits(named).alias("hit")), lambda z: z["hit"])
+        return parsed.withColumn("cuts", F.transform(met, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["stop"].alias("stop"))))
+    # a site's template stands on all its pages: deal its rows over several tasks
+    salts = 16
+    dealt = keys.select("host", "hash", "inside", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    trees = parsed.where(F.col("host").isNotNull()).select("row", "host", F.explode("subtrees").alias("s"))
+    trees = trees.select("row", "host", "s.*", F.pmod("row", F.lit(salts)).cast("int").alias("salt"))
+    cuts = trees.join(dealt, ["host", "hash", "inside", "salt"]).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    return parsed.join(cuts, "row", "left")
+
+
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, known_templates: int = KNOWN_TEMPLATES) -> DataFrame:
     """Rows page_id, url, text, n_chars, n_blocks, n_cut (blocks cut as template): one per page row.
 
     Null html is an empty page.  Blocks are the lines a reader sees: white space within is one
@@ -255,15 +290,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     without end tag marks only what stands before the next prose.  Equal rows each give a
     row; other columns are ignored.
     """
-    parsed = saved(parsed_pages(pages), "parsed")
-    found = templates(parsed, min_pages, min_share)
-    # a site's template stands on all its pages: deal its rows over several tasks
-    salts = 16
-    found = found.select("host", "hash", "inside", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    trees = parsed.where(F.col("host").isNotNull()).select("row", "host", F.explode("subtrees").alias("s"))
-    trees = trees.select("row", "host", "s.*", F.pmod("row", F.lit(salts)).cast("int").alias("salt"))
-    cuts = trees.join(found, ["host", "hash", "inside", "salt"]).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    rows = parsed.select("row", "page_id", "url", "blocks").join(cuts, "row", "left")
+    parsed = saved(parsed_pages(pages), "parsed", compression="zstd")
+    rows = with_cuts(parsed, templates(parsed, min_pages, min_share), known_templates)
 
     def uncut(block: Column, at: Column) -> Column:
         return ~F.coalesce(F.exists("cuts", lambda c: (c["start"] <= at) & (at < c["stop"])), F.lit(False))

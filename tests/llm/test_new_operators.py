@@ -116,14 +116,15 @@ def test_shapes_of_pages(spark, page, want):
     assert one(spark, page) == want
 
 
-def test_recurring_subtrees_go_and_prose_of_articles_stays(spark):
+@pytest.mark.parametrize("known", [0, 1000])
+def test_recurring_subtrees_go_and_prose_of_articles_stays(spark, known):
     rows = []
     for i in range(12):
         body = f"<div><p>Free shipping</p></div><p>story {i}</p><p>same line</p>"
         inside = f"<article><p>story {i}</p><p>same line</p><div>Read it in our paper</div></article><div>beside</div>"
         rows += [(i, "http://One.example/x", body, 0, "", 0), (100 + i, "https://u@two.example:80/x", inside, 0, "", 0), (200 + i, None, body, 0, "", 0)]
         rows.append((300 + i, "http://copies.example/", "<article><div><p>a</p></div><div>b</div></article>", 0, "", 0))
-    found = texts(spark, rows * 2 + [(1000, "http://one.example", None, None, None, None)])
+    found = texts(spark, rows * 2 + [(1000, "http://one.example", None, None, None, None)], known_templates=known)
     assert len(found) == 49
     for i in range(12):
         assert found[i].text == f"story {i}" and found[i].n_cut == 2  # without an article all recurring subtrees are template
