@@ -14,7 +14,6 @@ from .pairs import similar_pairs
 
 MIN_SIMILARITY, ASK_FROM, MERGE_FROM = 0.25, 0.35, 0.92
 CONTAINED, CONTAINED_CHARS = 0.75, 5
-FULL_GROUP = 8  # up to this many holders of one name or identifier are paired one by one
 MENTION_SIMILARITY, MENTION_CANDIDATES, MENTION_TRIGRAM_ROWS = 0.10, 8, 24
 GEO_BOX = 0.005
 NOT_HEALED = ["geography", "document_node", "event"]
@@ -27,25 +26,11 @@ def ordered_pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")]
 
 
-def holders(owned: DataFrame, key: str) -> DataFrame:
-    """Distinct holders of each key with group size and lead (the smallest id)."""
-    distinct = owned.select(key, "entity_id").distinct()
-    sizes = distinct.groupBy(key).agg(F.count("*").alias("size"), F.min("entity_id").alias("lead"))
-    return distinct.join(sizes, key)
-
-
 def group_pairs(owned: DataFrame, key: str) -> DataFrame:
-    """Pairs of holders of one key: each pair of a small group, lead and member of a large one.
-
-    Merging is transitive, so tying every member of a large group to its lead connects
-    the same entities with a linear number of pairs.
-    """
-    held = holders(owned, key)
-    small = held.filter((F.col("size") > 1) & (F.col("size") <= FULL_GROUP)).select(key, "entity_id")
-    other = small.withColumnRenamed("entity_id", "other_id")
-    full = small.join(other, key).filter("entity_id < other_id").select(F.col("entity_id").alias("id_a"), F.col("other_id").alias("id_b"))
-    large = held.filter((F.col("size") > FULL_GROUP) & (F.col("entity_id") != F.col("lead")))
-    return full.unionByName(large.select(*ordered_pair(F.col("lead"), F.col("entity_id")))).distinct()
+    """All pairs of holders of one key, for reports; the sweep settles holders without listing pairs."""
+    one = owned.select(key, "entity_id").distinct()
+    other = one.withColumnRenamed("entity_id", "other_id")
+    return one.join(other, key).filter("entity_id < other_id").select(F.col("entity_id").alias("id_a"), F.col("other_id").alias("id_b")).distinct()
 
 
 def name_trigrams(norms: DataFrame) -> DataFrame:
@@ -86,17 +71,17 @@ def name_pairs(norms: DataFrame, min_similarity: float = MIN_SIMILARITY, targets
 def alias_pairs(alias: DataFrame, min_similarity: float = MIN_SIMILARITY, only: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Candidate duplicate entities by alias similarity, best first when limited.
 
-    Names are compared once each, however many entities share them.  A name with many
-    holders takes part through its lead, and its holders are tied to the lead.
-    ``alias``: entity_id, alias_norm.
+    Names are compared once each, however many entities share them; then every holder of
+    one name is paired with every holder of the other.  This is the list a curator reads (with
+    ``only`` or ``limit``); ``sweep.Sweep`` reaches the merges of all these pairs without
+    listing them.  ``alias``: entity_id, alias_norm.
     """
     norms = alias.select("alias_norm").distinct()
     targets = None
     if only is not None:
         targets = alias.join(ids(only), "entity_id", "left_semi").select("alias_norm").distinct()
     pairs = name_pairs(norms, min_similarity, targets)
-    held = holders(alias, "alias_norm")
-    speakers = held.filter((F.col("size") <= FULL_GROUP) | (F.col("entity_id") == F.col("lead"))).select("alias_norm", "entity_id")
+    speakers = alias.select("alias_norm", "entity_id").distinct()
     side = lambda s: speakers.select(F.col("alias_norm").alias(f"norm_{s}"), F.col("entity_id").alias(f"e_{s}"))
     cross = pairs.join(side("a"), "norm_a").join(side("b"), "norm_b").filter("e_a <> e_b").select(*ordered_pair(F.col("e_a"), F.col("e_b")), "similarity")
     same = group_pairs(alias, "alias_norm").withColumn("similarity", F.lit(1.0).cast("float"))
@@ -110,8 +95,8 @@ def alias_pairs(alias: DataFrame, min_similarity: float = MIN_SIMILARITY, only:
 
 
 def identifier_pairs(identifier: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Entities that hold the same registry number; similarity 1."""
-    numbers = identifier.filter("scheme = 'wikidata'").select("value", "entity_id")
+    """Entities whose (smallest) registry number is the same; similarity 1."""
+    numbers = identifier.filter("scheme = 'wikidata'").groupBy("entity_id").agg(F.min("value").alias("value"))
     if only is not None:
         numbers = numbers.join(ids(only), "entity_id", "left_semi")
     return group_pairs(numbers, "value").withColumn("similarity", F.lit(1.0).cast("float"))
@@ -127,11 +112,8 @@ def combine_pairs(by_name: DataFrame, by_identifier: DataFrame) -> DataFrame:
 # ── decisions ─────────────────────────────────────────────────────────────────
 
 
-def decide_pairs(pairs, entity, identifier, non_merge, assertion, verdicts) -> DataFrame:
-    """Decision per candidate pair: skip, non_merge, merge or request.
-
-    ``non_merge``: id_a, id_b, rec_a, rec_b.  ``verdicts``: id_a, id_b, same, label.
-    """
+def pair_facts(entity: DataFrame, identifier: DataFrame, assertion: DataFrame) -> DataFrame:
+    """Per entity what a decision rests on: merged, group (null unless active), qid, n (claims in force)."""
     number = identifier.filter("scheme = 'wikidata'").groupBy("entity_id").agg(F.min("value").alias("qid"))
     counts = live(assertion).groupBy("entity_id").agg(F.count("*").alias("n"))
     group = names.literal_map(vocab.TYPE_GROUPS, F.col("entity_type"))
@@ -139,7 +121,26 @@ def decide_pairs(pairs, entity, identifier, non_merge, assertion, verdicts) -> D
         "entity_id", (F.col("status") == "merged").alias("merged"),
         F.when(F.col("status") == "active", F.coalesce(group, F.lit("other"))).alias("group"),
     ).join(number, "entity_id", "left").join(counts, "entity_id", "left")
-    side = lambda s: facts.select(F.col("entity_id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("merged", "group", "qid")], F.coalesce("n", F.lit(0)).alias(f"n_{s}"))
+    return facts.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def in_turn(decisions: DataFrame, merges: DataFrame) -> DataFrame:
+    """The decisions whose ends are both still there when their turn comes, by falling similarity."""
+    order = F.struct(F.negative(F.col("similarity")).alias("s"), F.least("kept_id", "merged_id").alias("a"), F.greatest("kept_id", "merged_id").alias("b"))
+    gone = merges.select("merged_id", order.alias("_gone"))
+    turn = F.struct(F.negative(F.col("similarity")).alias("s"), F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    rows = decisions.join(gone.withColumnsRenamed({"merged_id": "id_a", "_gone": "_a"}), "id_a", "left").join(gone.withColumnsRenamed({"merged_id": "id_b", "_gone": "_b"}), "id_b", "left")
+    there = lambda c: F.col(c).isNull() | (turn <= F.col(c))
+    return rows.filter(there("_a") & there("_b")).select(*decisions.columns)
+
+
+def decide_pairs(pairs, entity, identifier, non_merge, assertion, verdicts) -> DataFrame:
+    """Decision per candidate pair: skip, non_merge, merge or request.
+
+    ``non_merge``: id_a, id_b, rec_a, rec_b.  ``verdicts``: id_a, id_b, same, label.
+    """
+    facts = pair_facts(entity, identifier, assertion)
+    side = lambda s: facts.select(F.col("entity_id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("merged", "group", "qid", "n")])
     d = pairs.join(side("a"), "id_a").join(side("b"), "id_b").join(non_merge, ["id_a", "id_b"], "left")
     d = d.join(verdicts.select("id_a", "id_b", "same", "label"), ["id_a", "id_b"], "left")
     decided = F.col("rec_a").isNotNull()

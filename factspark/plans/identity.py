@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factspark.functions import names, vocab
-from factspark.operators import gaps, identity as idn, totals
+from factspark.operators import gaps, identity as idn, sweep, totals
 from factspark.session import checkpointed
 
 from .columns import WEBSITE_SQL, at, sql_case_map, sql_jaccard, sql_list, sql_norm, sql_trigrams
@@ -21,18 +21,13 @@ def norms(t):
 
 
 AL = f"al AS MATERIALIZED (SELECT entity_id, alias, {sql_norm('alias')} AS alias_norm FROM x_alias)"
-HELD = "(SELECT *, count(*) OVER (PARTITION BY k) AS size, min(entity_id) OVER (PARTITION BY k) AS lead FROM (SELECT DISTINCT {k} AS k, entity_id FROM {t}) q)"
-
-
 def _grouped(key, table):
-    h = HELD.format(k=key, t=table)
-    return f"""(SELECT DISTINCT id_a, id_b FROM (SELECT a.entity_id AS id_a, b.entity_id AS id_b FROM {h} a JOIN {h} b ON a.k = b.k AND a.entity_id < b.entity_id WHERE a.size <= 8
- UNION ALL SELECT least(lead, entity_id), greatest(lead, entity_id) FROM {h} c WHERE size > 8 AND entity_id <> lead) g)"""
+    return f"(SELECT DISTINCT a.entity_id AS id_a, b.entity_id AS id_b FROM {table} a JOIN {table} b ON a.{key} = b.{key} AND a.entity_id < b.entity_id)"
 
 
 NAME_PAIRS = f"""nm AS MATERIALIZED (SELECT alias_norm AS n, {sql_trigrams('alias_norm')} AS g FROM (SELECT DISTINCT alias_norm FROM al) q),
  np AS MATERIALIZED (SELECT * FROM (SELECT a.n AS norm_a, b.n AS norm_b, CAST({sql_jaccard('a.g', 'b.g')} AS FLOAT) AS s, length(a.n) >= 5 AND length(b.n) >= 5 AND (contains(' ' || a.n || ' ', ' ' || b.n || ' ') OR contains(' ' || b.n || ' ', ' ' || a.n || ' ')) AS inside FROM nm a JOIN nm b ON a.n < b.n) q WHERE s > 0.25 OR inside)"""
-AP = f"""{AL}, {NAME_PAIRS}, sp AS (SELECT k, entity_id FROM {HELD.format(k='alias_norm', t='al')} h WHERE size <= 8 OR entity_id = lead),
+AP = f"""{AL}, {NAME_PAIRS}, sp AS (SELECT DISTINCT alias_norm AS k, entity_id FROM al),
  ap AS (SELECT id_a, id_b, max(s) AS similarity FROM (SELECT least(a.entity_id, b.entity_id) AS id_a, greatest(a.entity_id, b.entity_id) AS id_b, CASE WHEN inside THEN greatest(s, 0.75::FLOAT) ELSE s END AS s FROM np JOIN sp a ON a.k = norm_a JOIN sp b ON b.k = norm_b WHERE a.entity_id <> b.entity_id
   UNION ALL SELECT id_a, id_b, 1.0::FLOAT FROM {_grouped('alias_norm', 'al')} g) u GROUP BY 1, 2)"""
 SIM = "round(CAST(similarity AS DOUBLE), 5) AS similarity"
@@ -54,7 +49,7 @@ def _(t):
     return ROUND(idn.alias_pairs(norms(t), only=t.x_entity.filter("watchlist"), limit=300))
 
 
-QP = f"SELECT id_a, id_b FROM {_grouped('value', '(SELECT * FROM x_identifier WHERE scheme = $$wikidata$$)')} g".replace("$$", "'")
+QP = f"SELECT id_a, id_b FROM {_grouped('value', '(SELECT entity_id, min(value) AS value FROM x_identifier WHERE scheme = $$wikidata$$ GROUP BY 1)')} g".replace("$$", "'")
 
 
 @query("identifier_pairs", f"SELECT id_a, id_b, 1.0::DOUBLE AS similarity FROM ({QP}) q")
@@ -62,7 +57,7 @@ def _(t):
     return ROUND(idn.identifier_pairs(t.x_identifier))
 
 
-CP = f"cp AS (SELECT id_a, id_b, similarity FROM ap UNION ALL SELECT id_a, id_b, 1.0::FLOAT FROM ({QP}) q WHERE (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM ap))"
+CP = f"cp AS (SELECT id_a, id_b, similarity, 0 AS late FROM ap UNION ALL SELECT id_a, id_b, 1.0::FLOAT, 1 FROM ({QP}) q WHERE (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM ap))"
 
 
 @query("combine_pairs", f"WITH {AP}, {CP} SELECT id_a, id_b, {SIM} FROM cp")
@@ -104,7 +99,7 @@ def _(t):
 
 
 CS = f"""{DP}, ev AS ({EVIDENCE}), w AS (SELECT entity_id, created_at, coalesce(n, 0) AS n FROM x_entity LEFT JOIN ev USING (entity_id)),
- cs AS (SELECT CASE WHEN ka THEN id_a ELSE id_b END AS kept_id, CASE WHEN ka THEN id_b ELSE id_a END AS merged_id, similarity FROM (SELECT dp.*, CASE WHEN a.n <> b.n THEN a.n > b.n ELSE a.created_at <= b.created_at END AS ka FROM dp JOIN w a ON a.entity_id = id_a JOIN w b ON b.entity_id = id_b WHERE decision = 'merge') q)"""
+ cs AS (SELECT CASE WHEN ka THEN id_a ELSE id_b END AS kept_id, CASE WHEN ka THEN id_b ELSE id_a END AS merged_id, similarity, late FROM (SELECT dp.*, CASE WHEN a.n <> b.n THEN a.n > b.n ELSE a.created_at <= b.created_at END AS ka FROM dp JOIN w a ON a.entity_id = id_a JOIN w b ON b.entity_id = id_b WHERE decision = 'merge') q)"""
 
 
 @query("choose_survivor", f"WITH {CS} SELECT kept_id, merged_id, {SIM} FROM cs")
@@ -112,9 +107,31 @@ def _(t):
     return ROUND(idn.choose_survivor(decided(t), t.x_entity, t.x_assertion, t.x_fragment, t.x_event))
 
 
-@query("non_merge_upsert", f"WITH {DP} SELECT id_a, id_b, CASE WHEN reason = 'numbers_differ' THEN 'sweep:wikidata_diff' ELSE 'sweep' END AS method, n_a AS rec_a, n_b AS rec_b FROM dp WHERE decision = 'non_merge' UNION ALL SELECT id_a, id_b, 'auto', rec_a, rec_b FROM {NM} m WHERE (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM dp WHERE decision = 'non_merge')")
+# every merge pair worked off in turn, and the decisions whose ends are there when their turn comes
+MR = f"""{CS}, ms AS (SELECT list([{{'k': kept_id, 'm': merged_id, 's': similarity, 'l': late}}] ORDER BY late, similarity DESC, least(kept_id, merged_id), greatest(kept_id, merged_id)) AS steps FROM cs),
+ mr AS (SELECT unnest(list_reduce(list_concat([steps[1][2:]], steps), lambda acc, x: CASE WHEN len(list_filter(acc, lambda p: p.m = x[1].k OR p.m = x[1].m)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS p FROM ms),
+ dt AS (SELECT * FROM dp WHERE NOT EXISTS (SELECT 1 FROM mr WHERE p.m = id_a AND (p.l, -p.s, least(p.k, p.m), greatest(p.k, p.m)) < (late, -similarity, id_a, id_b))
+  AND NOT EXISTS (SELECT 1 FROM mr WHERE p.m = id_b AND (p.l, -p.s, least(p.k, p.m), greatest(p.k, p.m)) < (late, -similarity, id_a, id_b)))"""
+
+
+def swept(t):
+    pairs = idn.alias_pairs(norms(t))
+    return sweep.Sweep(norms(t), t.x_entity, t.x_identifier, non_merges(t).drop("method"), t.x_assertion, t.x_fragment, t.x_event, pair_verdicts(pairs))
+
+
+@query("non_merge_upsert", f"WITH {MR} SELECT id_a, id_b, CASE WHEN reason = 'numbers_differ' THEN 'sweep:wikidata_diff' ELSE 'sweep' END AS method, n_a AS rec_a, n_b AS rec_b FROM dt WHERE decision = 'non_merge' UNION ALL SELECT id_a, id_b, 'auto', rec_a, rec_b FROM {NM} m WHERE (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM dt WHERE decision = 'non_merge')")
+def _(t):
+    return idn.non_merge_upsert(non_merges(t), swept(t).rejections, "sweep")
+
+
+@query("sweep_requests", f"WITH {MR} SELECT id_a, id_b, {SIM}, n_a, n_b FROM dt WHERE decision = 'request'")
+def _(t):
+    return ROUND(swept(t).requests)
+
+
+@query("sweep_merges", f"WITH {MR} SELECT p.k AS kept_id, p.m AS merged_id, round(CAST(p.s AS DOUBLE), 5) AS similarity FROM mr")
 def _(t):
-    return idn.non_merge_upsert(non_merges(t), decided(t), "sweep")
+    return ROUND(swept(t).merges)
 
 
 def merges(t):
@@ -125,8 +142,7 @@ def merges(t):
 
 @query(
     "sequence_merges",
-    f"""WITH {CS}, ms AS (SELECT list([{{'k': kept_id, 'm': merged_id, 's': similarity}}] ORDER BY similarity DESC, least(kept_id, merged_id), greatest(kept_id, merged_id)) AS steps FROM cs),
- mr AS (SELECT unnest(list_reduce(list_concat([steps[1][2:]], steps), lambda acc, x: CASE WHEN len(list_filter(acc, lambda p: p.m = x[1].k OR p.m = x[1].m)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS p FROM ms)
+    f"""WITH {MR.replace("late, similarity DESC", "similarity DESC")}
 SELECT p.k AS kept_id, p.m AS merged_id, round(CAST(p.s AS DOUBLE), 5) AS similarity FROM mr""",
 )
 def _(t):
