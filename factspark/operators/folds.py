@@ -7,9 +7,8 @@ on the map side; the rest is cut into small independent pieces first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ PARTICIPANTS = 8
 SAME_STORY, OTHER_STORY = 0.70, 0.15
 SATURATION_STEPS = 33  # every step adds at least 3 points, so 33 steps always reach 99
 NEAR_SHARE = 0.15
-FOLD_ROWS = 10_000
+KEY = ["entity_id", "attribute_key"]
 
 # ── events ────────────────────────────────────────────────────────────────────
 
@@ -285,148 +284,43 @@ def accept_rule(status: Column, confidence: Column) -> Column:
     return F.when((status == "candidate") & (confidence >= 50), "accepted").otherwise(status)
 
 
-def adjudicate(new, stored, documents, attribute_def, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def adjudicate(new, stored, documents, attribute_def) -> DataFrame:
     """Outcome of every new claim and every stored claim it changes.
 
     Derived claims stay untouched and multi-valued attributes need no comparison.  All
-    other claims are grouped by entity and attribute.  Groups of up to ``fold_rows``
-    claims are folded in order, one small group at a time; larger ones go through
-    ``adjudicate_hot``, which spreads one group over many tasks and gives the same result.
+    other claims are judged in order within their entity and attribute by ``settle``.
     """
     claims = adjudication_input(new, stored, documents, attribute_def)
+    contested = claims.filter((F.col("method") != "derived") & (F.col("cardinality") != "multi"))
+    open_groups = contested.filter("is_new").select(*KEY).distinct()
+    return uncontested(claims.filter("is_new")).unionByName(settle(contested.join(open_groups, KEY, "left_semi")))
+
+
+def uncontested(claims: DataFrame) -> DataFrame:
+    """Outcomes of the claims that need no rival: derived ones and those of multi-valued attributes."""
     none = lambda t: F.lit(None).cast(t)
-    plain = claims.filter(F.col("is_new") & ((F.col("method") == "derived") | (F.col("cardinality") == "multi")))
     derived = F.col("method") == "derived"
     after = F.when(derived, F.col("status")).otherwise(accept_rule(F.col("status"), F.col("confidence")))
-    simple = plain.select(
+    return claims.filter(derived | (F.col("cardinality") == "multi")).select(
         "assertion_id",
         F.when(derived, "derived").when(after != F.col("status"), "accepted").otherwise("kept").alias("outcome"),
-        after.alias("status"), none("string").alias("review_state"), "confidence", F.lit(0).alias("corroboration_count"), none("long").alias("other_id"),
+        after.alias("status"), none("string").alias("review_state"), F.col("confidence").cast("int").alias("confidence"),
+        F.lit(0).alias("corroboration_count"), none("long").alias("other_id"),
     )
-    contested = claims.filter((F.col("method") != "derived") & (F.col("cardinality") != "multi"))
-    key = ["entity_id", "attribute_key"]
-    sizes = contested.groupBy(*key).agg(F.count("*").alias("_n"), F.bool_or("is_new").alias("_new")).filter("_new")
-    sized = contested.join(sizes.drop("_new"), key)
-    small = sized.filter(F.col("_n") <= fold_rows).drop("_n")
-    ordered = small.withColumn("value_num", F.col("value_num").cast("double")).repartition(*key).sortWithinPartitions(*key, "assertion_id")
-    folded = ordered.mapInPandas(_fold_sorted, OUTCOMES)
-    result = simple.unionByName(folded)
-    hot = sized.filter(F.col("_n") > fold_rows).drop("_n")
-    if not hot.select("assertion_id").isEmpty():
-        result = result.unionByName(adjudicate_hot(hot))
-    return result
-
-
-def _odds_confidence(base: int, other: int) -> int:
-    odds = lambda t: min(100, max(0, t)) / max(1, 100 - min(100, max(0, t)))
-    combined = odds(base) * max(1.0, odds(other))
-    return max(1, min(99, round(100 * (combined / (1 + combined)))))
-
-
-def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold groups that arrive in key order; a group may continue in the next batch."""
-    columns = [c.split()[0] for c in OUTCOMES.split(",")]
-
-    def frame(out):
-        made = pd.DataFrame(out, columns=columns)
-        made["other_id"] = made["other_id"].astype("Int64")
-        return made
-
-    group, current = [], None
-    for batch in batches:
-        out = []
-        for row in batch.to_dict("records"):
-            key = (row["entity_id"], row["attribute_key"])
-            if key != current:
-                out.extend(_fold_group(group)[0])
-                group, current = [], key
-            group.append(row)
-        yield frame(out)
-    yield frame(_fold_group(group)[0])
-
-
-def _fold_group(rows: list[dict]) -> tuple[list[tuple], list[dict]]:
-    """Judge the new claims of one entity and attribute in id order.
-
-    Returns the outcome rows and the claims in force afterwards.
+
+
+def adjudicate_documents(outcomes: DataFrame, claims: DataFrame) -> DataFrame:
+    """The documents that confirm a claim: (assertion_id, document_id), each once, for the claim's lineage.
+
+    ``outcomes``: of ``adjudicate``; ``claims``: assertion_id, document_id of the judged claims.
     """
-    missing = lambda v: v is None or v is pd.NaT or v != v
-    state = {r["assertion_id"]: dict(status=r["status"], confidence=int(r["confidence"]), review=None, count=0, outcome=None, other=None) for r in rows}
-    by_id = {r["assertion_id"]: r for r in rows}
-    force = {r["assertion_id"] for r in rows if r["status"] == "accepted"}
-
-    def equal(a, b):
-        for name in CLAIM_VALUES:
-            if not missing(a[name]) and not missing(b[name]):
-                return a[name] == b[name]
-        return False
-
-    def days_newer(a, b):
-        field = "observed_at" if missing(a["published_at"]) or missing(b["published_at"]) else "published_at"
-        return (a[field] - b[field]).days
-
-    def independent(a, b):
-        if missing(a["document_id"]) or missing(b["document_id"]) or a["document_id"] == b["document_id"]:
-            return False
-        same_text = not missing(a["content_sha256"]) and a["content_sha256"] == b["content_sha256"]
-        known = not missing(a["domain"]) and not missing(b["domain"]) and a["domain"] and b["domain"]
-        return bool(not same_text and known and a["domain"] != b["domain"])
-
-    def jump(a, b):
-        if missing(a["value_num"]) or missing(b["value_num"]) or b["value_num"] == 0:
-            return False
-        ratio = a["value_num"] / b["value_num"]
-        return ratio > 5.0 or ratio < 0.2
-
-    for claim in (r for r in rows if r["is_new"]):
-        own_id = claim["assertion_id"]
-        own = state[own_id]
-        rivals = [i for i in force if i != own_id]
-        if not rivals:
-            if own["status"] == "candidate" and own["confidence"] >= 50:
-                own["status"], own["outcome"] = "accepted", "accepted"
-                force.add(own_id)
-            else:
-                own["outcome"] = "kept"
-            continue
-        best_id = min(rivals, key=lambda i: (-state[i]["confidence"], i))
-        best, best_state = by_id[best_id], state[best_id]
-        own["other"] = best_id
-        if equal(claim, best):
-            own["status"] = "rejected"
-            if not missing(claim["document_id"]) and claim["document_id"] == best["document_id"]:
-                own["outcome"] = "same_document"
-            elif independent(claim, best):
-                own["outcome"] = "corroborates"
-                trust_ = 50 if missing(claim["trust"]) else int(claim["trust"])
-                best_state["confidence"] = _odds_confidence(best_state["confidence"], trust_)
-                best_state["count"] += 1
-            else:
-                own["outcome"] = "echo"
-            force.discard(own_id)
-        elif not missing(claim["volatility_days"]) and days_newer(claim, best) > 30:
-            own["status"], own["outcome"] = "accepted", "supersedes"
-            best_state["status"] = "superseded"
-            force.discard(best_id)
-            force.add(own_id)
-        elif jump(claim, best):
-            own["status"], own["review"], own["outcome"] = "candidate", "pending", "out_of_range"
-            force.discard(own_id)
-        else:
-            own["outcome"] = "synthesis"
-    out = []
-    for row in rows:
-        s = state[row["assertion_id"]]
-        touched = s["count"] > 0 or s["status"] != row["status"]
-        if row["is_new"] or touched:
-            out.append((row["assertion_id"], s["outcome"] or "changed", s["status"], s["review"], s["confidence"], s["count"], s["other"]))
-    in_force = [{**by_id[i], "status": "accepted", "confidence": state[i]["confidence"], "is_new": False} for i in sorted(force)]
-    return out, in_force
-
-
-# ── adjudication of very large groups ─────────────────────────────────────────
+    confirming = outcomes.filter("outcome = 'corroborates'").select("assertion_id", "other_id")
+    named = confirming.join(claims.filter("document_id IS NOT NULL").select("assertion_id", "document_id"), "assertion_id")
+    return named.select(F.col("other_id").alias("assertion_id"), "document_id").distinct()
+
+
+# ── adjudication in rounds ────────────────────────────────────────────────────
 
-KEY = ["entity_id", "attribute_key"]
 BLOCK_BITS, LEVEL_BITS = 14, 8
 _DOCUMENT = ["document_id", "content_sha256", "domain", "published_at"]
 
@@ -464,7 +358,7 @@ def lift_confidence(steps: DataFrame, start: DataFrame, levels: int) -> DataFram
 
 
 def judge(claim: str, rival: str) -> Column:
-    """Outcome of one claim against the best rival, as the ordered fold decides it."""
+    """Outcome of one claim against the best rival."""
     c, r = (lambda n: F.col(f"{claim}.{n}")), (lambda n: F.col(f"{rival}.{n}"))
     same = values.values_equal({v: c(v) for v in CLAIM_VALUES}, {v: r(v) for v in CLAIM_VALUES})
     apart = trust.documents_independent(
@@ -480,13 +374,15 @@ def judge(claim: str, rival: str) -> Column:
     )
 
 
-def adjudicate_hot(claims: DataFrame) -> DataFrame:
-    """Same outcomes as the ordered fold, for groups too large for one task.
+def settle(claims: DataFrame) -> DataFrame:
+    """Outcomes of judging the new claims of each group in id order, groups of any size spread over tasks.
 
     All open claims of a group are judged against its current best claim at once.  Only
     the first outcome that changes the best claim ends a round; everything before it is
-    final.  A superseding claim must be more than 30 days newer than the one it
-    replaces, so the rounds are bounded by the time span of the data, not by its size.
+    final.  Each round settles at least one claim of every open group.  A superseding claim
+    must be more than 30 days newer than the one it replaces, so for candidates the rounds follow the
+    time span of the data; a claim that arrives accepted and is beaten while it is the best ends a
+    round too.
     """
     claims = checkpointed(claims)
     static = claims.drop("status", "confidence", "is_new", *KEY)
@@ -497,7 +393,7 @@ def adjudicate_hot(claims: DataFrame) -> DataFrame:
     ordered = [F.negative("confidence").alias("neg"), "assertion_id", *[c for c in static.columns if c != "assertion_id"], "confidence"]
     bits = int(claims.agg(F.max("assertion_id")).first()[0] or 0).bit_length()
     levels = max(0, -(-(bits - BLOCK_BITS) // LEVEL_BITS))
-    for turn in range(1_000_000):
+    for turn in count():
         ranked = top_rows(force, KEY, [F.desc("confidence"), F.col("assertion_id")], 2)
         best = ranked.join(static, "assertion_id").groupBy(*KEY).agg(
             F.array_sort(F.collect_list(F.struct(*ordered))).alias("b")

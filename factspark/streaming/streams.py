@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
-from factspark.operators.folds import OUTCOMES, _fold_group, accept_rule
+from factspark.functions import values
+from factspark.operators.folds import CLAIM_VALUES, OUTCOMES, uncontested
 from factspark.operators.gaps import ids
 from factspark.operators.projections import entity_current, relation_current
 from factspark.sources.documents import ingest_documents, parse_pages, triage_apply
@@ -70,49 +71,147 @@ def stream_status(pages: DataFrame, verdicts: DataFrame, path: str, checkpoint:
     return batch_writer(pages, handle, checkpoint)
 
 
-def _pack(rows: list[dict]) -> str:
-    return json.dumps(rows, default=lambda v: v.isoformat() if hasattr(v, "isoformat") else v.item())
-
-
-def _unpack(text: str) -> list[dict]:
-    rows = json.loads(text)
-    for row in rows:
-        for field in ("observed_at", "published_at"):
-            row[field] = None if row[field] in (None, "NaT") else pd.Timestamp(row[field])
-    return rows
-
+#: Keyed state of one row per entry needs this store.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY = 86_400_000_000
+JUDGED = [*CLAIM_VALUES, "confidence", "document_id", "content_sha256", "domain", "published_at", "observed_at"]
+
+
+def rival_outcome(claim: dict, best: dict) -> str:
+    """What one claim does to the best rival; the row form of ``folds.judge`` (times in microseconds)."""
+    filled = [c for c in CLAIM_VALUES if claim[c] is not None and best[c] is not None]
+    if filled and claim[filled[0]] == best[filled[0]]:
+        if claim["document_id"] is None or best["document_id"] is None:
+            return "echo"
+        if claim["document_id"] == best["document_id"]:
+            return "same_document"
+        copied = claim["content_sha256"] is not None and claim["content_sha256"] == best["content_sha256"]
+        return "corroborates" if not copied and claim["domain"] and best["domain"] and claim["domain"] != best["domain"] else "echo"
+    day = "observed_at" if claim["published_at"] is None or best["published_at"] is None else "published_at"
+    if claim["volatility_days"] is not None and (claim[day] - best[day]) // DAY > values.NEWER_DAYS:
+        return "supersedes"
+    if claim["value_num"] is not None and best["value_num"]:
+        ratio = float(claim["value_num"]) / float(best["value_num"])
+        if ratio > values.OUT_OF_RANGE_RATIO or ratio < 1.0 / values.OUT_OF_RANGE_RATIO:
+            return "out_of_range"
+    return "synthesis"
+
+
+def confirmed(confidence: int, other: int) -> int:
+    """Confidence after one independent confirmation; the row form of ``trust.combine``."""
+    odds = lambda t: min(100, max(0, t)) / max(1, 100 - min(100, max(0, t)))
+    joined = odds(confidence) * max(1.0, odds(other))
+    return max(1, min(99, round(100 * (joined / (1 + joined)))))
+
+
+class _Adjudicator(StatefulProcessor):
+    """One entity and attribute: every claim in force is a state row of its own.
+
+    ``order`` has the confidence of each claim in force and is read once per batch; the
+    claims themselves are fetched only when they are the best rival.
+    """
 
-def _judge_arrivals(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Judge one key's arrivals against the claims in force, which are the state."""
-    force = _unpack(state.get[0]) if state.exists else []
-    new = [row for batch in batches for row in batch.to_dict("records")]
-    out, force = _fold_group(force + sorted(new, key=lambda r: r["assertion_id"]))
-    state.update((_pack(force),))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOMES.split(",")])
-    frame["other_id"] = frame["other_id"].astype("Int64")
-    yield frame
+    def __init__(self, columns: list[str], schema: str):
+        self.columns, self.schema = columns, schema
+
+    def init(self, handle) -> None:
+        self.order = handle.getMapState("order", "assertion_id bigint", "confidence int")
+        self.force = handle.getMapState("force", "assertion_id bigint", self.schema)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+        arrivals = sorted((dict(zip(self.columns, r)) for r in rows), key=lambda r: (r["is_new"], r["assertion_id"]))
+        order = {k[0]: v[0] for k, v in self.order.iterator()}
+        known = dict(order)
+        fetched, outcomes, changed = {}, {}, {}
+
+        def enter(claim):
+            fetched[claim["assertion_id"]] = claim
+            order[claim["assertion_id"]] = claim["confidence"]
+            heappush(heap, (-claim["confidence"], claim["assertion_id"]))
+
+        def look(number):
+            if number not in fetched:
+                fetched[number] = dict(zip(JUDGED, self.force.getValue((number,))))
+            return fetched[number]
+
+        def rival(own):
+            """The most trusted other claim in force; outdated entries of the heap are dropped."""
+            aside = None
+            while heap:
+                confidence, number = heap[0]
+                if order.get(number) != -confidence:
+                    heappop(heap)
+                elif number == own:
+                    aside = heappop(heap)
+                else:
+                    break
+            found = heap[0][1] if heap else None
+            if aside:
+                heappush(heap, aside)
+            return found
+
+        heap = [(-c, number) for number, c in order.items()]
+        heapify(heap)
+        for claim in arrivals:
+            if claim["status"] == "accepted":
+                enter(claim)
+        for claim in (r for r in arrivals if r["is_new"]):
+            own, status, review = claim["assertion_id"], claim["status"], None
+            best = rival(own)
+            if best is None:
+                outcome = "accepted" if status == "candidate" and claim["confidence"] >= 50 else "kept"
+                if outcome == "accepted":
+                    status = "accepted"
+                    enter(claim)
+            else:
+                outcome = rival_outcome(claim, look(best))
+                if outcome == "supersedes":
+                    status = "accepted"
+                    del order[best]
+                    changed[best] = {**changed.get(best, {}), "status": "superseded", "confidence": changed.get(best, look(best))["confidence"]}
+                    enter(claim)
+                elif outcome != "synthesis":
+                    status, review = ("candidate", "pending") if outcome == "out_of_range" else ("rejected", None)
+                    order.pop(own, None)
+                if outcome == "corroborates":
+                    raised = confirmed(order[best], 50 if claim["trust"] is None else claim["trust"])
+                    order[best] = raised
+                    heappush(heap, (-raised, best))
+                    changed[best] = {"status": "accepted", "confidence": raised, "count": changed.get(best, {}).get("count", 0) + 1}
+            outcomes[own] = (outcome, status, review, best)
+        for number in known.keys() - order.keys():
+            self.order.removeKey((number,))
+            self.force.removeKey((number,))
+        for number, confidence in order.items():
+            if known.get(number) != confidence:
+                self.order.updateValue((number,), (confidence,))
+            if number not in known:
+                self.force.updateValue((number,), tuple(fetched[number][c] for c in JUDGED))
+        news = {r["assertion_id"]: r for r in arrivals if r["is_new"]}
+        for number in sorted(news.keys() | changed.keys()):
+            outcome, status, review, best = outcomes.get(number, ("changed", "accepted", None, None))
+            late = changed.get(number, {})
+            status = late.get("status", status)
+            confidence = late["confidence"] if late else news[number]["confidence"]
+            yield Row(assertion_id=number, outcome=outcome, status=status, review_state=review, confidence=confidence, corroboration_count=late.get("count", 0), other_id=best)
 
 
 def stream_adjudicate(claims: DataFrame) -> DataFrame:
     """Outcomes of a claim stream, with the claims in force per entity and attribute as state.
 
     ``claims`` has the columns of ``adjudication_input``; rows with ``is_new`` false seed
-    the state.  There is no watermark: a claim about an old date is ordinary input.
+    the state.  Each batch is judged in id order against all that came before, as
+    ``folds.adjudicate`` does with the table it would have left.  There is no watermark: a
+    claim about an old date is ordinary input.
     """
-    none = lambda t: F.lit(None).cast(t)
-    derived = F.col("method") == "derived"
-    plain = claims.filter("is_new AND (method = 'derived' OR cardinality = 'multi')")
-    after = F.when(derived, F.col("status")).otherwise(accept_rule(F.col("status"), F.col("confidence")))
-    simple = plain.select(
-        "assertion_id", F.when(derived, "derived").when(after != F.col("status"), "accepted").otherwise("kept").alias("outcome"),
-        after.alias("status"), none("string").alias("review_state"), F.col("confidence").cast("int").alias("confidence"),
-        F.lit(0).alias("corroboration_count"), none("long").alias("other_id"),
-    )
-    contested = claims.filter("method <> 'derived' AND cardinality <> 'multi'").withColumn("value_num", F.col("value_num").cast("double"))
-    judged = contested.groupBy("entity_id", "attribute_key").applyInPandasWithState(
-        _judge_arrivals, OUTCOMES, "in_force string", "append", "NoTimeout"
-    )
-    return simple.unionByName(judged)
+    claims.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    contested = claims.filter("method <> 'derived' AND cardinality <> 'multi'")
+    contested = contested.withColumns({c: F.unix_micros(c) for c in ("published_at", "observed_at")})
+    columns = [c.strip().rsplit(" ", 1) for c in OUTCOMES.replace("\n", " ").split(",")]
+    schema = ", ".join(f"{name} {contested.schema[name].dataType.simpleString()}" for name in JUDGED)
+    judged = contested.groupBy("entity_id", "attribute_key").transformWithState(
+        _Adjudicator(contested.columns, schema), ", ".join(" ".join(c) for c in columns), "append", "none")
+    return uncontested(claims.filter("is_new")).unionByName(judged)
 
 
 def cost_windows(calls: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "2 hours") -> DataFrame:

@@ -1,7 +1,10 @@
 """Order-dependent operators against plain loops."""
 
+import datetime
+import decimal
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factspark.operators import folds
@@ -12,25 +15,115 @@ def rows(df):
     return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
 
 
-def test_hot_adjudication_equals_fold(spark):
-    rng = random.Random(7)
-    claims = []
-    for i in range(1, 37):
-        stored = i <= 4
-        claims.append((i, "E1" if i % 5 else "E2", "size", None, float(rng.choice([1, 2, 3, 20])), None, None, rng.randint(40, 95),
-                       "accepted" if stored or rng.random() < 0.15 else "candidate", "extracted", f"2020-{1 + i // 4:02d}-01", i % 9, not stored))
-    schema = "assertion_id long, entity_id string, attribute_key string, value_text string, value_num double, value_bool boolean, value_date date, confidence int, status string, method string, day string, document_id long, is_new boolean"
-    df = spark.createDataFrame(claims, schema).withColumn("observed_at", F.col("day").cast("timestamp")).withColumn("superseded_at", F.lit(None).cast("timestamp"))
-    documents = spark.createDataFrame(
-        [(i, f"2020-{1 + i:02d}-01" if i % 3 else None, f"h{i}", f"d{i % 4}", 30 + 8 * i) for i in range(9)],
-        "document_id long, day string, content_sha256 string, domain string, trust int",
-    ).withColumn("published_at", F.col("day").cast("timestamp"))
+CLAIM = "assertion_id long, entity_id string, attribute_key string, value_text string, value_num decimal(30,10), value_bool boolean, value_date date, confidence int, status string, method string, observed_at timestamp, document_id long, is_new boolean"
+
+
+def in_order(claims, documents, volatility):
+    """The claims of one entity and attribute judged one by one: {id: (outcome, status, review, confidence, confirmations, rival)}."""
+    from math import floor
+
+    odds = lambda t: t / max(1, 100 - t)
+    force = {c["assertion_id"]: c for c in claims if c["status"] == "accepted"}
+    now = {c["assertion_id"]: [None, c["status"], None, c["confidence"], 0, None] for c in claims}
+    for c in sorted((c for c in claims if c["is_new"]), key=lambda c: c["assertion_id"]):
+        own = now[c["assertion_id"]]
+        rivals = [i for i in force if i != c["assertion_id"]]
+        if not rivals:
+            own[0] = "accepted" if own[1] == "candidate" and own[3] >= 50 else "kept"
+            if own[0] == "accepted":
+                own[1] = "accepted"
+                force[c["assertion_id"]] = c
+            continue
+        best = min(rivals, key=lambda i: (-now[i][3], i))
+        b, cd, bd = force[best], documents.get(c["document_id"]), documents.get(force[best]["document_id"])
+        own[5] = best
+        days = (cd[0] - bd[0]).days if cd and bd and cd[0] and bd[0] else (c["observed_at"] - b["observed_at"]).days
+        ratio = float(c["value_num"]) / float(b["value_num"]) if b["value_num"] else 1
+        if c["value_num"] == b["value_num"]:
+            own[0] = "same_document" if c["document_id"] == b["document_id"] else "corroborates" if cd and bd and cd[1] != bd[1] and cd[2] != bd[2] else "echo"
+            if own[0] == "corroborates":
+                p = odds(now[best][3]) * max(1, odds(cd[3]))
+                now[best][3], now[best][4] = max(1, min(99, round(100 * (p / (1 + p))))), now[best][4] + 1
+            own[1] = "rejected"
+            force.pop(c["assertion_id"], None)
+        elif volatility is not None and days > 30:
+            own[0], own[1], now[best][1] = "supersedes", "accepted", "superseded"
+            del force[best]
+            force[c["assertion_id"]] = c
+        elif ratio > 5 or ratio < 0.2:
+            own[0], own[1], own[2] = "out_of_range", "candidate", "pending"
+            force.pop(c["assertion_id"], None)
+        else:
+            own[0] = "synthesis"
+    old = {c["assertion_id"]: c for c in claims}
+    return {i: ("changed" if n[0] is None else n[0], *n[1:]) for i, n in now.items() if old[i]["is_new"] or n[4] or n[1] != old[i]["status"]}
+
+
+def outcome(r):
+    return r.outcome, r.status, r.review_state, r.confidence, r.corroboration_count, r.other_id
+
+
+def many_claims(rng, n, stored, amounts, accepted=0.15):
+    day = datetime.datetime(2020, 1, 1)
+    return [dict(assertion_id=i, entity_id="E1" if i % 5 else "E2", attribute_key="size", value_text=None, value_num=rng.choice(amounts), value_bool=None, value_date=None,
+                 confidence=rng.randint(40, 95), status="accepted" if i <= stored or rng.random() < accepted else "candidate", method="extracted",
+                 observed_at=day + datetime.timedelta(days=i * 400 // n), document_id=i % 9, is_new=i > stored) for i in range(1, n + 1)]
+
+
+DOCUMENTS = {i: (datetime.datetime(2020, 1 + i, 1) if i % 3 else None, f"h{i}", f"d{i % 4}", 30 + 8 * i) for i in range(9)}
+WIDE = "12345678901234567890.0000000001", "12345678901234567890.0000000002"
+
+
+def document_table(spark):
+    return spark.createDataFrame([(i, *d) for i, d in DOCUMENTS.items()], "document_id long, published_at timestamp, content_sha256 string, domain string, trust int")
+
+
+@pytest.mark.parametrize("amounts", [["1", "2", "3", "20"], WIDE])
+def test_adjudication_in_order(spark, amounts):
+    """Both amounts of 30 digits are one double; they are not one value."""
+    claims = many_claims(random.Random(7), 36, 4, [decimal.Decimal(a) for a in amounts])
+    df = spark.createDataFrame([tuple(c.values()) for c in claims], CLAIM).withColumn("superseded_at", F.lit(None).cast("timestamp"))
     defs = spark.createDataFrame([("size", "single", 30)], "attribute_key string, cardinality string, volatility_days int")
-    new, stored = df.filter("is_new"), df.filter("NOT is_new")
-    fold = folds.adjudicate(new, stored, documents, defs)
-    hot = folds.adjudicate(new, stored, documents, defs, fold_rows=0)
-    assert rows(fold) == rows(hot)
-    assert {r.outcome for r in fold.collect()} >= {"supersedes", "corroborates", "changed", "out_of_range"}
+    got = folds.adjudicate(df.filter("is_new"), df.filter("NOT is_new"), document_table(spark), defs)
+    want = {k: v for e in ("E1", "E2") for k, v in in_order([c for c in claims if c["entity_id"] == e], DOCUMENTS, 30).items()}
+    assert {r.assertion_id: outcome(r) for r in got.collect()} == want
+    confirmed = folds.adjudicate_documents(got, df)
+    assert {tuple(r) for r in confirmed.collect()} == {(v[5], claims[k - 1]["document_id"]) for k, v in want.items() if v[0] == "corroborates"}
+
+
+def test_stream_adjudicates_batch_by_batch(spark, tmp_path):
+    """Three batches with late ids and days; a key with 20,000 claims in force."""
+    from factspark.streaming import streams
+
+    rng = random.Random(3)
+    amounts = [decimal.Decimal(a) for a in (*WIDE, "1", "2", "20")]
+    claims = many_claims(rng, 60, 3, amounts)
+    new = [c for c in claims if c["is_new"]]
+    rng.shuffle(new)
+    crowd = [dict(c, assertion_id=1000 + i, entity_id="E3", is_new=False, status="accepted", value_num=decimal.Decimal(i + 1), confidence=40 + i % 50) for i, c in enumerate([claims[0]] * 20_000)]
+    asked = [dict(c, assertion_id=100_000 + i, entity_id="E3") for i, c in enumerate(new[:20])]
+    batches = [claims[:3] + crowd + new[:20], new[20:40] + asked[10:], new[40:] + asked[:10]]
+    docs = document_table(spark)
+    state, want = {}, []
+    for batch in batches:
+        found = {}
+        for e in ("E1", "E2", "E3"):
+            mine = [c for c in batch if c["entity_id"] == e]
+            found |= in_order([c for c in state.values() if c["entity_id"] == e] + mine, DOCUMENTS, 30)
+        want.append(found)
+        for c in batch:
+            state[c["assertion_id"]] = dict(c, is_new=False)
+        for i, o in found.items():
+            state[i] = dict(state[i], status=o[1], confidence=o[3])
+        state = {i: c for i, c in state.items() if c["status"] == "accepted"}
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in batches:
+        rows = spark.createDataFrame([tuple(c.values()) for c in batch], CLAIM).join(docs, "document_id", "left").withColumns({"cardinality": F.lit("single"), "volatility_days": F.lit(30)})
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(rows.schema).parquet(folder)
+        streams.batch_writer(streams.stream_adjudicate(source), lambda b, i: streams.append_once(b, out, i), str(tmp_path / "state")).start().awaitTermination()
+    for at, found in enumerate(want):
+        assert {r.assertion_id: outcome(r) for r in spark.read.parquet(out).filter(f"batch = {at}").collect()} == found
 
 
 def test_adjudicate_rules(spark):
