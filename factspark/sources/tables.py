@@ -69,13 +69,9 @@ def derived(*reads: str):
     return register
 
 
-_ONE_LINE = """(SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-  ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS rn FROM {lineitem}) l"""
-
-
-def _lines(d) -> str:
-    """Line items with one row per (order, line)."""
-    return _ONE_LINE.replace("{lineitem}", d.t("lineitem"))
+#: One number per line item from all that tells lines apart; (order, line) alone names several lines.
+LINE_ID = ("(l_orderkey * 10 + l_linenumber) * 10000000000 + (l_partkey * 7919 + l_suppkey * 104729"
+           " + CAST(round(l_extendedprice * 100) AS BIGINT)) % 10000000000")
 
 
 @derived("documents")
@@ -184,7 +180,7 @@ def x_fact(d):
 
 @derived("lineitem")
 def x_event(d):
-    return f"""SELECT l_orderkey * 10 + l_linenumber AS event_id,
+    return f"""SELECT {LINE_ID} AS event_id,
   CASE WHEN l_orderkey % 6 = 0 THEN concat('C', CAST(l_partkey % 1400 AS STRING)) ELSE concat('S', CAST(l_suppkey AS STRING)) END AS entity_id,
   CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'funding_round' WHEN 'AO' THEN 'grant_call' WHEN 'NF' THEN 'ipo' WHEN 'NO' THEN 'grant_award' WHEN 'RF' THEN 'debt_financing' ELSE CASE WHEN l_linenumber < 4 THEN 'publication' ELSE 'research_grant' END END AS event_type,
   concat('Round ', CAST(l_partkey % 5 AS STRING)) AS title,
@@ -196,18 +192,18 @@ def x_event(d):
   CASE WHEN l_orderkey % 4 = 0 THEN concat('https://calls.example.com/', CAST(l_partkey AS STRING)) END AS call_url,
   TIMESTAMP '2001-06-01 00:00:00' + {d.hours('l_orderkey % 5132')} AS created_at,
   l_partkey % 250 AS source_document_id
-FROM {_lines(d)} WHERE rn = 1"""
+FROM {d.t('lineitem')} l"""
 
 
 @derived("lineitem", "orders")
 def x_participant(d):
-    return f"""SELECT l_orderkey * 10 + l_linenumber AS event_id, concat('C', CAST(o_custkey AS STRING)) AS entity_id
-FROM {_lines(d)} JOIN {d.t('orders')} ON o_orderkey = l_orderkey WHERE rn = 1 AND l_linenumber % 2 = 1"""
+    return f"""SELECT {LINE_ID} AS event_id, concat('C', CAST(o_custkey AS STRING)) AS entity_id
+FROM {d.t('lineitem')} l JOIN {d.t('orders')} ON o_orderkey = l_orderkey WHERE l_linenumber % 2 = 1"""
 
 
 @derived("lineitem", "orders")
 def x_relation(d):
-    return f"""SELECT l_orderkey * 10 + l_linenumber AS relation_id,
+    return f"""SELECT {LINE_ID} AS relation_id,
   CASE WHEN l_linenumber = 7 AND l_orderkey % 3 = 0 THEN concat('C', CAST(l_partkey % 1400 AS STRING)) ELSE concat('S', CAST(l_suppkey AS STRING)) END AS subject_id,
   CASE l_linenumber WHEN 1 THEN 'supplies' WHEN 2 THEN 'contracted_by' WHEN 3 THEN 'customer_of' WHEN 4 THEN 'manufactures' WHEN 5 THEN 'administers' WHEN 6 THEN 'invested_in' ELSE CASE WHEN l_orderkey % 3 = 0 THEN 'has_office_in' ELSE 'partnered_with' END END AS predicate,
   CASE WHEN l_linenumber = 7 AND l_orderkey % 3 = 0 THEN CASE WHEN l_orderkey % 21 = 0 THEN concat('C', CAST(o_custkey AS STRING)) ELSE concat('N', CAST(o_custkey % 25 AS STRING)) END ELSE concat('C', CAST(o_custkey AS STRING)) END AS object_id,
@@ -219,7 +215,7 @@ def x_relation(d):
     WHEN 2 THEN concat('{d.lb}"address":"x","lat":', CAST(l_partkey % 80 AS STRING), '.5,"lon":', CAST(l_partkey % 100 AS STRING), '.25{d.rb}') END AS qualifiers,
   CAST(l_shipdate AS TIMESTAMP) AS observed_at,
   CASE WHEN l_orderkey % 19 = 0 THEN CAST(l_shipdate AS TIMESTAMP) END AS superseded_at
-FROM {_lines(d)} JOIN {d.t('orders')} ON o_orderkey = l_orderkey WHERE rn = 1"""
+FROM {d.t('lineitem')} l JOIN {d.t('orders')} ON o_orderkey = l_orderkey"""
 
 
 @derived("customer", "part")
