@@ -15,7 +15,9 @@ LINE_WORDS = 100
 
 PROBES = ["a b", " A  b\tc,d", "it's 'll 12 3\n\n(x) é́ z", "un-do\x0bre.do\f!! ?", "QuItE Ünlike ÀB"]
 #: A stop after a word of ASCII letters.
-STOPS = b".,;:!?"
+STOPS = ".,;:!?"
+#: What every special token of the known tokenizers begins with.
+SPECIAL = "<|"
 
 
 def laws(tokenizer) -> tuple[bool, bool, bool]:
@@ -26,7 +28,7 @@ def laws(tokenizer) -> tuple[bool, bool, bool]:
 
     spaces = all(ids(p) == [i for w in p.encode().split() for i in ids(w.decode())] for p in PROBES)
     case = all(ids(p) == ids(p.encode().lower().decode()) for p in PROBES)
-    stops = all(ids(f"{w}{c}") == ids(w) + ids(c) for w in ("a", "word", "Thing") for c in STOPS.decode())
+    stops = all(ids(f"{w}{c}") == ids(w) + ids(c) for w in ("a", "word", "Thing") for c in STOPS)
     return spaces, case, stops
 
 
@@ -51,9 +53,9 @@ def encoder(path: str, width: int, specials_as_text: bool = False) -> Callable[[
     Special tokens are not added; their strings in a text become their ids, or ordinary ids
     with ``specials_as_text``.  Where the tokenizer drops white space and never looks
     across it (tested on probes), each distinct word is encoded once per worker and a text
-    is the concatenation of its words; a word and the stop after it, and words that differ in
-    case only, share their encoding if the tokenizer treats them so.  Other tokenizers encode
-    whole texts.  Both give the ids of the whole text.
+    is the concatenation of its words; an ASCII word and the stop after it, and ASCII texts that differ in
+    case only, share their encoding if the tokenizer treats them so.  Texts with the beginning of
+    a special token, and all texts of other tokenizers, are encoded whole.
     """
     import os
 
@@ -84,36 +86,59 @@ def encoder(path: str, width: int, specials_as_text: bool = False) -> Callable[[
 
     spaces, case, stops = laws(tokenizer)
     last = word_ends(tokenizer)
-    cache: dict[bytes, bytes] = {}
-
-    def learn(words: set[bytes]):
-        stopped = {w for w in words if stops and w[-1:] in STOPS and w[:-1].decode().isalpha()}
-        plain = {x for w in stopped for x in (w[:-1], w[-1:]) if x not in cache} | (words - stopped)
-        names = {w: w.decode() for w in plain}
-        letters = [w for w, name in names.items() if last is not None and name.isalpha()]
+    cache: dict[str, bytes] = {"": b""}
+
+    def learn(words: list[str]):
+        """Encode new words: a stop apart after ASCII letters, words of letters by lines, others one by one."""
+        stopped = [w for w in words if stops and w[-1:] in STOPS and w[:-1].isascii() and w[:-1].isalpha()]
+        apart = set(stopped)
+        plain = list({x for w in stopped for x in (w[:-1], w[-1:]) if x not in cache} | {w for w in words if w not in apart})
+        # a letter whose small form is more than a letter takes marks along, which may be split off
+        letters = [w for w in plain if last is not None and w.isalpha() and w.lower().isalpha()]
         lines = [letters[i : i + LINE_WORDS] for i in range(0, len(letters), LINE_WORDS)]
-        for line, e in zip(lines, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+        for line, e in zip(lines, tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, dtype)
             ends = np.flatnonzero(last[ids]) + 1
             if len(ends) == len(line):
                 body, cuts = ids.tobytes(), [0, *(ends * width).tolist()]
                 cache.update(zip(line, map(body.__getitem__, map(slice, cuts, cuts[1:]))))
         rest = [w for w in plain if w not in cache]
-        for part in chunks([names[w] for w in rest], CHUNK):
-            encoded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            cache.update((w.encode(), packed(e.ids)) for w, e in zip(part, encoded))
+        for part in chunks(rest, CHUNK):
+            cache.update((w, packed(e.ids)) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
         cache.update((w, cache[w[:-1]] + cache[w[-1:]]) for w in stopped)
 
     def by_words(texts):
+        """Distinct words of a chunk are found by Arrow; a text's ids are gathered from theirs."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         out = []
-        for part in chunks(texts, CHUNK // 2):
-            parts = [(text.encode().lower() if case else text.encode()).split() for text in part]
-            words = set().union(*parts)
-            if len(cache) + len(words) > CACHED_WORDS:
+        for part in chunks(texts, CHUNK):
+            # what may hold a special token, in any case, is left to the tokenizer
+            odd = {i for i, text in enumerate(part) if SPECIAL in text}
+            given = ["" if i in odd else text.lower() if case and text.isascii() else text for i, text in enumerate(part)]
+            split = pc.ascii_split_whitespace(pa.array(given, pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = [w for w in words if w not in cache]
+            if len(cache) + len(new) > CACHED_WORDS:
                 cache.clear()
-            learn(words.difference(cache))
-            local = {w: cache[w] for w in words}  # small enough for the processor's cache
-            out += [b"".join(map(local.__getitem__, found)) for found in parts]
+                cache[""] = b""
+                new = words
+            learn(new)
+            bodies = [cache[w] for w in words]
+            known = np.frombuffer(b"".join(bodies), dtype)
+            sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // width
+            starts = np.cumsum(sizes) - sizes
+            codes = coded.indices.to_numpy()
+            n = sizes[codes]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            ids = known[np.repeat(starts[codes] - upto[:-1], n) + np.arange(upto[-1])].tobytes() if len(known) else b""
+            cuts = (upto[split.offsets.to_numpy()] * width).tolist()
+            found = list(map(ids.__getitem__, map(slice, cuts, cuts[1:])))
+            for i, body in zip(sorted(odd), whole([part[i] for i in sorted(odd)])):
+                found[i] = body
+            out += found
         return out
 
     step = by_words if spaces else whole
