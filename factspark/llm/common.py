@@ -23,6 +23,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def numbered_documents(docs: DataFrame) -> DataFrame:
+    """Stored rows (document, row): all columns in a struct, whatever their names, and a number.
+
+    The numbers depend on how a scan is split, which may differ from job to job, so they
+    are given in one job only and read from there.
+    """
+    return saved(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), F.monotonically_increasing_id().alias("row")), "documents")
+
+
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     """A null-safe join condition on columns of the same names."""
     condition = F.lit(True)

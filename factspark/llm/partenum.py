@@ -404,11 +404,12 @@ def rare_meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) of every row of ``docs``.
+    """(row, doc_id, n_shingles, component_id, component) of every row of ``docs``.
 
     Rows are linked when 100 * intersection >= percent * union of their shingle sets (percent
-    of 75 and more); component_id is the smallest doc_id of the connected rows.  ``row`` is
-    ``row_col`` of a table that is stored with its numbers (``stored_rows``); without it the
+    of 75 and more); component_id is the smallest doc_id of the connected rows and ``component``
+    their smallest row (null for a row without links).  ``row`` is
+    ``row_col`` of a table that is stored with its numbers; without it the
     ids and texts are numbered and stored here.  Texts without words have no shingles and are linked
     with nothing; rows with equal sets are linked always.  Null ids count as
     larger than all others.
@@ -443,13 +444,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = whole.select("row", "doc_id")
     found = table.select("row", F.col("n").alias("n_shingles")).join(ids, "row").join(known.withColumnRenamed("node", "row"), "row", "left")
     names = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "component", "left").select("row", "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.join(names, "component", "left").select("row", "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def stored_rows(docs: DataFrame) -> DataFrame:
-    """Numbers the rows and stores them with their numbers; an older ``row`` column is replaced.
-
-    The numbers depend on how a scan is split, which may differ from job to job, so they
-    are given in one job only and read from there.
-    """
-    return saved(docs.drop("row").withColumn("row", F.monotonically_increasing_id()), "rows")
+    """Ids and texts with row numbers, given in one job and read from there."""
+    return saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")

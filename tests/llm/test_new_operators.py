@@ -235,3 +235,47 @@ def test_gallop_finds_the_first_end_not_smaller():
         x = np.sort(random_.integers(0, ends[-1] + 2, 40))
         low = np.minimum(np.searchsorted(ends, x), random_.integers(0, len(ends), 40))
         assert (alignment.gallop(x, ends, low, np.full(40, len(ends))) == np.searchsorted(ends, x)).all()
+
+
+# ---- ids of texts, the ledger under filters, stages with awkward columns
+
+@pytest.mark.parametrize("specials", [False, True])
+def test_ids_of_random_texts(specials):
+    """Marks, letters whose small form grows, stops, blanks of all kinds and special strings in every case."""
+    from tokenizers import Tokenizer
+
+    from factspark.llm import tokens
+
+    whole = Tokenizer.from_file(queries.word_tokenizer())
+    whole.encode_special_tokens = specials
+    random_ = random.Random(1)
+    signs = list("abcXYZIJKéÀßİıǰ.,;:!?'\"-()0129 \t\n\x0b\f\r\x1c\x85\xa0　汉字😀́̌̇K#@_") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "'s", "word", "Word.", "İ!", "J̌"]
+    many = ["".join(random_.choice(signs) for _ in range(random_.randrange(30))) for _ in range(20_000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(many, add_special_tokens=False)]
+    assert tokens.encoder(queries.word_tokenizer(), 4, specials)(many) == want
+
+
+def test_ledger_stands_any_filter(spark):
+    from factspark.llm import quality
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    book = quality.ledger(docs).where("failures = 0 AND n_words > 5").select("document.doc_id", "n_symbols")
+    plan = book._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") < 10 and len(plan) < 20_000
+    assert book.count() == sum(r.failures == 0 and r.n_words > 5 for r in quality.ledger(docs).collect())
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    """An id with two texts, null ids, and columns that bear the names the stage uses."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x", 1000), (1, b, "x", 1001), (5, a, "y", 1002), (6, b, "y", 1003), (None, c, "x", 1004), (None, c, "z", 1005), (None, c + " end", "z", 1006), (9, None, "x", 1007), (9, None, "x", 1008)]
+    docs = spark.createDataFrame([(d, t, "en", s, 0, r, "c", "i", 7) for d, t, s, r in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, component string, _i string, copies int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    found = sorted(r.row for r in kept.collect())
+    assert found[:2] == [1000, 1001] and len(found) == 5 and found[3:] == [1007, 1008] and found[2] in (1004, 1005, 1006)
+    mixed = corpus_pipeline.source_mixture(spark, docs, SMALL)
+    assert mixed.columns == docs.columns
+    assert {(r.row, r.text, r.copies) for r in mixed.collect()} <= {(r[3], r[1], 7) for r in rows}
