@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factspark.session import scratch_folder
 from factspark.llm import mixing, packing, partenum, quality, secrets
-from factspark.llm.common import documents
+from factspark.llm.common import documents, numbered_documents
 from factspark.llm.queries import END_ID, MIX_WEIGHTS, POLICY, word_tokenizer
 
 
@@ -25,12 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay.
     """
-    rows = partenum.stored_rows(docs)
-    groups = partenum.near_groups(rows, row_col="row").select("row", "doc_id", "component_id", "n_shingles")
-    alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
-    first = Window.partitionBy(F.when(alone, F.col("row")), F.when(~alone, F.col("component_id"))).orderBy(F.asc_nulls_last("doc_id"), "row")
-    kept = groups.withColumn("at", F.row_number().over(first)).where("at = 1").select("row")
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    rows = numbered_documents(docs)
+    groups = partenum.near_groups(rows.select("document.doc_id", "document.text", "row"), row_col="row").select("row", "doc_id", "component")
+    first = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "row")
+    one = groups.where("component IS NOT NULL").withColumn("at", F.row_number().over(first)).where("at = 1").select("row")
+    kept = groups.where("component IS NULL").select("row").unionAll(one)
+    return rows.join(kept, "row", "left_semi").select("document.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mixture takes it, repeats as rows of their own."""
-    rows = partenum.stored_rows(docs)
-    taken = mixing.mix(rows, MIX_WEIGHTS, row_col="row").where("copies > 0").select("row", F.col("copies").alias("_n"))
-    return rows.join(taken, "row").withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    rows = numbered_documents(docs)
+    taken = mixing.mix(rows.select("document.doc_id", "document.source", "document.text", "row"), MIX_WEIGHTS, row_col="row")
+    taken = taken.where("copies > 0").select("row", "copies")
+    return rows.join(taken, "row").select("document", F.explode(F.sequence(F.lit(1), "copies"))).select("document.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
