@@ -212,18 +212,19 @@ def sequence_merges(merges: DataFrame) -> DataFrame:
 
 
 def redirect_closure(redirects: DataFrame) -> DataFrame:
-    """(entity_id, survivor_id) by doubling the followed path each round.
+    """(entity_id, survivor_id) by doubling the followed path each round; a cycle raises ValueError.
 
     ``redirects``: entity_id, redirects_to.
     """
     path = checkpointed(redirects.filter("redirects_to IS NOT NULL").select("entity_id", F.col("redirects_to").alias("survivor_id")))
-    for _ in range(path.count().bit_length() + 1):  # enough for any chain; a cycle stops here
+    for _ in range(path.count().bit_length() + 1):  # enough for any chain
         step = path.select(F.col("entity_id").alias("survivor_id"), F.col("survivor_id").alias("next_id"))
         further = checkpointed(path.join(step, "survivor_id", "left").select("entity_id", "survivor_id", "next_id"))
         if further.filter("next_id IS NOT NULL AND next_id <> survivor_id").isEmpty():
             return path
         path = further.select("entity_id", F.coalesce("next_id", "survivor_id").alias("survivor_id"))
-    return path
+    cycle = [r.entity_id for r in path.filter("entity_id = survivor_id").orderBy("entity_id").limit(5).collect()]
+    raise ValueError(f"redirects run in a circle, among them {cycle}")
 
 
 def non_merge_upsert(stored: DataFrame, decisions: DataFrame, method: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factspark.functions import names
 from factspark.operators import checks
 
 from .registry import query
@@ -41,3 +42,22 @@ def _(t):
 @query("unique_hash_violations", "SELECT content_sha256, count(*) AS n FROM x_document GROUP BY ALL HAVING count(*) > 1")
 def _(t):
     return checks.unique_key_violations(t.x_document, ["content_sha256"])
+
+
+@query("unique_pair_violations", """SELECT id_a, id_b, count(*) AS n FROM (SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT concat('C', c_custkey % 90) AS a, concat('C', c_custkey * 2 % 90) AS b FROM customer) p) q WHERE id_a <> id_b GROUP BY ALL HAVING count(*) > 1""")
+def _(t):
+    c = lambda k: F.concat(F.lit("C"), k.cast("string"))
+    a, b = c(F.col("c_custkey") % 90), c(F.col("c_custkey") * 2 % 90)
+    pairs = t.customer.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).filter("id_a <> id_b")
+    return checks.unique_key_violations(pairs, ["id_a", "id_b"])
+
+
+@query("unique_path_violations", "SELECT facet, path, count(*) AS n FROM (SELECT facet, path FROM x_node UNION ALL SELECT facet, path FROM x_classification) q GROUP BY ALL HAVING count(*) > 1")
+def _(t):
+    nodes = t.x_node.select("facet", "path").unionByName(t.x_classification.select("facet", "path"))
+    return checks.unique_key_violations(nodes, ["facet", "path"])
+
+
+@query("unique_slug_violations", "SELECT slug, count(*) AS n FROM (SELECT trim(regexp_replace(regexp_replace(lower(trim(alias)), '[^a-z0-9_ -]', '', 'g'), '[- ]+', '-', 'g'), '-_') AS slug FROM x_alias) q GROUP BY ALL HAVING count(*) > 1")
+def _(t):
+    return checks.unique_key_violations(t.x_alias.select(names.slug_base(F.col("alias")).alias("slug")), ["slug"])

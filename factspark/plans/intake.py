@@ -138,6 +138,25 @@ def _(t):
     return vocabulary.upsert_vocabulary(_seed_nodes(t), current, ["facet", "path"], overwrite=True)
 
 
+INSERTED = f"""SELECT facet, path, coalesce(n.label, s.label) AS label, CASE WHEN s.path IS NULL THEN 'kept' WHEN n.path IS NULL THEN 'created' ELSE 'skipped' END AS action
+FROM ({SEED_SQL}) s FULL JOIN (SELECT facet, path, label FROM x_node WHERE status = 'active') n USING (facet, path)"""
+
+
+def _inserted(t):
+    current = t.x_node.filter("status = 'active'").select("facet", "path", "label")
+    return vocabulary.upsert_vocabulary(_seed_nodes(t), current, ["facet", "path"])
+
+
+@query("insert_vocabulary", INSERTED)
+def _(t):
+    return _inserted(t)
+
+
+@query("vocabulary_counts", f"SELECT action, count(*) AS n FROM ({INSERTED}) q WHERE action <> 'kept' GROUP BY 1")
+def _(t):
+    return _inserted(t).filter("action <> 'kept'").groupBy("action").agg(F.count("*").alias("n"))
+
+
 MOVE_SQL = "SELECT facet, path, 'value_chain' AS new_facet, concat('merged.', path) AS new_path FROM x_node WHERE facet = 'orbit_regime'"
 
 

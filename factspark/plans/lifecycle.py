@@ -11,7 +11,7 @@ from factspark.sources.tables import AS_OF
 
 from .columns import at, sql_alnum, sql_conf, sql_domain, sql_domain_trust, sql_list, sql_norm, sql_odds
 from .gaps import FRAME
-from .registry import query
+from .registry import ORACLES, query
 from .totals import EVIDENCE, LIVE
 
 DOCS = f"""(SELECT d.*, s.name AS source_name, coalesce(nullif({sql_domain('d.url')}, ''), regexp_replace(lower(s.domain), '^www\\.', '')) AS domain, CAST(coalesce(trust_override, base_trust) AS INT) AS trust
@@ -388,6 +388,11 @@ def _(t):
     return claims.verify_quotes(quoted_claims(t), t.x_document)
 
 
+@query("verify_quotes_dated", f"SELECT q.*, CASE WHEN outcome IN ('verified', 'failed', 'weak') THEN TIMESTAMP '2002-01-01' END AS verified_at FROM ({ORACLES['verify_quotes']}) q")
+def _(t):
+    return claims.verify_quotes(quoted_claims(t), t.x_document, at())
+
+
 @query("verify_quote_counts", f"SELECT outcome, count(*) AS n FROM {VERIFY} v GROUP BY 1")
 def _(t):
     return claims.outcome_counts(claims.verify_quotes(quoted_claims(t), t.x_document))

@@ -51,32 +51,49 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def _folder(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
+
+
+def _published(spark: SparkSession, path: str) -> list[str]:
+    """Names ``version.turn.folder`` of everything published, oldest first."""
+    files, place = _folder(spark, path)
+    if not files.exists(place("_published")):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(place("_published")))
+
+
 def materialize(df: DataFrame, path: str, keys: list[str], version: int) -> None:
     """Store one version of a projection; readers keep the version they started with.
 
-    The rows are computed and written once, into a folder that readers do not see.  Keys are
-    checked on the written rows, then the folder takes the version's name; a version that is
-    stored again replaces the first.
+    The rows are computed and written once, into a folder of their own.  Keys are checked on
+    the written rows, then an empty pointer file that names version and folder publishes it.
+    Nothing is moved or deleted, so a reader in between sees the old version or the new one; a
+    version that is stored again gets a later pointer.
     """
     spark = df.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
-    staged = f"_staged-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{staged}")
-    if not key_violations(spark.read.schema(df.schema).parquet(f"{path}/{staged}"), keys).isEmpty():
-        files.delete(place(staged), True)
+    files, place = _folder(spark, path)
+    name = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    if not key_violations(spark.read.schema(df.schema).parquet(f"{path}/{name}"), keys).isEmpty():
+        files.delete(place(name), True)
         raise ValueError(f"projection is not unique on {keys}")
-    files.delete(place(f"version={version}"), True)
-    if not files.rename(place(staged), place(f"version={version}")):
-        raise OSError(f"version {version} could not be published in {path}")
+    turn = 1 + sum(int(p.split(".")[0]) == version for p in _published(spark, path))
+    files.create(place(f"_published/{version:012d}.{turn:06d}.{name}"), False).close()
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest stored version (only its folder is scanned)."""
-    stored = spark.read.parquet(path)
-    newest = stored.agg(F.max("version")).first()[0]
-    return stored.filter(F.col("version") == newest).drop("version")
+    """The newest stored version (only its folder is read)."""
+    return spark.read.parquet(f"{path}/{_published(spark, path)[-1].split('.')[2]}")
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the ``keep`` newest versions, once no reader uses them any more."""
+    files, place = _folder(spark, path)
+    for pointer in _published(spark, path)[:-keep]:
+        files.delete(place(f"_published/{pointer}"), False)
+        files.delete(place(pointer.split(".")[2]), True)
 
 
 def snapshot_is_fresh(taken_at: Column, as_of: Column, hours: int = 6) -> Column:

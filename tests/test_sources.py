@@ -42,6 +42,12 @@ def test_materialize(spark, tmp_path):
         raise AssertionError("duplicate keys must fail")
     except ValueError:
         pass
+    assert vocabulary.read_current(spark, path).first().v == 3
+    held = vocabulary.read_current(spark, path)
+    vocabulary.materialize(one.withColumn("v", F.lit(4)), path, ["k"], 2)
+    assert held.first().v == 3  # a reader keeps what it started with
+    vocabulary.drop_old_versions(spark, path, 1)
+    assert vocabulary.read_current(spark, path).first().v == 4
 
 
 def test_feed_limit(spark):
