@@ -212,7 +212,7 @@ def sequence_merges(merges: DataFrame) -> DataFrame:
 
 
 def redirect_closure(redirects: DataFrame) -> DataFrame:
-    """(entity_id, survivor_id) by doubling the followed path each round; a cycle raises ValueError.
+    """(entity_id, survivor_id) by doubling the followed path each round; null where redirects run in a circle.
 
     ``redirects``: entity_id, redirects_to.
     """
@@ -223,8 +223,9 @@ def redirect_closure(redirects: DataFrame) -> DataFrame:
         if further.filter("next_id IS NOT NULL AND next_id <> survivor_id").isEmpty():
             return path
         path = further.select("entity_id", F.coalesce("next_id", "survivor_id").alias("survivor_id"))
-    cycle = [r.entity_id for r in path.filter("entity_id = survivor_id").orderBy("entity_id").limit(5).collect()]
-    raise ValueError(f"redirects run in a circle, among them {cycle}")
+    own = redirects.filter("redirects_to IS NOT NULL").select(F.col("entity_id").alias("survivor_id"), F.lit(True).alias("_goes_on"))
+    ends = path.join(own, "survivor_id", "left")
+    return ends.select("entity_id", F.when(F.col("_goes_on").isNull(), F.col("survivor_id")).alias("survivor_id"))
 
 
 def non_merge_upsert(stored: DataFrame, decisions: DataFrame, method: str) -> DataFrame:
