@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factspark.session import scratch_folder
 
+#: Spark's own switch that removes a statement's shuffle files once it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The characters that separate words, as a set for trim/translate and as a pattern.
 SPACES = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -15,8 +21,44 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here."""
     folder = scratch_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    df.write.options(**options).mode("overwrite").parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.scratch_folder = folder
+    return table
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``saved``, in buckets of a column: joins on it read the table where it lies."""
+    spark = df.sparkSession
+    folder, entry = scratch_folder(spark, name), f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", folder).mode("overwrite").saveAsTable(entry)
+    table = spark.table(entry)
+    table.scratch_folder, table.scratch_entry = folder, entry
+    return table
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, the shuffle files of a statement are removed as it ends, not when the driver's heap is next swept."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``saved`` and ``bucketed`` of which everything was written that was derived from them."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        if hasattr(table, "scratch_entry"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.scratch_entry}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bucketed, discard, saved, shuffles_removed
 from .components import components
 
 #: Band edges grow by this factor, so half of the sets fall into the reach of two bands.
@@ -28,6 +28,10 @@ SPREAD = 6
 #: Rows of a signature group that are paired directly; rows of larger groups are paired with
 #: the group's leaders, and with each other only where they may have no other meeting.
 SMALL_GROUP = 64
+#: Pairs that share one copy of the set of a row that is in many of them.
+PAIRS_PER_COPY = 5_000
+#: Most set names that may be taken twice by unlike sets (none are expected below 10^9 sets).
+MOST_RENAMED = 10_000
 #: Characters hashed at once, signatures combined at once in a task.
 PART_CHARS, PART_SIGNATURES = 2_000_000, 2_000_000
 
@@ -128,6 +132,21 @@ def class_hashes(h, sizes):
     return out
 
 
+def named_sets(texts: list[str | None], words: int, renamed: tuple[int, ...] = ()):
+    """Shingle hashes, set sizes, and for each text the 64-bit name of its set and a check of the name.
+
+    The name depends on the set only, so every job that reads the texts gives the same; a
+    name in ``renamed``, which unlike sets share, is replaced by one that depends on the check too.
+    """
+    import numpy as np
+
+    h, n = shingle_sets(texts, words)
+    name, check = class_hashes(h, n)
+    twice = np.isin(name, np.array(renamed, np.int64).view(np.uint64))
+    name[twice] = mix(name[twice] ^ mix(check[twice] + np.uint64(len(renamed))))
+    return h, n, name.view(np.int64), check.view(np.int64)
+
+
 def signatures(h, sizes):
     """(set, signature, near) of all sets; ``near`` is 0 for the set's own band and 1 for the next."""
     import numpy as np
@@ -185,10 +204,10 @@ def agreements(sizes, counts, near):
 
 
 def text_parts(batch, rows: int = 1000):
-    """Slices of a batch (row, text) of at most PART_CHARS characters, or of one text."""
+    """Slices of a batch with a column ``text`` of at most PART_CHARS characters, or of one text."""
     import pyarrow.compute as pc
 
-    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     at = 0
     while at < len(lengths):
         upto, chars = at + 1, lengths[at]
@@ -199,29 +218,44 @@ def text_parts(batch, rows: int = 1000):
         at = upto
 
 
-def set_table(rows: DataFrame, words: int) -> DataFrame:
-    """(row, n, c1, c2) of (row, text): the size of its shingle set and the set's name."""
+def set_table(docs: DataFrame, words: int, renamed: tuple[int, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with n, row and check: size, name and check of the shingle set."""
+    keys = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*keys).schema.add("n", "long").add("row", "long").add("check", "long")
 
     def sizes_of(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for part in text_parts(batch):
-                h, n = shingle_sets(part.column(1).to_pylist(), words)
-                c1, c2 = class_hashes(h, n)
-                arrays = [part.column(0), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "n", "c1", "c2"])
+                _, n, name, check = named_sets(part.column("text").to_pylist(), words, renamed)
+                arrays = [*[part.column(k) for k in keys], pa.array(n), pa.array(name), pa.array(check)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "n", "row", "check"])
+
+    return docs.mapInArrow(sizes_of, schema)
+
 
-    return rows.mapInArrow(sizes_of, "row bigint, n bigint, c1 bigint, c2 bigint")
+def named_rows(docs: DataFrame, words: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """The stored ``set_table``, in which unlike sets have unlike names, and the renamed ones."""
+    renamed: tuple[int, ...] = ()
+    while True:
+        table = saved(set_table(docs, words, renamed), "sizes")
+        twice = table.where("n > 0").groupBy("row").agg((F.min("check") != F.max("check")).alias("twice")).where("twice")
+        found = [r.row for r in twice.select("row").limit(MOST_RENAMED + 1).collect()]
+        if not found:
+            return table, renamed
+        renamed = (*renamed, *found)
+        if len(renamed) > MOST_RENAMED:
+            raise RuntimeError("too many unlike sets of one name")
+        discard(table)
 
 
-def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
-    """(sig, row, near, least): every signature held by several rows, with the rows that hold it.
+def shared_signatures(texts: DataFrame, words: int, renamed: tuple[int, ...] = ()) -> DataFrame:
+    """(sig, row, near, least): every signature held by several sets, with the names of these sets.
 
     ``least`` is the number of partitions on which the row agrees with a linked one.
 
-    Equal sets within a task are represented by the first.  A task combines what it has
+    A set that a task meets again is left out.  A task combines what it has
     seen: signatures it holds several times are known to be shared, and only one of
     their rows is compared with other tasks, so a signature of any frequency meets at most one row per
     task and slice in a shuffle partition.
@@ -237,6 +271,9 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
             sig, row, near, least = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((row, sig))
             sig, row, near, least = sig[order], row[order], near[order], least[order]
+            once = np.ones(len(sig), bool)  # a set seen again after ``seen`` was emptied
+            once[1:] = (sig[1:] != sig[:-1]) | (row[1:] != row[:-1])
+            sig, row, near, least = sig[once], row[once], near[once], least[once]
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
             again = ~new | np.append(~new[1:], False)
@@ -249,17 +286,14 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             for part in text_parts(batch):
-                h, sizes = shingle_sets(part.column(1).to_pylist(), words)
-                c1, c2 = class_hashes(h, sizes)
-                names = list(zip(c1.tolist(), c2.tolist()))
+                h, sizes, ids, _ = named_sets(part.column("text").to_pylist(), words, renamed)
                 fresh = np.zeros(len(sizes), bool)
-                for i, name in enumerate(names):
+                for i, name in enumerate(ids.tolist()):
                     if name not in seen:
                         fresh[i] = True
                         seen.add(name)
                 if len(seen) > 1_000_000:
-                    seen.clear()  # later repeats then count as near copies, with the same outcome
-                ids = part.column(0).to_numpy()
+                    seen.clear()  # later repeats are then met again, with the same outcome
                 n = np.where(fresh, sizes, 0)
                 sets, sig, near = signatures(h[np.repeat(fresh, sizes)], n)
                 least = [agreements(n, np.bincount(sets[near == s], minlength=len(n)), s) for s in (0, 1)]
@@ -271,11 +305,12 @@ def shared_signatures(rows: DataFrame, words: int) -> DataFrame:
         if size:
             yield from flush()
 
-    found = rows.mapInArrow(combine, "sig bigint, row bigint, near tinyint, least int, local boolean")
+    found = texts.mapInArrow(combine, "sig bigint, row bigint, near tinyint, least int, local boolean")
     # rows of locally shared signatures need no meeting and are dealt by row
     keyed = found.withColumn("meet", F.when(F.col("local"), F.xxhash64("sig", "row")).otherwise(F.col("sig")))
     at = Window.partitionBy("meet").orderBy("local", "sig", "row")
-    met = (F.lag("sig").over(at) == F.col("sig")) | (F.lead("sig").over(at) == F.col("sig"))
+    other = [(f("sig").over(at) == F.col("sig")) & (f("row").over(at) != F.col("row")) for f in (F.lag, F.lead)]
+    met = other[0] | other[1]
     return keyed.withColumn("met", F.coalesce(met, F.lit(False))).where("local OR met").select("sig", "row", "near", "least").distinct()
 
 
@@ -288,28 +323,62 @@ def able(shared: DataFrame) -> DataFrame:
     return kept.join(groups.select("sig"), "sig", "left_semi")
 
 
-def feature_sets(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(row, items) with the whole shingle sets of the given rows."""
+def feature_sets(rows: DataFrame, texts: DataFrame, words: int, renamed: tuple[int, ...] = ()) -> DataFrame:
+    """(row, items), the whole shingle sets of the given rows, each set once.
+
+    A task gives a set once (or once per million sets), so a set comes as often as there
+    are tasks that hold it, however many texts have it.
+    """
 
     def sets_of(batches):
         import numpy as np
         import pyarrow as pa
 
+        seen = set()
         for batch in batches:
             for part in text_parts(batch):
-                h, n = shingle_sets(part.column(1).to_pylist(), words)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["row", "items"])
+                h, n, ids, _ = named_sets(part.column("text").to_pylist(), words, renamed)
+                fresh = np.zeros(len(n), bool)
+                for i, name in enumerate(ids.tolist()):
+                    if n[i] and name not in seen:
+                        fresh[i] = True
+                        seen.add(name)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n[fresh])]).astype(np.int32))
+                items = pa.array(h[np.repeat(fresh, n)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.ListArray.from_arrays(offsets, items)], names=["row", "items"])
 
-    return texts.join(rows.select("row").distinct(), "row", "left_semi").mapInArrow(sets_of, "row bigint, items array<bigint>")
+    found = texts.mapInArrow(sets_of, "row bigint, items array<bigint>")
+    return found.join(rows.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union, computed on whole sets."""
-    left, right = (sets.select(F.col("row").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    size = F.size("items_a") + F.size("items_b")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (size - both)).select("a", "b")
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union, computed on whole sets.
+
+    ``sets`` lies in buckets by row and is not shuffled.  Of a pair, the set of the row that
+    is in more pairs travels to the other one; one copy of it serves PAIRS_PER_COPY pairs, so the
+    pairs of a leader of any number of rows are spread over tasks.
+    """
+    ends = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row")))
+    degree = ends.groupBy("row").agg(F.count("*").alias("pairs"))
+    for c in ("a", "b"):
+        pairs = pairs.join(degree.select(F.col("row").alias(c), F.col("pairs").alias(f"pairs_{c}")), c)
+    first = F.col("pairs_a") >= F.col("pairs_b")
+    ordered = pairs.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("many"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("few"),
+        F.greatest("pairs_a", "pairs_b").alias("pairs"),
+    )
+    ordered = saved(ordered.select("many", "few", F.pmod(F.xxhash64("few"), F.ceil(F.col("pairs") / PAIRS_PER_COPY)).alias("copy")), "ordered")
+    copies = ordered.select("many", "copy").distinct().join(sets.select(F.col("row").alias("many"), F.col("items").alias("items_many")), "many")
+    both = F.size(F.array_intersect("items_many", "items"))
+    size = F.size("items_many") + F.size("items")
+    met = ordered.join(copies, ["many", "copy"]).join(sets.withColumnRenamed("row", "few"), "few")
+    found = met.where(100 * both >= percent * (size - both)).select(F.least("many", "few").alias("a"), F.greatest("many", "few").alias("b"))
+    links = saved(found, "links")
+    discard(ordered)
+    return links
 
 
 def leaders(shared: DataFrame, comps: DataFrame | None, orders: int, salt: int) -> DataFrame:
@@ -336,7 +405,9 @@ def joined(links: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The components after more links."""
     if comps is not None:
         links = links.union(comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    return saved(components(links), "components")
+    found = saved(components(links), "components")
+    discard(comps)
+    return found
 
 
 def common_features(rows: DataFrame, sets: DataFrame, rounds: int = 3) -> DataFrame:
@@ -345,17 +416,19 @@ def common_features(rows: DataFrame, sets: DataFrame, rounds: int = 3) -> DataFr
     A linked pair has three quarters of each set in common, so a row with fewer features that
     occur again is left out, which may leave fewer to others.
     """
-    kept = rows.select("row").distinct()
+    kept, before = rows.select("row").distinct(), None
     for _ in range(rounds):
         features = sets.join(kept, "row", "left_semi").select("row", F.size("items").alias("n"), F.explode("items").alias("item"))
         again = features.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
         counts = features.join(again, "item", "left_semi").groupBy("row", "n").agg(F.count("*").alias("common"))
         kept = saved(counts.where("4 * common >= 3 * n"), "common")
+        discard(before)
+        before = kept
     return kept
 
 
-def rivals(shared: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of rows of different components that may still be linked.
+def rivals(shared: DataFrame, comps: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of rows of different components that may still be linked, and the stored tables they come from.
 
     A linked pair agrees on ``least`` partitions.  Groups of up to SMALL_GROUP rows give their
     pairs across components, at most that many per row; a pair must meet there as often as
@@ -373,23 +446,27 @@ def rivals(shared: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     need = F.max(F.greatest("least_a", "least_b")) - F.max(F.least("hot_a", "hot_b"))
     met = met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count("*").alias("n"), need.alias("need"))
     needy = rows.where((F.col("size") > SMALL_GROUP) & (F.col("hot") >= F.col("least"))).select("row", "component").distinct()
-    return met.where("n >= need").select("a", "b").union(rare_meetings(needy, sets)).distinct()
+    rare, used = rare_meetings(needy, sets)
+    return met.where("n >= need").select("a", "b").union(rare).distinct(), [rows, *used]
 
 
-def rare_meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def rare_meetings(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of rows (row, component) of different components that may be linked, by an exact prefix test.
 
+    The stored tables they come from are returned as well.
+
     With each row's features ordered from the rarest on, a linked pair must meet in the first
     quarter of both, and at its first common feature what is left of either must suffice for
     the overlap.  So texts that share a passage or a base but have enough features apart
     are never paired.  A feature's most frequent component is not paired with itself.
     """
-    kept = rows.join(common_features(rows, sets), "row")
+    common = common_features(rows, sets)
+    kept = rows.join(common, "row")
     features = sets.join(kept, "row").select("row", "component", "n", F.explode("items").alias("item"))
     held = features.groupBy("item").agg(F.count("*").alias("held"))
     order = Window.partitionBy("row").orderBy("held", "item")
     first = features.join(held, "item").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 0.75) + 1)
-    first = saved(first, "first")
+    first = prefixes = saved(first, "first")
     heads = first.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("head"))
     by_component = first.groupBy("item", "component").agg(F.count("*").alias("k"))
     main = by_component.groupBy("item").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("components"))
@@ -400,53 +477,57 @@ def rare_meetings(rows: DataFrame, sets: DataFrame) -> DataFrame:
     once = (F.col("component_b") == F.col("main_b")) | (F.col("row_a") < F.col("row_b"))
     begins = F.element_at(F.array_intersect("head_a", "head_b"), 1) == F.col("item_a")
     met = a.join(b, [F.col("item_a") == F.col("item_b"), apart, once, enough, begins])
-    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct(), [common, prefixes]
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, component) of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, component) of every row of ``docs``, after ``row`` if a column is given for it.
 
     Rows are linked when 100 * intersection >= percent * union of their shingle sets (percent
     of 75 and more); component_id is the smallest doc_id of the connected rows and ``component``
-    their smallest row (null for a row without links).  ``row`` is
-    ``row_col`` of a table that is stored with its numbers; without it the
-    ids and texts are numbered and stored here.  Texts without words have no shingles and are linked
-    with nothing; rows with equal sets are linked always.  Null ids count as
+    a number of their own.  Texts without words have no shingles, are linked with
+    nothing and have no ``component``; rows with equal sets are linked always.  Null ids count as
     larger than all others.
 
-    Only signatures, row numbers and the texts of candidates are shuffled.  Leaders of
+    Sets are named by their content, so every job that reads the texts names them alike, equal
+    sets are one row of every table from the start, and no copy of the texts is written.  Only
+    signatures, names and, once, the sets of candidates are shuffled; these stay in buckets.  Leaders of
     signature groups are compared with their groups first, in a few rounds, which joins most copies; then the
     pairs across components that share signatures are compared, so a group of copies is not
-    expanded into all its pairs.
+    expanded into all its pairs.  A table is deleted when those made from it are written.
     """
     if percent < 75:
         raise ValueError("bands and partitions are laid out for 75 percent and more")
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    if row_col is None:
-        whole = stored_rows(docs.select(*columns))
-    else:
-        whole = docs.select(F.col(row_col).alias("row"), *columns)
-    rows = whole.select("row", "text")
-    table = saved(set_table(rows, words), "sizes")
-    equal = table.where("n > 0").groupBy("c1", "c2").agg(F.min("row").alias("a"))
-    copies = table.where("n > 0").join(equal, ["c1", "c2"]).where("row <> a").select("a", F.col("row").alias("b"))
-    shared = saved(able(saved(shared_signatures(rows, words), "signatures")), "shared")
-    sets = saved(feature_sets(shared, rows, words), "sets")
-    known = joined(copies, None)
-    compared = None
-    for step in range(rounds):
-        pairs = leaders(shared, known, orders, step * orders)
-        pairs = saved(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "leaders")
-        compared = pairs if compared is None else compared.union(pairs)
-        known = joined(saved(linked(pairs, sets, percent), "links"), known)
-    rest = saved(rivals(shared, known, sets).join(compared, ["a", "b"], "left_anti"), "rivals")
-    known = joined(saved(linked(rest, sets, percent), "links"), known)
-    ids = whole.select("row", "doc_id")
-    found = table.select("row", F.col("n").alias("n_shingles")).join(ids, "row").join(known.withColumnRenamed("node", "row"), "row", "left")
-    names = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "component", "left").select("row", "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
-
-
-def stored_rows(docs: DataFrame) -> DataFrame:
-    """Ids and texts with row numbers, given in one job and read from there."""
-    return saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keys = [F.col(row_col).alias("given_row")] if row_col else []
+    texts = docs.select(columns[1])
+    with shuffles_removed(docs.sparkSession):
+        table, renamed = named_rows(docs.select(*keys, *columns), words)
+        held = saved(shared_signatures(texts, words, renamed), "signatures")
+        shared = saved(able(held), "shared")
+        discard(held)
+        sets = bucketed(feature_sets(shared, texts, words, renamed), "sets", "row")
+        known, compared = None, []
+        for step in range(rounds):
+            pairs = leaders(shared, known, orders if step else 1, step * orders)
+            for old in compared:
+                pairs = pairs.join(old, ["a", "b"], "left_anti")
+            compared.append(saved(pairs, "leaders"))
+            links = linked(compared[-1], sets, percent)
+            known = joined(links, known)
+            discard(links)
+        rest, used = rivals(shared, known, sets)
+        for old in compared:
+            rest = rest.join(old, ["a", "b"], "left_anti")
+        rest = saved(rest, "rivals")
+        discard(shared, *compared, *used)
+        links = linked(rest, sets, percent)
+        known = joined(links, known)
+        discard(links, rest, sets)
+    names = known.select(F.col("node").alias("row"), F.col("component").alias("group"))
+    found = table.join(names, "row", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("group", "row")))
+    least = found.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    result = found.select(*[F.col("given_row").alias("row") for _ in keys], "doc_id", F.col("n").alias("n_shingles"), "component")
+    return result.join(least, "component", "left").select(
+        *["row" for _ in keys], "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component"
+    )
