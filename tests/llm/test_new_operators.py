@@ -279,3 +279,34 @@ def test_near_duplicates_of_awkward_rows(spark):
     mixed = corpus_pipeline.source_mixture(spark, docs, SMALL)
     assert mixed.columns == docs.columns
     assert {(r.row, r.text, r.copies) for r in mixed.collect()} <= {(r[3], r[1], 7) for r in rows}
+
+
+def test_set_names_follow_content():
+    """Equal sets have one name in every batch; a renamed set gets the same other name everywhere."""
+    from factspark.llm import partenum
+
+    texts = ["a b c d e f", None, "A B\tc d e  f", "x y", "", "q " * 40]
+    n, name = partenum.named_sets(texts, 5)[1:3]
+    assert n.tolist() == [2, 0, 2, 1, 0, 1] and name[0] == name[2] and len({name[0], name[3], name[5]}) == 3
+    first = partenum.named_sets(texts, 5, (int(name[0]),))[2]
+    again = partenum.named_sets(texts[2:], 5, (int(name[0]),))[2]
+    assert first[0] == first[2] == again[0] != name[0] and first[3] == name[3] and first[5] == name[5]
+
+
+def test_links_of_a_leader_in_many_pairs(spark, monkeypatch):
+    """A row in many pairs is dealt in copies; links equal those of plain sets; scratch tables go."""
+    import os
+
+    from factspark.llm import partenum
+    from factspark.llm.common import bucketed, discard
+
+    monkeypatch.setattr(partenum, "PAIRS_PER_COPY", 3)
+    held = {0: set(range(40)), **{i: set(range(i % 15, 40 + i % 4)) for i in range(1, 60)}}
+    pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 59)]
+    sets = bucketed(spark.createDataFrame([(r, sorted(x)) for r, x in held.items()], "row long, items array<long>"), "held", "row")
+    links = partenum.linked(spark.createDataFrame(pairs, "a long, b long"), sets, 75)
+    wanted = {(a, b) for a, b in pairs if 100 * len(held[a] & held[b]) >= 75 * len(held[a] | held[b])}
+    assert {tuple(r) for r in links.collect()} == wanted and 0 < len(wanted) < len(pairs) and links.count() == len(wanted)
+    discard(sets, links)
+    assert not spark.catalog.tableExists(sets.scratch_entry)
+    assert not os.path.exists(sets.scratch_folder.removeprefix("file:")) and not os.path.exists(links.scratch_folder.removeprefix("file:"))
