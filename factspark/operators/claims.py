@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspark.functions import names, trust, values, vocab
+from factspark.session import checkpointed
 
 from .entities import evidence, frame_of, live, not_merged, top_rows
 from .gaps import ids
@@ -266,7 +267,12 @@ def classification_items(items, entity, node, facets: DataFrame | None = None) -
     active node, or on one added one level at a time: its parent is active or stored by an
     earlier item of the same answer, or it is a root of a known facet.  A path that is
     stored already, whatever its status, takes the item without a new node.  ``facets`` (facet) adds
-    facets that have no node yet.  One answer's items are folded as an array.
+    facets that have no node yet.  Items of equal ``pos`` go by path; one without ``pos`` neither
+    waits for a parent nor stands for one.
+
+    An item under a parent of the same answer is stored if the parent's smallest stored
+    ``pos`` is not above its own, so open items are judged by one join per depth of their
+    paths, the shallow first, against minima aggregated before the shuffle.
     """
     key = ["facet", "path"]
     typed = items.join(entity.select("entity_id", "entity_type"), "entity_id").withColumn("allowed", F.coalesce(F.array_contains(facet_grants(), F.col("facet")), F.lit(False)))
@@ -277,24 +283,22 @@ def classification_items(items, entity, node, facets: DataFrame | None = None) -
     known = (known if facets is None else known.union(facets.select("facet"))).distinct().withColumn("facet_known", F.lit(True))
     flagged = typed.withColumn("parent", parent).join(state, key, "left").join(above, ["facet", "parent"], "left").join(known, "facet", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
-    flagged = flagged.withColumns({
-        "valid": no(F.col("path").rlike(_PATH)) & no(F.col("facet_known")),
-        "rooted": no(F.col("parent_active")) | (F.col("parent") == ""),
-        "on_node": no(F.col("active")),
-    })
-    step = F.struct("pos", "path", "parent", "allowed", "valid", "rooted", "on_node")
-    answers = flagged.groupBy("entity_id", "facet").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-
-    def fold(paths, s):
-        reached = s["on_node"] | (s["valid"] & (s["rooted"] | F.array_contains(paths, s["parent"])))
-        return F.when(no(s["allowed"] & reached), F.array_append(paths, s["path"])).otherwise(F.array_append(paths, F.lit("")))
-
-    empty = F.array().cast("array<string>")
-    outcome = F.transform(F.col("steps"), lambda s, i: F.struct(s["pos"].alias("pos"), (F.element_at(F.col("paths"), i + 1) != "").alias("stored")))
-    judged = answers.withColumn("paths", F.aggregate("steps", empty, fold)).select("entity_id", "facet", F.explode(F.array_distinct(outcome)).alias("o"))
-    judged = judged.select("entity_id", "facet", F.col("o.pos").alias("pos"), F.col("o.stored").alias("stored"))
-    joined = flagged.join(judged, ["entity_id", "facet", "pos"], "left").withColumn("stored", no(F.col("stored")))
-    return joined.withColumn("is_new_node", F.col("stored") & F.col("active").isNull()).drop("active", "parent", "parent_active", "facet_known", "valid", "rooted", "on_node")
+    valid = no(F.col("path").rlike(_PATH)) & no(F.col("facet_known"))
+    rooted = no(F.col("parent_active")) | no(F.col("parent") == "")
+    flagged = flagged.withColumn("reached", F.col("allowed") & (no(F.col("active")) | (valid & rooted)))
+    flagged = flagged.withColumns({"open": F.col("allowed") & valid & ~F.col("reached"), "depth": F.size(F.split("path", r"\."))})
+    flagged = checkpointed(flagged.drop("parent_active", "facet_known"))
+    judged = flagged.filter("NOT open").withColumn("stored", F.col("reached"))
+    level, above_depth = None, None
+    for depth in sorted(r.depth for r in flagged.filter("open").select("depth").distinct().collect()):
+        held = flagged.filter(F.col("reached") & (F.col("depth") == depth - 1))
+        if above_depth == depth - 1:
+            held = held.unionByName(level.filter("stored").drop("stored"))
+        first = held.groupBy("entity_id", "facet", F.col("path").alias("parent")).agg(F.min("pos").alias("first_pos"))
+        level = flagged.filter(F.col("open") & (F.col("depth") == depth)).join(first, ["entity_id", "facet", "parent"], "left")
+        level = checkpointed(level.withColumn("stored", no(F.col("first_pos") <= F.col("pos"))).drop("first_pos"))
+        judged, above_depth = judged.unionByName(level), depth
+    return judged.withColumn("is_new_node", F.col("stored") & F.col("active").isNull()).drop("active", "parent", "reached", "open", "depth")
 
 
 def classification_apply(judged: DataFrame) -> DataFrame:
