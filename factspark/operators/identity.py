@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factspark.functions import names, trust, values, vocab
@@ -519,9 +519,14 @@ def resolve_mentions(mentions, entity, alias, assertion, event, fragment, verdic
     """Entity of each mention by the first level that answers.
 
     ``mentions``: mention_id, mention, entity_type, primary_id, primary_norm.  ``verdicts``:
-    mention_id, level (pick / verify / canonical), entity_id (null = none of them), label.
-    Levels: place, primary entity, exact name with evidence, exact alias, picked
-    candidate, lone empty namesake, canonical lookup, same-name fallback, new entity.
+    mention_id, level (same_name / same_alias / pick / verify / canonical), entity_id (null =
+    none of them), label.  Levels: place, primary entity, exact name with evidence, the one meant
+    of several such, exact alias, the one meant of several owners, picked candidate, lone empty
+    namesake, canonical lookup, same-name fallback, new entity.
+
+    A mention whose name or alias is ambiguous (``disambiguate_requests``) waits, without an
+    entity, until there is an answer of that level; an answer that names none of
+    the candidates, or is unsure, lets it fall through, and to the best-known namesake in the end.
     """
     kind = F.when(F.col("entity_type").isin(vocab.ENTITY_TYPES), F.col("entity_type")).otherwise("company")
     m = mentions.withColumns({"entity_type": kind, "norm": names.normalize_name(F.col("mention")), "_name": F.lower("mention")})
@@ -534,14 +539,21 @@ def resolve_mentions(mentions, entity, alias, assertion, event, fragment, verdic
         F.max_by("entity_id", F.when(has, F.struct("n_claims", "entity_id"))).alias("proved_id"),
         F.max_by("kind", F.when(has, F.struct("n_claims", "entity_id"))).alias("proved_kind"), F.min("entity_id").alias("named_id"),
     )
-    owners = alias.join(active.select("entity_id", F.col("entity_type").alias("kind")), "entity_id").groupBy(F.col("alias_norm").alias("norm")).agg(
-        F.countDistinct("entity_id").alias("k_owner"), F.min("entity_id").alias("owner_id"), F.min_by("kind", "entity_id").alias("owner_kind"))
+    held = alias.join(active.select("entity_id", F.col("entity_type").alias("kind")), "entity_id").select(F.col("alias_norm").alias("norm"), "entity_id", "kind")
+    owners = held.groupBy("norm").agg(F.countDistinct("entity_id").alias("k_owner"), F.min("entity_id").alias("owner_id"), F.min_by("kind", "entity_id").alias("owner_kind"))
     places = alias.join(entity.filter("entity_type = 'geography'").select("entity_id"), "entity_id", "left_semi").groupBy(F.col("alias_norm").alias("norm")).agg(F.min("entity_id").alias("place_id"))
     sure = verdicts.filter(F.col("entity_id").isNotNull() & F.col("label").isin("high", "medium"))
     level = lambda name: sure.filter(F.col("level") == name).groupBy("mention_id").agg(F.min("entity_id").alias(f"{name}_id"))
     j = m.join(by_name, "_name", "left").join(owners, "norm", "left").join(places, "norm", "left")
     for name in ("pick", "verify", "canonical"):
         j = j.join(level(name), "mention_id", "left")
+    meant = lambda name, key, named_: sure.filter(F.col("level") == name).join(m.select("mention_id", key), "mention_id").join(named_, [key, "entity_id"], "left_semi").groupBy("mention_id").agg(F.min("entity_id").alias(f"{name}_id"))
+    j = j.join(meant("same_name", "_name", named.filter(has)), "mention_id", "left").join(meant("same_alias", "norm", held), "mention_id", "left")
+    answered = verdicts.filter(F.col("level").isin("same_name", "same_alias")).groupBy("mention_id").agg(*[F.max(F.col("level") == x).alias(f"{x}_known") for x in ("same_name", "same_alias")])
+    j = j.join(answered, "mention_id", "left").join(_same_sets(m, named.filter(has), held), ["_name", "norm"], "left")
+    unknown = lambda name: ~F.coalesce(F.col(f"{name}_known"), F.lit(False))
+    many_names = F.col("k_proved") > 1
+    many_owners = (F.col("k_owner") > 1) & ~F.coalesce(many_names & (F.col("k_owner") == F.col("k_proved")) & (F.col("k_both") == F.col("k_owner")), F.lit(False))
     place = (F.col("entity_type") == "geography") | F.col("norm").isin(vocab.PLACE_NAMES)
     extra = F.size(F.split("norm", " ")) - F.size(F.split("primary_norm", " "))
     primary = F.col("primary_id").isNotNull() & (F.length("primary_norm") >= 4) & F.contains("norm", F.col("primary_norm")) & (extra <= 6)
@@ -555,7 +567,11 @@ def resolve_mentions(mentions, entity, alias, assertion, event, fragment, verdic
         ("place", place, F.col("place_id")),
         ("primary", primary, F.col("primary_id")),
         ("name", one_name, F.col("proved_id")),
+        ("same_name", many_names & F.col("same_name_id").isNotNull(), F.col("same_name_id")),
+        ("waiting", many_names & unknown("same_name"), F.lit(None).cast("string")),
         ("alias", one_owner, F.col("owner_id")),
+        ("same_alias", many_owners & F.col("same_alias_id").isNotNull(), F.col("same_alias_id")),
+        ("waiting", many_owners & unknown("same_alias"), F.lit(None).cast("string")),
         ("pick", F.col("pick_id").isNotNull(), F.col("pick_id")),
         ("namesake", lone, F.col("named_id")),
         ("canonical", ask & F.col("canonical_id").isNotNull(), F.col("canonical_id")),
@@ -565,10 +581,56 @@ def resolve_mentions(mentions, entity, alias, assertion, event, fragment, verdic
     for name, test, found in reversed(steps):
         how, who = F.when(F.coalesce(test, F.lit(False)), name).otherwise(how), F.when(F.coalesce(test, F.lit(False)), found).otherwise(who)
     fresh = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", F.when(place, "geography").otherwise("entity"), "norm"), 256), 1, 16))
-    return j.select("mention_id", "norm", how.alias("level"), F.coalesce(who, fresh).alias("entity_id"), who.isNull().alias("is_new"),
+    is_new = who.isNull() & (how != "waiting")
+    return j.select("mention_id", "norm", how.alias("level"), F.coalesce(who, F.when(is_new, fresh)).alias("entity_id"), is_new.alias("is_new"),
                     F.when(place, "geography").otherwise(F.col("entity_type")).alias("entity_type"))
 
 
+def _same_sets(mentions: DataFrame, named: DataFrame, held: DataFrame) -> DataFrame:
+    """(_name, norm, k_both): how many entities bear both names of a mention, counted pair by pair."""
+    asked = mentions.select("_name", "norm").distinct()
+    both = asked.join(held.select("norm", "entity_id").distinct(), "norm").join(named.select("_name", "entity_id"), ["_name", "entity_id"])
+    return both.groupBy("_name", "norm").agg(F.count("*").alias("k_both"))
+
+
+def disambiguate_candidates(mentions, entity, alias, assertion, event, fragment, context) -> tuple[DataFrame, DataFrame]:
+    """Questions (mention_id, level, name) and candidates (level, name, number, entity_id, line).
+
+    A mention whose lower-cased name is borne by several active entities with evidence asks
+    at level ``same_name``; one whose normal form is an alias of several active entities, not
+    just of those, at ``same_alias``.  Candidates are rows, once per name, numbered from 1 by
+    entity_id, so a name of any number of bearers is no single text.  ``mentions``:
+    mention_id, mention.  ``context``: entity_id, context; missing ones read "(no data)".
+    """
+    m = mentions.select("mention_id", F.lower("mention").alias("_name"), names.normalize_name(F.col("mention")).alias("norm"))
+    active = entity.filter("status = 'active'").select("entity_id", "canonical_name")
+    proved = active.join(evidence(assertion, fragment, event).filter("n > 0").select("entity_id"), "entity_id").withColumn("_name", F.lower("canonical_name"))
+    held = active.join(alias.select("entity_id", F.col("alias_norm").alias("norm")).distinct(), "entity_id")
+    k_name = proved.groupBy("_name").agg(F.count("*").alias("k_proved")).filter("k_proved > 1")
+    k_alias = held.groupBy("norm").agg(F.count("*").alias("k_owner")).filter("k_owner > 1")
+    first = m.join(k_name, "_name").select("mention_id", F.lit("same_name").alias("level"), F.col("_name").alias("name"))
+    owned = m.join(k_alias, "norm").join(k_name, "_name", "left").join(_same_sets(m, proved, held), ["_name", "norm"], "left")
+    known = F.coalesce((F.col("k_owner") == F.col("k_proved")) & (F.col("k_both") == F.col("k_owner")), F.lit(False))
+    second = owned.filter(~known).select("mention_id", F.lit("same_alias").alias("level"), F.col("norm").alias("name"))
+    questions = first.unionByName(second)
+    bearers = proved.select(F.lit("same_name").alias("level"), F.col("_name").alias("name"), "entity_id", "canonical_name").unionByName(
+        held.select(F.lit("same_alias").alias("level"), F.col("norm").alias("name"), "entity_id", "canonical_name"))
+    wanted = bearers.join(questions.select("level", "name").distinct(), ["level", "name"], "left_semi").join(context, "entity_id", "left")
+    number = F.row_number().over(Window.partitionBy("level", "name").orderBy("entity_id"))
+    line = F.concat(F.lit('"'), F.col("canonical_name"), F.lit('" :: '), F.coalesce(F.replace("context", F.lit("\n"), F.lit(" | ")), F.lit("(no data)")))
+    return questions, wanted.select("level", "name", number.alias("number"), "entity_id", line.alias("line"))
+
+
+def disambiguate_apply(questions: DataFrame, candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Verdict rows (mention_id, level, entity_id, label) for ``resolve_mentions``; a bad number names none.
+
+    ``answers``: mention_id, level, match, label.
+    """
+    asked = questions.join(answers, ["mention_id", "level"])
+    named = candidates.select("level", "name", F.col("number").alias("match"), "entity_id")
+    return asked.join(named, ["level", "name", "match"], "left").select("mention_id", "level", "entity_id", "label")
+
+
 def pick_requests(mentions: DataFrame, candidates: DataFrame, context: DataFrame) -> DataFrame:
     """One question per mention with its numbered candidates and what is known about them."""
     numbered = candidates.join(context, "entity_id", "left")

@@ -339,19 +339,69 @@ def mention_verdicts(t):
 @query(
     "resolve_mentions",
     f"""WITH {AL}, m AS (SELECT *, {sql_norm('mention')} AS norm FROM {MENTIONS} q), ac AS (SELECT * FROM x_entity WHERE status = 'active'), ev AS ({EVIDENCE}),
- nd AS (SELECT lower(canonical_name) AS nm, count(*) FILTER (WHERE n > 0) AS kp, count(*) AS kn, arg_max(entity_id, {{'c': coalesce(n_claims, 0), 'e': entity_id}}) FILTER (WHERE n > 0) AS pid, arg_max(entity_type, {{'c': coalesce(n_claims, 0), 'e': entity_id}}) FILTER (WHERE n > 0) AS pk, min(entity_id) AS nid FROM ac LEFT JOIN ev USING (entity_id) GROUP BY 1),
- ow AS (SELECT alias_norm AS norm, count(DISTINCT ac.entity_id) AS ko, min(ac.entity_id) AS oid, arg_min(entity_type, ac.entity_id) AS ok FROM al JOIN ac USING (entity_id) GROUP BY 1),
+ nd AS (SELECT lower(canonical_name) AS nm, count(*) FILTER (WHERE n > 0) AS kp, count(*) AS kn, arg_max(entity_id, {{'c': coalesce(n_claims, 0), 'e': entity_id}}) FILTER (WHERE n > 0) AS pid, arg_max(entity_type, {{'c': coalesce(n_claims, 0), 'e': entity_id}}) FILTER (WHERE n > 0) AS pk, min(entity_id) AS nid, list_sort(list(entity_id) FILTER (WHERE n > 0)) AS pl FROM ac LEFT JOIN ev USING (entity_id) GROUP BY 1),
+ ow AS (SELECT alias_norm AS norm, count(DISTINCT ac.entity_id) AS ko, min(ac.entity_id) AS oid, arg_min(entity_type, ac.entity_id) AS ok, list_sort(list(DISTINCT ac.entity_id)) AS ol FROM al JOIN ac USING (entity_id) GROUP BY 1),
  vd AS (SELECT p_partkey AS mention_id, p_partkey % 2 = 0 AS pick, concat('C', p_partkey % 900) AS vid FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0),
- j AS (SELECT m.*, norm IN ({sql_list(vocab.PLACE_NAMES)}) AS place, coalesce(kp, 0) AS kp, coalesce(kn, 0) AS kn, pid, pk, nid, ko, oid, ok, CASE WHEN pick THEN vid END AS pickid, CASE WHEN NOT pick THEN vid END AS canid,
+ j AS (SELECT m.*, norm IN ({sql_list(vocab.PLACE_NAMES)}) AS place, coalesce(kp, 0) AS kp, coalesce(kn, 0) AS kn, pid, pk, nid, ko, oid, ok, ko > 1 AND NOT coalesce(kp > 1 AND ol = pl, false) AS unlike, CASE WHEN pick THEN vid END AS pickid, CASE WHEN NOT pick THEN vid END AS canid,
   length(regexp_replace(mention, '[ .]', '', 'g')) <= 6 OR lower(regexp_extract(trim(mention), '(\\S+)$', 1)) NOT IN ({sql_list(vocab.LEGAL_SUFFIXES)}) AS ask FROM m LEFT JOIN nd ON nm = lower(mention) LEFT JOIN ow USING (norm) LEFT JOIN vd USING (mention_id)),
- r AS (SELECT *, CASE WHEN place THEN 'place' WHEN primary_id IS NOT NULL AND contains(norm, 'ring') AND len(string_split(norm, ' ')) <= 7 THEN 'primary' WHEN kp = 1 AND pk = entity_type THEN 'name' WHEN ko = 1 AND ok = entity_type THEN 'alias' WHEN pickid IS NOT NULL THEN 'pick' WHEN kn = 1 AND kp = 0 THEN 'namesake' WHEN ask AND canid IS NOT NULL THEN 'canonical' WHEN kp > 0 OR ko = 1 THEN 'fallback' ELSE 'new' END AS level FROM j)
-SELECT mention_id, norm, level, CASE level WHEN 'primary' THEN primary_id WHEN 'name' THEN pid WHEN 'alias' THEN oid WHEN 'pick' THEN pickid WHEN 'namesake' THEN nid WHEN 'canonical' THEN canid WHEN 'fallback' THEN CASE WHEN kp > 0 THEN pid ELSE oid END ELSE concat('new-', substr(sha256(concat(CASE WHEN place THEN 'geography' ELSE 'entity' END, '|', norm)), 1, 16)) END AS entity_id,
+ r AS (SELECT *, CASE WHEN place THEN 'place' WHEN primary_id IS NOT NULL AND contains(norm, 'ring') AND len(string_split(norm, ' ')) <= 7 THEN 'primary' WHEN kp = 1 AND pk = entity_type THEN 'name' WHEN kp > 1 THEN 'waiting' WHEN ko = 1 AND ok = entity_type THEN 'alias' WHEN unlike THEN 'waiting' WHEN pickid IS NOT NULL THEN 'pick' WHEN kn = 1 AND kp = 0 THEN 'namesake' WHEN ask AND canid IS NOT NULL THEN 'canonical' WHEN kp > 0 OR ko = 1 THEN 'fallback' ELSE 'new' END AS level FROM j)
+SELECT mention_id, norm, level, CASE level WHEN 'waiting' THEN NULL WHEN 'primary' THEN primary_id WHEN 'name' THEN pid WHEN 'alias' THEN oid WHEN 'pick' THEN pickid WHEN 'namesake' THEN nid WHEN 'canonical' THEN canid WHEN 'fallback' THEN CASE WHEN kp > 0 THEN pid ELSE oid END ELSE concat('new-', substr(sha256(concat(CASE WHEN place THEN 'geography' ELSE 'entity' END, '|', norm)), 1, 16)) END AS entity_id,
  level IN ('place', 'new') AS is_new, CASE WHEN place THEN 'geography' ELSE entity_type END AS entity_type FROM r""",
 )
 def _(t):
     return idn.resolve_mentions(mentions(t), t.x_entity, norms(t), t.x_assertion, t.x_event, t.x_fragment, mention_verdicts(t))
 
 
+def namesakes(t):
+    """Entities, aliases and mentions with recurring names: customers by number, one alias in ten missing."""
+    k = "CAST(substr(entity_id, 2) AS INT)"
+    customer = F.col("entity_id").rlike("^C[0-9]+$")
+    entity = t.x_entity.withColumn("canonical_name", F.when(customer, F.expr(f"concat('Namesake ', {k} % 400)")).otherwise(F.col("canonical_name")))
+    alias = t.x_entity.filter(customer).filter(F.expr(f"{k} % 10 <> 3")).select("entity_id", F.expr(f"CASE WHEN {k} % 400 < 200 THEN concat('namesake ', {k} % 400) ELSE concat('other ', {k} % 300) END").alias("alias_norm"))
+    asked = t.part.select(F.col("p_partkey").alias("mention_id"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN concat('NAMESAKE ', p_partkey % 450) ELSE concat('Other ', p_partkey % 310) END").alias("mention"))
+    return asked, entity, alias
+
+
+def disambiguation(t):
+    asked, entity, alias = namesakes(t)
+    context = t.x_entity.filter("entity_type = 'company'").select("entity_id", F.concat("entity_type", F.lit("\n"), "canonical_name").alias("context"))
+    return idn.disambiguate_candidates(asked, entity, alias, t.x_assertion, t.x_event, t.x_fragment, context)
+
+
+def disambiguation_answers(t):
+    k = F.col("p_partkey")
+    answers = t.part.filter(k % 7 > 0).select(k.alias("mention_id"), (k % 5).cast("int").alias("match"), F.when(k % 3 == 0, "low").otherwise("high").alias("label"))
+    return answers.withColumn("level", F.explode(F.array(F.lit("same_name"), F.lit("same_alias"))))
+
+
+NAMESAKES = f"""ev AS ({EVIDENCE}), cu AS (SELECT *, CASE WHEN regexp_full_match(entity_id, 'C[0-9]+') THEN CAST(substr(entity_id, 2) AS INT) END AS k FROM x_entity WHERE status = 'active'),
+ en AS (SELECT entity_id, CASE WHEN k IS NOT NULL THEN concat('Namesake ', k % 400) ELSE canonical_name END AS cn, entity_id IN (SELECT entity_id FROM ev) AS proved, CASE WHEN entity_type = 'company' THEN concat(entity_type, ' | ', canonical_name) ELSE '(no data)' END AS ctx FROM cu),
+ ho AS (SELECT entity_id, CASE WHEN k % 400 < 200 THEN concat('namesake ', k % 400) ELSE concat('other ', k % 300) END AS norm FROM cu WHERE k % 10 <> 3),
+ mn AS (SELECT p_partkey AS mention_id, lower(CASE WHEN p_partkey % 2 = 0 THEN concat('NAMESAKE ', p_partkey % 450) ELSE concat('Other ', p_partkey % 310) END) AS nm FROM part),
+ pn AS (SELECT lower(cn) AS nm, list_sort(list(entity_id)) AS pl FROM en WHERE proved GROUP BY 1), po AS (SELECT norm AS nm, list_sort(list(entity_id)) AS ol FROM ho GROUP BY 1),
+ qu AS (SELECT mention_id, 'same_name' AS level, nm AS name FROM mn JOIN pn USING (nm) WHERE len(pl) > 1 UNION ALL SELECT mention_id, 'same_alias', nm FROM mn JOIN po USING (nm) LEFT JOIN pn USING (nm) WHERE len(ol) > 1 AND ol IS DISTINCT FROM pl),
+ be AS (SELECT 'same_name' AS level, lower(cn) AS name, entity_id FROM en WHERE proved UNION ALL SELECT 'same_alias', norm, entity_id FROM ho),
+ ca AS (SELECT level, name, CAST(row_number() OVER (PARTITION BY level, name ORDER BY entity_id) AS INT) AS number, entity_id, concat('"', cn, '" :: ', ctx) AS line FROM be JOIN en USING (entity_id) WHERE (level, name) IN (SELECT (level, name) FROM qu))"""
+
+
+@query("disambiguate_questions", f"WITH {NAMESAKES} SELECT mention_id, level, name FROM qu")
+def _(t):
+    return disambiguation(t)[0]
+
+
+@query("disambiguate_candidates", f"WITH {NAMESAKES} SELECT level, name, number, entity_id, line FROM ca")
+def _(t):
+    return disambiguation(t)[1]
+
+
+@query(
+    "disambiguate_apply",
+    f"WITH {NAMESAKES} SELECT q.mention_id, q.level, ca.entity_id, CASE WHEN q.mention_id % 3 = 0 THEN 'low' ELSE 'high' END AS label FROM qu q LEFT JOIN ca ON ca.level = q.level AND ca.name = q.name AND ca.number = q.mention_id % 5 WHERE q.mention_id % 7 > 0",
+)
+def _(t):
+    return idn.disambiguate_apply(*disambiguation(t), disambiguation_answers(t))
+
+
 def _picks(t):
     asked = mentions(t).withColumn("norm", names.normalize_name(F.col("mention")))
     found = idn.resolve_candidates(asked.select("norm").distinct(), norms(t), t.x_entity)
