@@ -87,11 +87,12 @@ def ids_of(tokenizer, text):
 @pytest.mark.parametrize("where", ["small", "awkward"])
 def test_packing(spark, docs, awkward, tokenizer, where):
     folder = SMALL if where == "small" else awkward
-    pieces, seen = collections.defaultdict(list), set()
+    pieces, seen, buckets = collections.defaultdict(list), set(), collections.defaultdict(list)
     for r in run(spark, "op1_power_of_two_packing", folder):
         assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0
         assert r.sequence_id not in seen
         seen.add(r.sequence_id)
+        buckets[r.sequence_id >> packing.BUCKET_AT, r.sequence_id >> packing.TASK_AT].append((r.sequence_id % (1 << packing.TASK_AT), r.length))
         pieces[r.doc_id].append(r)
     want = collections.defaultdict(list)
     for r in documents(spark, folder).select("doc_id", "text").collect():
@@ -105,6 +106,23 @@ def test_packing(spark, docs, awkward, tokenizer, where):
                 at += n
             assert at == len(ids)
         assert sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found) == sorted(expected)
+    for (bucket, _), held in buckets.items():
+        assert [place for place, _ in sorted(held)] == list(range(len(held))) and {n for _, n in held} == {1 << bucket}
+
+
+def test_buckets_are_ranges_of_ids(spark, docs, tokenizer, tmp_path):
+    """Written folders, the report and the ranges of ids name the same sequences."""
+    packed = saved(packing.pack(docs.repartition(5), queries.word_tokenizer(), 1, longest=64), "packed")
+    packing.write_buckets(packed, f"{tmp_path}/buckets")
+    report = {r.length: (r.n_sequences, r.n_tokens) for r in packing.bucket_report(packed).collect()}
+    assert set(report) <= {1 << b for b in range(7)} and sum(n for _, n in report.values()) == sum(len(ids_of(tokenizer, r.text)) for r in docs.select("text").collect())
+    for length, (n, tokens) in report.items():
+        bucket = length.bit_length() - 1
+        held = spark.read.parquet(f"{tmp_path}/buckets/length={length}")
+        assert held.where(packing.bucket_of(F.col("sequence_id")) == bucket).count() == n == tokens // length
+        assert held.where(F.octet_length("ids") != 4 * length).count() == 0
+        tasks = held.groupBy(F.shiftright("sequence_id", packing.TASK_AT)).agg(F.count("*").alias("n"), F.max(packing.place_of(F.col("sequence_id"))).alias("last")).collect()
+        assert all(t.last == t.n - 1 for t in tasks)
 
 
 @pytest.mark.parametrize("where", ["small", "awkward"])
