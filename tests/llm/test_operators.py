@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factspark.llm import language, mixing, neighbours, packing, partenum, quality, queries, secrets, sharding, tokenfiles, tokenindex, tokenscan
 from factspark.llm.common import documents, numbered, saved
-from factspark.llm.components import components
+from factspark.llm.components import components, stars
 
 from ..conftest import SMALL
 
@@ -436,6 +436,15 @@ def test_components(spark):
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
+@pytest.mark.parametrize("edges, want", [
+    ([], True), ([(1, 2), (1, 3), (4, 5)], True), ([(1, 2), (2, 3)], False), ([(1, 3), (2, 3)], False), ([(1, 4), (1, 5), (2, 3), (2, 5)], False),
+])
+def test_stars(spark, edges, want):
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert stars(table) == want
+    assert all(r.component <= r.node for r in components(table).collect())
+
+
 def exact_neighbours(rows, k):
     kept = {i: np.array(v, np.float64) for i, v in rows}
     names = np.array(sorted(kept))
