@@ -43,6 +43,15 @@ def test_decay(spark):
     assert got[0] == 0.8 and got[1] < 0.8 and got[2] >= 0.5 and got[3] == 0.5
 
 
+def test_display_trust_rounds_as_python(spark):
+    cases = [(c, p) for c in range(0, 101) for p in range(0, 1500, 5)]
+    days = 100
+    now, at = F.lit("2024-01-01").cast("timestamp"), F.expr("TIMESTAMP '2024-01-01' - make_dt_interval(p + 100)")
+    df = spark.createDataFrame(cases, "c int, p int")
+    got = {(r.c, r.p): r.t for r in df.select("c", "p", trust.display_trust(F.col("c"), at, F.lit(days), now).alias("t")).collect()}
+    assert got == {(c, p): round(max(0.1, min(1.0, c / 100 - min(0.7, 0.05 * round(p / days, 2)))), 1) for c, p in cases}
+
+
 def test_out_of_range(spark):
     cases = [(6.0, 1.0, True), (0.1, 1.0, True), (2.0, 1.0, False), (5.0, 1.0, False), (5.1, 1.0, True), (3.0, 0.0, False), (None, 1.0, False)]
     assert one(spark, [c[:2] for c in cases], "n double, o double", values.out_of_range(F.col("n"), F.col("o"))) == [c[2] for c in cases]
