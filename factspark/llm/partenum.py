@@ -395,6 +395,15 @@ def leaders(shared: DataFrame, comps: DataFrame | None, orders: int, salt: int)
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("8 * n >= least").select("a", "b")
 
 
+def without(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) that no earlier table has: one join, however many tables there are."""
+    for old in compared[:1]:
+        for more in compared[1:]:
+            old = old.unionAll(more)
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
+    return pairs
+
+
 def with_components(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return shared.withColumn("component", F.col("row"))
@@ -510,16 +519,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known, compared = None, []
         for step in range(rounds):
             pairs = leaders(shared, known, orders if step else 1, step * orders)
-            for old in compared:
-                pairs = pairs.join(old, ["a", "b"], "left_anti")
+            pairs = without(pairs, compared)
             compared.append(saved(pairs, "leaders"))
             links = linked(compared[-1], sets, percent)
             known = joined(links, known)
             discard(links)
         rest, used = rivals(shared, known, sets)
-        for old in compared:
-            rest = rest.join(old, ["a", "b"], "left_anti")
-        rest = saved(rest, "rivals")
+        rest = saved(without(rest, compared), "rivals")
         discard(shared, *compared, *used)
         links = linked(rest, sets, percent)
         known = joined(links, known)

@@ -485,3 +485,14 @@ def test_neighbours_of_awkward_vectors(spark):
     assert set(lists) == {0, 20, 40}
     assert lists[0] == list(range(1, 21)) and lists[20] == [i for i in range(21) if i != 20]
     assert lists[40] == [41, *range(19)]
+
+
+def test_compared_pairs_are_left_out_by_one_join(spark):
+    from factspark.llm import partenum
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    tables = [spark.createDataFrame(rows, "a long, b long") for rows in ([(0, 1), (4, 5)], [(4, 5), (7, 9)], [(8, 9)])]
+    left = partenum.without(pairs, tables)
+    assert sorted(r.a for r in left.collect()) == [1, 2, 3, 5, 6, 7]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+    assert partenum.without(pairs, []) is pairs
