@@ -32,8 +32,8 @@ SMALL_GROUP = 64
 PAIRS_PER_COPY = 5_000
 #: Most set names that may be taken twice by unlike sets (none are expected below 10^9 sets).
 MOST_RENAMED = 10_000
-#: Characters hashed at once, signatures combined at once in a task.
-PART_CHARS, PART_SIGNATURES = 2_000_000, 2_000_000
+#: Characters hashed at once (a worker needs some 60 bytes for each), signatures combined at once in a task.
+PART_CHARS, PART_SIGNATURES = 250_000, 2_000_000
 
 
 def bands(largest: int = 1 << 40) -> list[tuple[int, int]]:
@@ -427,9 +427,12 @@ def common_features(rows: DataFrame, sets: DataFrame, rounds: int = 3) -> DataFr
     """
     kept, before = rows.select("row").distinct(), None
     for _ in range(rounds):
-        features = sets.join(kept, "row", "left_semi").select("row", F.size("items").alias("n"), F.explode("items").alias("item"))
-        again = features.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
-        counts = features.join(again, "item", "left_semi").groupBy("row", "n").agg(F.count("*").alias("common"))
+        features = sets.join(kept, "row", "left_semi").select("row", F.explode("items").alias("item"))
+        # a set holds an item once, so an item that occurs once is counted off its only row: no row per repeated item
+        alone = features.groupBy("item").agg(F.count("*").alias("held"), F.min("row").alias("row")).where("held = 1")
+        alone = alone.groupBy("row").agg(F.count("*").alias("alone"))
+        sizes = sets.join(kept, "row", "left_semi").select("row", F.size("items").alias("n"))
+        counts = sizes.join(alone, "row", "left").select("row", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
         kept = saved(counts.where("4 * common >= 3 * n"), "common")
         discard(before)
         before = kept

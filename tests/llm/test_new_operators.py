@@ -310,3 +310,43 @@ def test_links_of_a_leader_in_many_pairs(spark, monkeypatch):
     discard(sets, links)
     assert not spark.catalog.tableExists(sets.scratch_entry)
     assert not os.path.exists(sets.scratch_folder.removeprefix("file:")) and not os.path.exists(links.scratch_folder.removeprefix("file:"))
+
+
+def test_hashing_needs_little_memory():
+    """A worker hashes a batch of texts in parts of a few MB, whatever their number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from factspark.llm import partenum
+
+    dice = random.Random(3)
+    texts = [" ".join(dice.choices(["alpha", "be", "gamma", "delta5", "x"], k=400)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    for part in partenum.text_parts(batch):
+        h, n, _, _ = partenum.named_sets(part.column("text").to_pylist(), 5)
+        partenum.signatures(h, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_common_features_without_a_row_per_feature(spark, monkeypatch):
+    """Rows with three quarters of their features in other rows; no join on features."""
+    from factspark.llm import partenum
+
+    dice = random.Random(5)
+    held = {i: set(range(i % 7 * 30, i % 7 * 30 + 20)) | {dice.randrange(1000, 1400) for _ in range(i % 12)} for i in range(90)}
+    held |= {100 + i: set(range(5000 + 9 * i, 5000 + 9 * i + 12)) for i in range(4)}
+    want = dict(held)
+    for _ in range(3):
+        count = collections.Counter(x for s in want.values() for x in s)
+        common = {r: sum(count[x] > 1 for x in s) for r, s in want.items()}
+        want = {r: s for r, s in want.items() if 4 * common[r] >= 3 * len(s)}
+    plans, saved = [], partenum.saved
+    monkeypatch.setattr(partenum, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, name))
+    sets = spark.createDataFrame([(r, sorted(x)) for r, x in held.items()], "row long, items array<long>")
+    got = partenum.common_features(sets.select("row"), sets).collect()
+    assert {(r.row, r.n, r.common) for r in got} == {(r, len(s), common[r]) for r, s in want.items()} and 0 < len(want) < len(held)
+    assert plans and not any("Join" in line and "item#" in line for p in plans for line in p.splitlines())
