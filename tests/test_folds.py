@@ -209,3 +209,35 @@ def test_stream_adjudicate_equals_batch(spark, tables, tmp_path):
         assert seen[-1].status == want[key].status
         assert seen[-1].confidence == want[key].confidence
         assert sum(r.corroboration_count for r in seen) == want[key].corroboration_count
+
+
+def test_rounds_read_open_groups_only(spark, monkeypatch):
+    """Of 300 groups one needs several rounds; the rounds after the first write its rows alone.  Long runs of lifts equal short ones."""
+    rng = random.Random(11)
+    day = datetime.datetime(2020, 1, 1)
+    claims = many_claims(rng, 60, 6, [decimal.Decimal(a) for a in ("1", "2", "3")], accepted=0.2)
+    for i in range(1, 300):
+        quiet = dict(claims[0], entity_id=f"Q{i}", value_num=decimal.Decimal(7), confidence=60, observed_at=day, method="extracted")
+        claims += [dict(quiet, assertion_id=1000 + 4 * i, status="accepted", is_new=False, document_id=1)]
+        claims += [dict(quiet, assertion_id=1000 + 4 * i + k, status="candidate", is_new=True, document_id=k + 1) for k in (1, 2)]
+    df = spark.createDataFrame([tuple(c.values()) for c in claims], CLAIM).withColumn("superseded_at", F.lit(None).cast("timestamp"))
+    defs = spark.createDataFrame([("size", "single", 30)], "attribute_key string, cardinality string, volatility_days int")
+    want = {}
+    for e in {c["entity_id"] for c in claims}:
+        want |= in_order([c for c in claims if c["entity_id"] == e], DOCUMENTS, 30)
+    written, checkpointed = [], folds.checkpointed
+
+    def counted(frame):
+        kept = checkpointed(frame)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(folds, "checkpointed", counted)
+    judged = lambda: {r.assertion_id: outcome(r) for r in folds.adjudicate(df.filter("is_new"), df.filter("NOT is_new"), document_table(spark), defs).collect()}
+    assert judged() == want
+    assert len(written) > 6 and max(written[3:]) <= 60, written
+    monkeypatch.setattr(folds, "checkpointed", checkpointed)
+    monkeypatch.setattr(folds, "SHORT_RUN", 1)
+    monkeypatch.setattr(folds, "BLOCK_BITS", 2)
+    monkeypatch.setattr(folds, "LEVEL_BITS", 2)
+    assert judged() == want
