@@ -241,3 +241,18 @@ def test_rounds_read_open_groups_only(spark, monkeypatch):
     monkeypatch.setattr(folds, "BLOCK_BITS", 2)
     monkeypatch.setattr(folds, "LEVEL_BITS", 2)
     assert judged() == want
+
+
+def test_ends_of_relations_are_hashed(spark, tables):
+    """Relations are not sorted for their ends, so they cannot spill there."""
+    from factspark.operators import gaps
+
+    relation = tables.x_relation.select("relation_id", "subject_id", "object_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame(relation.limit(50).collect(), relation.schema)
+        plan = gaps.relation_endpoints(rows, tables.x_entity)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
