@@ -256,3 +256,40 @@ def test_ends_of_relations_are_hashed(spark, tables):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+EVENT = "event_id long, entity_id string, event_type string, title string, date date, description string, confidence int, call_url string, call_status string, amount_usd decimal(20,2)"
+ANSWER = "in_id long, entity_id string, mention string, title string, description string, event_type string, date_text string, significance string, amount_text string, call_url string, call_status string, trust int, participants array<string>"
+
+
+def test_store_events_in_order(spark):
+    """Stored rows and answers of one key; of two stored rows only the first counts."""
+    day = datetime.date(2020, 1, 2)
+    stored = [
+        (7, "E1", "ipo", "A", day, "six ch", 99, "late", "closed", decimal.Decimal("9.00")),
+        (5, "E1", "ipo", "A", day, "stored", 40, "old", None, None),
+        (6, "E2", "ipo", "A", day, None, 90, None, "open", decimal.Decimal("3.50")),
+        (8, "E3", "ipo", "A", None, "untouched", 50, None, None, None),
+    ]
+    answer = lambda i, entity, text, trust, url, status, amount, date="2020-01-02": (i, entity, "m", "A", text, "ipo", date, "high", amount, url, status, trust, [])
+    incoming = [
+        answer(3, "E1", "equal!", 60, "", "open", "1"), answer(9, "E1", "short", 50, "new", "maybe", "2"),
+        answer(2, "E2", "x", 10, "u", "closed", "n/a"),
+        answer(4, "E4", "first", 20, "a", None, "n/a", None), answer(1, "E4", "tied!", 30, None, "open", "1e3", "soon"),
+    ]
+    events = spark.createDataFrame(stored, EVENT)
+    got = folds.store_events(spark.createDataFrame(incoming, ANSWER), events)
+    fields = ["entity_id", "date", "event_id", "first_in", "description", "confidence", "call_url", "call_status", "amount_usd", "date_precision", "significance", "is_new"]
+    assert sorted(tuple(r) for r in got.select(*fields).collect()) == [
+        ("E1", day, 5, -1, "stored", 60, "new", "open", None, None, None, False),
+        ("E2", day, 6, -1, "x", 90, "u", "closed", 3.5, None, None, False),
+        ("E4", None, None, 1, "tied!", 30, "a", "open", 1000.0, "year", "high", True),
+    ]
+
+
+def test_store_events_shuffles_once(spark):
+    """Stored events and answers meet in one shuffle and one aggregation, without a window."""
+    from factspark.plans import registry
+
+    plan = registry.queries()["store_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
